@@ -1,0 +1,15 @@
+"""Size-checked broadcast for lookup tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def broadcast_small(df: DataFrame, max_rows: int) -> DataFrame:
+    """Broadcast ``df`` only when it provably holds at most ``max_rows`` rows.
+
+    The bound is checked with a count (config tables: tens of rows).  Beyond
+    it the table is returned as is and the planner uses a shuffle join."""
+    n = df.limit(max_rows + 1).count()
+    return F.broadcast(df) if n <= max_rows else df
