@@ -16,6 +16,16 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def let(value: Column, fn) -> Column:
+    """Bind ``value`` once and evaluate ``fn(bound)``.
+
+    Catalyst substitutes a projected alias into every reference when it pushes
+    a filter below the projection, so an expensive shared input (the lowered
+    article text) would be recomputed once per keyword test.  A lambda over a
+    one-element array evaluates the input exactly once, wherever it lands."""
+    return F.element_at(F.transform(F.array(value), fn), 1)
+
+
 def topic_text(title, summary) -> Column:
     return F.lower(F.concat_ws(" ", F.coalesce(_c(title), F.lit("")), F.coalesce(_c(summary), F.lit(""))))
 
@@ -25,19 +35,31 @@ def category_hits(text, taxonomy=C.TAXONOMY) -> Column:
     as substrings of ``text`` — an array<struct<cat_ord, category, hits>>."""
     if sum(len(k) for _, k in taxonomy) > C.MAX_CONFIG_ROWS:
         raise ValueError("taxonomy too large to inline")
-    text = _c(text)
-    items = []
-    for i, (cat, kws) in enumerate(taxonomy):
-        hits = sum((F.instr(text, kw) > 0).cast("int") for kw in kws) if kws else F.lit(0)
-        items.append(F.struct(F.lit(i + 1).alias("cat_ord"), F.lit(cat).alias("category"),
-                              hits.alias("hits")))
-    return F.array(*items)
+
+    def build(t: Column) -> Column:
+        items = []
+        for i, (cat, kws) in enumerate(taxonomy):
+            hits = sum((F.instr(t, kw) > 0).cast("int") for kw in kws) if kws else F.lit(0)
+            items.append(F.struct(F.lit(i + 1).alias("cat_ord"), F.lit(cat).alias("category"),
+                                  hits.alias("hits")))
+        return F.array(*items)
+    return let(_c(text), build)
 
 
 def categorise(title, summary, taxonomy=C.TAXONOMY) -> Column:
     """A1: category with most keyword hits; the first in config order wins a
     tie; no hit at all -> the fallback category."""
-    hits = category_hits(topic_text(title, summary), taxonomy)
+    return categorise_text(topic_text(title, summary), taxonomy)
+
+
+def categorise_text(text, taxonomy=C.TAXONOMY) -> Column:
+    """A1 over an already lower-cased topic text."""
+    return best_category(category_hits(text, taxonomy))
+
+
+def best_category(hits) -> Column:
+    """argmax over category_hits: most hits, first in config order on ties."""
+    hits = _c(hits)
     best = F.array_min(F.transform(hits, lambda s: F.struct((-s["hits"]).alias("neg"), s["cat_ord"].alias("o"),
                                                             s["category"].alias("c"))))
     return F.when(best["neg"] < 0, best["c"]).otherwise(F.lit(C.FALLBACK_CATEGORY))
@@ -45,10 +67,22 @@ def categorise(title, summary, taxonomy=C.TAXONOMY) -> Column:
 
 def is_relevant(title, summary, taxonomy=C.TAXONOMY) -> Column:
     """at least one keyword of any category is a substring (no word bounds)."""
-    text = topic_text(title, summary)
+    return is_relevant_text(topic_text(title, summary), taxonomy)
+
+
+def is_relevant_text(text, taxonomy=C.TAXONOMY) -> Column:
+    """F3 over an already lower-cased topic text."""
     kws = sorted({kw for _, ks in taxonomy for kw in ks})
-    return F.lit(False) if not kws else F.greatest(*[F.instr(text, kw) > 0 for kw in kws]) \
-        if len(kws) > 1 else (F.instr(text, kws[0]) > 0)
+    if not kws:
+        return F.lit(False)
+
+    def any_hit(t: Column) -> Column:
+        tests = [F.instr(t, kw) > 0 for kw in kws]
+        out = tests[0]
+        for x in tests[1:]:
+            out = out | x
+        return out
+    return let(_c(text), any_hit)
 
 
 def recency_score(published, as_of) -> Column:

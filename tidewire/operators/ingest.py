@@ -41,14 +41,35 @@ def fresh(items: DataFrame, as_of: Column, col: str = "published_at",
 
 def relevant(items: DataFrame, title: str = "title", summary: str = "summary",
              taxonomy=C.TAXONOMY) -> DataFrame:
-    """at least one keyword occurs in ``lower(title + ' ' + summary)``."""
-    return items.where(S.is_relevant(title, summary, taxonomy))
+    """at least one keyword occurs in ``lower(title + ' ' + summary)``.
+    The lowered text is projected once and shared by all keyword tests."""
+    return (items.withColumn("_topic", S.topic_text(title, summary))
+            .where(S.is_relevant_text("_topic", taxonomy)).drop("_topic"))
 
 
 def classify(items: DataFrame, title: str = "title", summary: str = "summary",
              taxonomy=C.TAXONOMY) -> DataFrame:
     """A1: add ``category``."""
-    return items.withColumn("category", S.categorise(title, summary, taxonomy))
+    return (items.withColumn("_topic", S.topic_text(title, summary))
+            .withColumn("category", S.categorise_text("_topic", taxonomy)).drop("_topic"))
+
+
+def relevant_classified(items: DataFrame, title: str = "title", summary: str = "summary",
+                        taxonomy=C.TAXONOMY) -> DataFrame:
+    """F3 + A1 in one pass over the text.
+
+    The keyword hits computed for A1 also decide F3 (any hit at all).  The
+    row is kept through a 0-or-1-element ``explode`` rather than a Filter: a
+    Filter would be pushed below the projection with the whole
+    classification inlined into it, scanning every text twice."""
+    def classify_text(t: Column) -> Column:
+        return S.let(S.category_hits(t, taxonomy), lambda h: F.struct(
+            F.exists(h, lambda x: x["hits"] > 0).alias("relevant"),
+            S.best_category(h).alias("category")))
+    cls = S.let(S.topic_text(title, summary), classify_text)
+    kept = F.explode(F.filter(F.array(cls), lambda c: c["relevant"])).alias("_cls")
+    cols = [c for c in items.columns if c != "category"]
+    return items.select(*cols, kept).select(*cols, F.col("_cls.category").alias("category"))
 
 
 def ingest(items: DataFrame, as_of: Column, taxonomy=C.TAXONOMY) -> DataFrame:
@@ -58,8 +79,7 @@ def ingest(items: DataFrame, as_of: Column, taxonomy=C.TAXONOMY) -> DataFrame:
     if "url_hash" not in items.columns:
         items = items.withColumn("url_hash", T.url_hash("url"))
     out = first_seen(has_link(items))
-    out = relevant(fresh(out, as_of), taxonomy=taxonomy)
-    return classify(out, taxonomy=taxonomy)
+    return relevant_classified(fresh(out, as_of), taxonomy=taxonomy)
 
 
 def insert_if_absent(batch: DataFrame, stored: DataFrame,

@@ -170,7 +170,8 @@ def choose_anchors(members: DataFrame, group_col: str = "story_group_id") -> Dat
     Per-group max of a (length, -id) struct: combines map-side, so a huge
     component is never gathered into one task; the result joins back on the
     group key (one row per group on the build side)."""
-    slen = F.length(F.coalesce(F.col("summary"), F.lit("")))
+    slen = F.col("summary_len") if "summary_len" in members.columns else \
+        F.length(F.coalesce(F.col("summary"), F.lit("")))
     best = (members.groupBy(group_col)
             .agg(F.max(F.struct(slen.alias("l"), (-F.col("id")).alias("nid"))).alias("_b"))
             .select(group_col, (-F.col("_b.nid")).alias("_anchor")))
@@ -179,20 +180,33 @@ def choose_anchors(members: DataFrame, group_col: str = "story_group_id") -> Dat
             .drop("_anchor"))
 
 
+BULKY_COLUMNS = ("summary", "raw_content")
+
+
 def story_groups(articles: DataFrame, as_of: Column, lookback_hours: int = C.LOOKBACK_HOURS,
                  mode: str = "new_only") -> DataFrame:
     """G2 (with F4, F5, G3): group the ungrouped articles fetched inside the
     look-back window; returns those rows with ``story_group_id`` and
     ``is_duplicate``.  ``mode="new_only"`` compares only ungrouped rows (late
-    copies never join an old group), as the reference does."""
+    copies never join an old group), as the reference does.
+
+    The window is materialised once as a narrow table (bulky text columns
+    replaced by ``summary_len``) in the checkpoint folder: the similarity
+    join, the component rounds and the anchor choice all read it, and the
+    upstream ingest is not recomputed for each of them.  Join the result back
+    on ``id`` when the text columns are needed."""
     if mode != "new_only":
         raise ValueError("only mode='new_only' is implemented")
+    ensure_checkpoint_dir(articles.sparkSession)
     cutoff = F.timestamp_seconds(F.unix_seconds(as_of) - lookback_hours * 3600)
     win = articles.where(F.col("fetched_at") >= cutoff)
     if "story_group_id" in win.columns:
         win = win.where(F.col("story_group_id").isNull()).drop("story_group_id", "is_duplicate")
-    comps = story_components(win)
-    return choose_anchors(win.join(comps, "id"))
+    narrow = (win.withColumn("summary_len", F.length(F.coalesce(F.col("summary"), F.lit(""))))
+              .drop(*[c for c in BULKY_COLUMNS if c in win.columns]))
+    narrow = narrow.checkpoint(eager=True)
+    comps = story_components(narrow)
+    return choose_anchors(narrow.join(comps, "id"))
 
 
 def group_stats(grouped: DataFrame) -> DataFrame:
