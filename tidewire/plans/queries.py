@@ -173,3 +173,493 @@ def m5_priority_score(spark, sf):
 def o1_top_stories(spark, sf):
     return R.top_stories(scored(spark, sf)).select(
         "id", "title", "source", "category", "story_group_id", "priority_score", "is_multi_source")
+
+
+# ---------------------------------------------------------------------------
+# shared derived inputs for the later stages
+# ---------------------------------------------------------------------------
+
+from tidewire.functions import scoring as S  # noqa: E402
+from tidewire.operators import digest as DG  # noqa: E402
+from tidewire.operators import drafting as DR  # noqa: E402
+from tidewire.operators import media as MD  # noqa: E402
+from tidewire.operators import requests as RQ  # noqa: E402
+from tidewire.operators import review as RV  # noqa: E402
+from tidewire.operators import routing as RT  # noqa: E402
+from tidewire.operators import videos as VD  # noqa: E402
+
+
+def _list(c, sep=","):
+    return F.array_join(F.transform(c, lambda x: x.cast("string")), sep)
+
+
+def _decisions(spark, sf):
+    return RV.read_decisions(X.review_sheet(spark, sf))
+
+
+def _top_with_text(spark, sf):
+    """top stories joined back to their text columns; members likewise."""
+    from tidewire.config import authority_df
+    g = grouped(spark, sf)
+    top = R.top_stories(R.score(g, X.as_of(), authority_df(spark)))
+    text = X.articles(spark, sf).select("id", "summary", "raw_content")
+    members = g.select("id", "story_group_id", "source", "title").join(text, "id")
+    return top.join(text, "id"), members
+
+
+# ---------------------------------------------------------------------------
+# scalar projections over fixture tables: P1 P2 P5-P13 P15, D1 D3-D6
+# ---------------------------------------------------------------------------
+
+@query("p1_url_hash")
+def p1_url_hash(spark, sf):
+    return X.articles(spark, sf).select("id", "url", T.url_hash("url").alias("url_hash"))
+
+
+@query("p2_strip_ws")
+def p2_strip_ws(spark, sf):
+    return X.feed_items(spark, sf).select("id", T.strip_ws("title").alias("title"))
+
+
+@query("p5_clean_text")
+def p5_clean_text(spark, sf):
+    return X.drafts(spark, sf).select("id", T.clean_text("body").alias("text"))
+
+
+@query("p6_html_to_readable")
+def p6_html_to_readable(spark, sf):
+    return X.drafts(spark, sf).select("id", T.html_to_readable("body").alias("readable"))
+
+
+@query("p7_word_count")
+def p7_word_count(spark, sf):
+    return X.drafts(spark, sf).select("id", T.word_count("body").alias("word_count"))
+
+
+@query("p8_decode_entities")
+def p8_decode_entities(spark, sf):
+    p = X.table(spark, sf, "pages")
+    return p.select("page_id", T.decode_entities(
+        F.regexp_extract("html", "<title>(.*?)</title>", 1)).alias("title"))
+
+
+@query("p9_truncate_word")
+def p9_truncate_word(spark, sf):
+    return X.cms_posts(spark, sf).select(
+        "id", T.truncate_word(T.decode_entities("excerpt.rendered")).alias("excerpt"))
+
+
+@query("p10_substr_caps")
+def p10_substr_caps(spark, sf):
+    return X.drafts(spark, sf).select(
+        "id", T.substr_cap("seo_description", 90).alias("desc90"),
+        F.concat(T.substr_cap("body", 200), F.lit("...")).alias("body_preview"))
+
+
+@query("p12_title_case")
+def p12_title_case(spark, sf):
+    r = RQ.pending_requests(X.link_requests(spark, sf))
+    v = r.select("row_ord", S.validate_override("category_override").alias("v"))
+    return v.where(F.col("v.key").isNotNull()).select("row_ord", T.title_case("v.key").alias("category"))
+
+
+@query("p13_url_domain")
+def p13_url_domain(spark, sf):
+    return X.table(spark, sf, "pages").select("page_id", T.url_domain("url").alias("domain"))
+
+
+@query("p15_headline_words")
+def p15_headline_words(spark, sf):
+    return X.drafts(spark, sf).select("id", F.array_join(T.headline_words("headline"), "|").alias("words"))
+
+
+@query("d1_parse_published")
+def d1_parse_published(spark, sf):
+    f = X.feed_items(spark, sf)
+    return f.select("id", "published", _ts(D.parse_published("published")).alias("published_at"))
+
+
+@query("d3_age_hours")
+def d3_age_hours(spark, sf):
+    a = X.articles(spark, sf)
+    return a.select("id", F.round(D.age_hours("published_at", X.as_of()), 3).alias("age_hours"))
+
+
+@query("d4_minute_stamp")
+def d4_minute_stamp(spark, sf):
+    return X.drafts(spark, sf).select("id", D.minute_stamp("created_at").alias("created"))
+
+
+@query("d5_long_date")
+def d5_long_date(spark, sf):
+    return X.cms_posts(spark, sf).select("id", D.long_date("date").alias("long_date"),
+                                         _ts(D.day_start("date")).alias("day_start"))
+
+
+# ---------------------------------------------------------------------------
+# filters F5-F13
+# ---------------------------------------------------------------------------
+
+@query("f5_ungrouped")
+def f5_ungrouped(spark, sf):
+    a = X.articles(spark, sf).withColumn(
+        "story_group_id", F.when(F.col("id") % 5 == 0, F.col("id")))
+    return a.where(F.col("story_group_id").isNull()).select("id")
+
+
+@query("f6_anchors_only")
+def f6_anchors_only(spark, sf):
+    return grouped(spark, sf).where(F.col("is_duplicate") == 0).select("id")
+
+
+@query("f7_needs_image")
+def f7_needs_image(spark, sf):
+    return MD.needs_image(X.drafts(spark, sf)).select("id")
+
+
+@query("f8_unpublished")
+def f8_unpublished(spark, sf):
+    return RT.unpublished(X.drafts(spark, sf)).select("id")
+
+
+@query("f10_by_status")
+def f10_by_status(spark, sf):
+    return RV.by_status(X.drafts(spark, sf), "pending_editor").select("id", "headline")
+
+
+@query("f13_not_terminal")
+def f13_not_terminal(spark, sf):
+    d = X.drafts(spark, sf)
+    return d.where(~F.col("status").isin(C.FINAL_STATUSES)).select("id", "status")
+
+
+# ---------------------------------------------------------------------------
+# review loop: S10 A8 W3 J12 J2 J8/A4/S9 J7/A5 A6 A7 X12
+# ---------------------------------------------------------------------------
+
+@query("s10_review_sheet_read")
+def s10_review_sheet_read(spark, sf):
+    return _decisions(spark, sf).select("row_ord", "draft_id", "word", "status", "notes")
+
+
+@query("a8_approval_summary")
+def a8_approval_summary(spark, sf):
+    return RV.approval_summary(_decisions(spark, sf))
+
+
+@query("w3_approval_fold")
+def w3_approval_fold(spark, sf):
+    return RV.approval_fold(_decisions(spark, sf))
+
+
+@query("j12_apply_decisions")
+def j12_apply_decisions(spark, sf):
+    out = RV.apply_decisions(X.drafts(spark, sf), RV.approval_fold(_decisions(spark, sf)))
+    return out.select("id", "status", "editor_notes", "updated")
+
+
+@query("j2_not_in_sheet")
+def j2_not_in_sheet(spark, sf):
+    return RV.not_in_sheet(X.drafts(spark, sf), X.review_sheet(spark, sf)).select("id")
+
+
+@query("j8_review_rows")
+def j8_review_rows(spark, sf):
+    return RV.review_rows(X.drafts(spark, sf), X.articles(spark, sf), X.review_sheet(spark, sf))
+
+
+@query("j7_preview")
+def j7_preview(spark, sf):
+    return RV.preview(X.drafts(spark, sf), X.articles(spark, sf))
+
+
+@query("a6_status_counts")
+def a6_status_counts(spark, sf):
+    return RV.status_counts(X.drafts(spark, sf))
+
+
+@query("a7_frequent_rejections")
+def a7_frequent_rejections(spark, sf):
+    e = X.table(spark, sf, "events").where(F.col("event_type") == "error")
+    rej = e.select(F.concat(F.lit("reason "), (F.get_json_object("props", "$.k").cast("bigint") % 5)
+                            .cast("string")).alias("reason"))
+    return RV.frequent_rejections(rej)
+
+
+@query("x12_notice_list")
+def x12_notice_list(spark, sf):
+    return RV.notice_rows(X.drafts(spark, sf))
+
+
+# ---------------------------------------------------------------------------
+# drafting: J6 O4 X2 X5 X3 X4 S12 S7 S8
+# ---------------------------------------------------------------------------
+
+@query("j6_group_members")
+def j6_group_members(spark, sf):
+    top, members = _top_with_text(spark, sf)
+    return DR.group_members(top, members).select("story_id", "member_id")
+
+
+@query("x5_story_prompt")
+def x5_story_prompt(spark, sf):
+    top, members = _top_with_text(spark, sf)
+    p = DR.story_prompts(top, members)
+    return p.select("story_id", "n_sources", _list(F.col("raw_article_ids")).alias("raw_article_ids"), "prompt")
+
+
+@query("x3_parse_model_json")
+def x3_parse_model_json(spark, sf):
+    p = DR.parse_answers(X.model_responses(spark, sf))
+    ok = F.col("ok")
+    return p.select("request_id", "ok", *[F.when(ok, F.col(c)).alias(c) for c in
+                                          ("headline", "body", "category", "seo_description",
+                                           "source_attribution")],
+                    F.when(ok, F.array_join("image_keywords", ",")).alias("image_keywords"))
+
+
+@query("s12_draft_summary")
+def s12_draft_summary(spark, sf):
+    s = DR.draft_summary(DR.parse_answers(X.model_responses(spark, sf)))
+    return s.withColumn("image_keywords", F.array_join("image_keywords", ","))
+
+
+@query("s8_evolve_schema")
+def s8_evolve_schema(spark, sf):
+    from tidewire.sources.io import evolve_union
+    old = X.drafts(spark, sf).drop("image_keywords")
+    new = DR.new_draft_rows(DR.parse_answers(X.model_responses(spark, sf)), X.as_of())
+    u = evolve_union(old.select("id", "headline", "status"), new.select("id", "headline", "status",
+                                                                      "image_keywords"))
+    return u.groupBy("status").agg(F.count(F.lit(1)).alias("n"),
+                                   F.count("image_keywords").alias("with_keywords"))
+
+
+# ---------------------------------------------------------------------------
+# media: X1 J10/W4/A11
+# ---------------------------------------------------------------------------
+
+def _with_keywords(spark, sf):
+    d = X.drafts(spark, sf)
+    return d.withColumn("keywords", MD.keyword_list("image_keywords", "headline", "category"))
+
+
+@query("x1_keyword_cap")
+def x1_keyword_cap(spark, sf):
+    return _with_keywords(spark, sf).select("id", F.array_join("keywords", "|").alias("keywords"))
+
+
+@query("j10_best_media")
+def j10_best_media(spark, sf):
+    d = MD.needs_image(_with_keywords(spark, sf))
+    b = MD.best_media(d, X.media(spark, sf), X.photos(spark, sf))
+    return b.withColumn("media_id", F.col("media_id").cast("string"))
+
+
+# ---------------------------------------------------------------------------
+# routing: J9 X7 X8
+# ---------------------------------------------------------------------------
+
+@query("x7_route_categories")
+def x7_route_categories(spark, sf):
+    d = RT.route_categories(RT.unpublished(X.drafts(spark, sf)), X.cms_categories(spark, sf))
+    return d.select("id", "category", _list(F.col("category_ids")).alias("category_ids"))
+
+
+@query("x8_post_payload")
+def x8_post_payload(spark, sf):
+    d = RT.route_categories(RT.unpublished(X.drafts(spark, sf)), X.cms_categories(spark, sf))
+    p = RT.post_payload(d)
+    return p.select("id", "title", "content", "status", "excerpt",
+                    _list(F.col("categories")).alias("categories"), _list(F.col("tags")).alias("tags"),
+                    F.col("featured_media").cast("string").alias("featured_media"))
+
+
+# ---------------------------------------------------------------------------
+# link requests: F9 M7/J13 M8 M9 X9 X10 X13 X6
+# ---------------------------------------------------------------------------
+
+def _pending(spark, sf):
+    return RQ.pending_requests(X.link_requests(spark, sf))
+
+
+def _outcomes(spark, sf):
+    pend = _pending(spark, sf)
+    pages = X.table(spark, sf, "pages").join(pend.select("url").distinct(), "url", "left_semi")
+    return RQ.request_outcomes(pend, X.domain_rules(spark, sf), X.fetch_results(spark, sf),
+                               RQ.extract_main_text(pages), RQ.embed_text(X.embeds(spark, sf)))
+
+
+@query("f9_pending_requests")
+def f9_pending_requests(spark, sf):
+    return _pending(spark, sf).select("row_ord", "url", "notes", "category_override")
+
+
+@query("m7_url_type")
+def m7_url_type(spark, sf):
+    return RQ.url_types(_pending(spark, sf), X.domain_rules(spark, sf))
+
+
+@query("m8_validate_override")
+def m8_validate_override(spark, sf):
+    v = _pending(spark, sf).select("row_ord", S.validate_override("category_override").alias("v"))
+    return v.select("row_ord", F.col("v.key").alias("override_key"), F.col("v.err").alias("override_error"))
+
+
+@query("m9_request_outcome")
+def m9_request_outcome(spark, sf):
+    return _outcomes(spark, sf).select("row_ord", "url", "url_type", "override_key", "status", "skip_reason")
+
+
+@query("x13_skip_notice")
+def x13_skip_notice(spark, sf):
+    return RQ.skip_notices(_outcomes(spark, sf))
+
+
+@query("x9_extract_main_text")
+def x9_extract_main_text(spark, sf):
+    return RQ.extract_main_text(X.table(spark, sf, "pages"))
+
+
+@query("x10_extract_embed_text")
+def x10_extract_embed_text(spark, sf):
+    return RQ.embed_text(X.embeds(spark, sf))
+
+
+@query("x6_link_prompt")
+def x6_link_prompt(spark, sf):
+    out = _outcomes(spark, sf).where(F.col("status") == "Processed")
+    pages = X.table(spark, sf, "pages").join(out.select("url").distinct(), "url", "left_semi")
+    ex = RQ.extract_main_text(pages).select("url", "body")
+    req = (out.join(ex, "url", "left")
+           .select("row_ord", "url", F.coalesce("page_title", F.lit("")).alias("title"),
+                   F.coalesce("body", F.lit("")).alias("body"), "notes", "override_key",
+                   (F.col("url_type") == "twitter").alias("is_post")))
+    return DR.link_prompts(req).select("row_ord", "url", "prompt")
+
+
+# ---------------------------------------------------------------------------
+# digest: F11 O2 X11
+# ---------------------------------------------------------------------------
+
+def _digest_top(spark, sf):
+    return DG.top_per_section(DG.posts_by_section(X.cms_posts(spark, sf), X.as_of()))
+
+
+@query("f11_published_today")
+def f11_published_today(spark, sf):
+    return DG.posts_by_section(X.cms_posts(spark, sf), X.as_of()).select("section", "id")
+
+
+@query("o2_digest_top")
+def o2_digest_top(spark, sf):
+    return _digest_top(spark, sf).select("section", "id", "rank")
+
+
+@query("x11_digest_text")
+def x11_digest_text(spark, sf):
+    return DG.digest_text(_digest_top(spark, sf), X.as_of())
+
+
+# ---------------------------------------------------------------------------
+# videos: S14 F12 O5 J1 W5 P11 P14
+# ---------------------------------------------------------------------------
+
+def _videos(spark, sf):
+    return VD.flat_videos(X.videos(spark, sf))
+
+
+@query("s14_video_feed_read")
+def s14_video_feed_read(spark, sf):
+    return _videos(spark, sf)
+
+
+@query("f12_video_window")
+def f12_video_window(spark, sf):
+    return VD.in_window(_videos(spark, sf), X.as_of()).select("video_id")
+
+
+@query("o5_recent_videos")
+def o5_recent_videos(spark, sf):
+    return VD.newest(VD.in_window(_videos(spark, sf), X.as_of())).select("video_id", "published_at")
+
+
+@query("j1_unsynced_videos")
+def j1_unsynced_videos(spark, sf):
+    recent = VD.newest(VD.in_window(_videos(spark, sf), X.as_of()))
+    return VD.unsynced(recent, X.store(spark, sf)).select("video_id", "watch_url")
+
+
+@query("w5_latest_video")
+def w5_latest_video(spark, sf):
+    return VD.latest_per_channel(VD.in_window(_videos(spark, sf), X.as_of()))
+
+
+@query("p14_video_post")
+def p14_video_post(spark, sf):
+    v = _videos(spark, sf)
+    return VD.post_content(v).join(v.select("video_id", T.first_paragraph("description").alias("first_paragraph")),
+                                   "video_id")
+
+
+# ---------------------------------------------------------------------------
+# sources / sinks: S3 S4 S6 S13 S15
+# ---------------------------------------------------------------------------
+
+@query("s4_latest_snapshot")
+def s4_latest_snapshot(spark, sf):
+    from tidewire.sources import io as IO
+    root = IO.scratch_dir(spark, "snapshots")
+    snap = ingested(spark, sf).select(*[c.split()[0] for c in IO.SNAPSHOT_SCHEMA.split(", ")])
+    IO.write_snapshot(snap.where(F.col("id") % 2 == 0), root, "2024-01-30")
+    IO.write_snapshot(snap, root, "2024-01-31")
+    latest = IO.latest_snapshot(spark, root)
+    return latest.select("id", "url", "category", _ts("published_at").alias("published_at"))
+
+
+@query("s6_keyed_update")
+def s6_keyed_update(spark, sf):
+    from tidewire.sources.io import keyed_update
+    base = _window(spark, sf).select("id").withColumn("priority_score", F.lit(0.0))
+    return keyed_update(base, scored(spark, sf).select("id", "priority_score"), "id", ["priority_score"])
+
+
+@query("s15_post_feed_read")
+def s15_post_feed_read(spark, sf):
+    p = X.cms_posts(spark, sf)
+    return p.select("id", F.col("title.rendered").alias("title"), F.col("excerpt.rendered").alias("excerpt"),
+                    "link")
+
+
+@query("a10_stage_counts")
+def a10_stage_counts(spark, sf):
+    p = DR.parse_answers(X.model_responses(spark, sf))
+    return p.agg(F.count_if("ok").alias("drafted"), F.count(F.lit(1)).alias("requested"))
+
+
+# ---------------------------------------------------------------------------
+# streaming: T1 T2 T4 T5
+# ---------------------------------------------------------------------------
+
+@query("t1_stream_ingest")
+def t1_stream_ingest(spark, sf):
+    from tidewire.streaming import ingest_stream as ST
+    out, chk = ST.stream_dirs(spark, "t1")
+    ST.stream_ingest(X.articles_of(X.documents_stream(spark, sf)), X.as_of(), out, chk)
+    return spark.read.parquet(out).select("id", "url", "source", "category")
+
+
+@query("t2_stream_dedup")
+def t2_stream_dedup(spark, sf):
+    from tidewire.streaming import ingest_stream as ST
+    out, chk = ST.stream_dirs(spark, "t2")
+    ST.stream_dedup(X.articles_of(X.documents_stream(spark, sf)), "fetched_at", "url_hash", "48 hours", out, chk)
+    return spark.read.parquet(out).select("url_hash")
+
+
+@query("t5_stream_counts")
+def t5_stream_counts(spark, sf):
+    from tidewire.streaming import ingest_stream as ST
+    out, chk = ST.stream_dirs(spark, "t5")
+    ST.stream_counts(X.articles_of(X.documents_stream(spark, sf)), "fetched_at", out, chk)
+    return spark.read.parquet(out).select(_ts("w.start").alias("window_start"), "source", "n_items")

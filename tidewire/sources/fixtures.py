@@ -63,6 +63,7 @@ def _json_str(x: Column) -> Column:
     x = F.replace(x, F.lit("\\"), F.lit("\\\\"))
     x = F.replace(x, F.lit('"'), F.lit('\\"'))
     x = F.replace(x, F.lit("\t"), F.lit("\\t"))
+    x = F.replace(x, F.lit("\r"), F.lit("\\r"))
     return F.concat(F.lit('"'), F.replace(x, F.lit("\n"), F.lit("\\n")), F.lit('"'))
 
 
@@ -72,7 +73,19 @@ def _json_str(x: Column) -> Column:
 
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Feed-level article rows: every tenth document repeats its neighbour's URL."""
-    d = table(spark, sf_dir, "documents")
+    return articles_of(table(spark, sf_dir, "documents"))
+
+
+def documents_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents file as a streaming file source (explicit schema)."""
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    schema = spark.read.parquet(f"{sf_dir}/documents.parquet").schema
+    return (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1)
+            .option("pathGlobFilter", "documents.parquet").parquet(sf_dir))
+
+
+def articles_of(d: DataFrame) -> DataFrame:
+    """Article rows from a documents DataFrame (batch or streaming)."""
     doc = F.col("doc_id")
     url_n = F.when(doc % 10 == 9, doc - 1).otherwise(doc)
     url = F.concat(F.lit("https://news.example.com/"), url_n.cast("string"))
