@@ -156,6 +156,10 @@ def story_components(articles: DataFrame, num: int = C.JACCARD_NUM, den: int = C
     """
     sets = token_sets(articles, "id", title_col)
     reps, cmap = collapse_copies(sets)
+    # the distinct sets feed the frequency order, the index and the copy
+    # edges: materialise them once instead of re-tokenising per consumer
+    ensure_checkpoint_dir(articles.sparkSession)
+    reps = reps.checkpoint(eager=True)
     pairs = similar_pairs(reps, num, den)
     edges = pairs.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).unionByName(
         cmap.where(F.col("id") != F.col("rep")).select(F.col("id").alias("a"), F.col("rep").alias("b")))
@@ -183,6 +187,20 @@ def choose_anchors(members: DataFrame, group_col: str = "story_group_id") -> Dat
 BULKY_COLUMNS = ("summary", "raw_content")
 
 
+def window_narrow(articles: DataFrame, as_of: Column, lookback_hours: int = C.LOOKBACK_HOURS) -> DataFrame:
+    """F4 + F5: ungrouped rows fetched inside the look-back window, bulky
+    text replaced by ``summary_len``, materialised once in the checkpoint
+    folder (reliable checkpoint: survives executor loss, cuts lineage)."""
+    ensure_checkpoint_dir(articles.sparkSession)
+    cutoff = F.timestamp_seconds(F.unix_seconds(as_of) - lookback_hours * 3600)
+    win = articles.where(F.col("fetched_at") >= cutoff)
+    if "story_group_id" in win.columns:
+        win = win.where(F.col("story_group_id").isNull()).drop("story_group_id", "is_duplicate")
+    narrow = (win.withColumn("summary_len", F.length(F.coalesce(F.col("summary"), F.lit(""))))
+              .drop(*[c for c in BULKY_COLUMNS if c in win.columns]))
+    return narrow.checkpoint(eager=True)
+
+
 def story_groups(articles: DataFrame, as_of: Column, lookback_hours: int = C.LOOKBACK_HOURS,
                  mode: str = "new_only") -> DataFrame:
     """G2 (with F4, F5, G3): group the ungrouped articles fetched inside the
@@ -197,14 +215,7 @@ def story_groups(articles: DataFrame, as_of: Column, lookback_hours: int = C.LOO
     on ``id`` when the text columns are needed."""
     if mode != "new_only":
         raise ValueError("only mode='new_only' is implemented")
-    ensure_checkpoint_dir(articles.sparkSession)
-    cutoff = F.timestamp_seconds(F.unix_seconds(as_of) - lookback_hours * 3600)
-    win = articles.where(F.col("fetched_at") >= cutoff)
-    if "story_group_id" in win.columns:
-        win = win.where(F.col("story_group_id").isNull()).drop("story_group_id", "is_duplicate")
-    narrow = (win.withColumn("summary_len", F.length(F.coalesce(F.col("summary"), F.lit(""))))
-              .drop(*[c for c in BULKY_COLUMNS if c in win.columns]))
-    narrow = narrow.checkpoint(eager=True)
+    narrow = window_narrow(articles, as_of, lookback_hours)
     comps = story_components(narrow)
     return choose_anchors(narrow.join(comps, "id"))
 

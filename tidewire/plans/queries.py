@@ -42,7 +42,13 @@ def _ts(c) -> F.Column:
 # ---------------------------------------------------------------------------
 
 def ingested(spark: SparkSession, sf: str) -> DataFrame:
-    return I.ingest(X.articles(spark, sf), X.as_of())
+    """The day's article snapshot (W1 F1 F2 F3 A1), materialised once in the
+    checkpoint folder: it is the first of the pipeline's three
+    materialisation points (snapshot, story groups, drafts), and every later
+    stage reads it several times."""
+    from tidewire.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(spark)
+    return I.ingest(X.articles(spark, sf), X.as_of()).checkpoint(eager=True)
 
 
 def grouped(spark: SparkSession, sf: str) -> DataFrame:
@@ -129,13 +135,14 @@ def p3_title_tokens(spark, sf):
 
 @query("j3_similar_pairs")
 def j3_similar_pairs(spark, sf):
-    reps, _ = G.collapse_copies(G.token_sets(_window(spark, sf)))
-    return G.similar_pairs(reps)
+    narrow = G.window_narrow(ingested(spark, sf), X.as_of())
+    reps, _ = G.collapse_copies(G.token_sets(narrow))
+    return G.similar_pairs(reps.checkpoint(eager=True))
 
 
 @query("g1_connected_components")
 def g1_connected_components(spark, sf):
-    return G.story_components(_window(spark, sf))
+    return G.story_components(G.window_narrow(ingested(spark, sf), X.as_of()))
 
 
 @query("g2_story_groups")

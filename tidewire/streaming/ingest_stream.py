@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewire.operators import ingest as I
+from tidewire.sources.fixtures import spread_small_scan
 from tidewire.session import ensure_checkpoint_dir
 
 
@@ -28,10 +29,18 @@ def stream_ingest(items: DataFrame, as_of: Column, out_path: str, checkpoint: st
     spark = items.sparkSession
 
     def upsert(batch: DataFrame, batch_id: int) -> None:
-        new = I.ingest(batch, as_of)
-        stored = spark.read.parquet(out_path)
-        fresh = I.insert_if_absent(new, stored)
-        fresh.select(*stored.columns).write.mode("append").parquet(out_path)
+        # the micro-batch is read by the first-seen aggregate and its semi
+        # join: keep it for the duration of this batch only (a lost block is
+        # recomputed from the replayable source offsets)
+        batch = spread_small_scan(batch).persist()
+        new = I.ingest(batch, as_of).persist()
+        try:
+            stored = spark.read.parquet(out_path)
+            fresh = I.insert_if_absent(new, stored)
+            fresh.select(*stored.columns).write.mode("append").parquet(out_path)
+        finally:
+            new.unpersist()
+            batch.unpersist()
 
     probe = I.ingest(items, as_of)
     if not os.path.exists(out_path.replace("file:", "")):
