@@ -811,3 +811,10 @@ ORACLE["t1_stream_ingest"] = with_("ing") + "SELECT id, url, source, category FR
 ORACLE["t2_stream_dedup"] = with_("art") + "SELECT DISTINCT url_hash FROM art"
 ORACLE["t5_stream_counts"] = with_("art") + f"""SELECT {_ts("date_trunc('day', fetched_at)")} AS window_start, source,
   count(*) AS n_items FROM art GROUP BY 1, 2"""
+
+ORACLE["s1_feed_scan"] = with_("feed") + "SELECT item_ord AS id, source, link, title, published FROM feed"
+ORACLE["s3_article_snapshot_read"] = with_("ing") + f"""SELECT id, url, category, {_ts('published_at')} AS published_at,
+  {_ts('fetched_at')} AS fetched_at FROM ing"""
+
+ORACLE["s9_review_queue_write"] = ("SELECT draft_id, headline, CAST(word_count AS VARCHAR) AS word_count, sources, "
+                                   "source_urls, body, wp_post_id FROM (" + ORACLE["j8_review_rows"] + ")")

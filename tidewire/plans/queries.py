@@ -670,3 +670,42 @@ def t5_stream_counts(spark, sf):
     out, chk = ST.stream_dirs(spark, "t5")
     ST.stream_counts(X.articles_of(X.documents_stream(spark, sf)), "fetched_at", out, chk)
     return spark.read.parquet(out).select(_ts("w.start").alias("window_start"), "source", "n_items")
+
+
+@query("s1_feed_scan")
+def s1_feed_scan(spark, sf):
+    """Feed items landed as XML files (one folder per source), scanned back
+    with an explicit schema; the source comes from the folder name."""
+    from tidewire.sources import io as IO
+    root = IO.scratch_dir(spark, "feeds")
+    items = X.feed_items(spark, sf).select(
+        "source", "link", "title", "summary", "published", F.lit(None).cast("string").alias("updated"),
+        "source_ord", "item_ord")
+    IO.write_feed_xml(items, root)
+    got = IO.read_feed_xml(spark, root)
+    return got.select(F.col("item_ord").alias("id"), "source", "link", "title", "published")
+
+
+@query("s3_article_snapshot_read")
+def s3_article_snapshot_read(spark, sf):
+    """S2 as JSON lines under ingest_date=..., read back with the schema."""
+    from tidewire.sources import io as IO
+    root = IO.scratch_dir(spark, "json-snapshots")
+    snap = ingested(spark, sf).select(*[c.split()[0] for c in IO.SNAPSHOT_SCHEMA.split(", ")])
+    IO.write_snapshot(snap, root, "2024-01-31", fmt="json")
+    back = IO.read_snapshot(spark, root, fmt="json")
+    return back.select("id", "url", "category", _ts("published_at").alias("published_at"),
+                       _ts("fetched_at").alias("fetched_at"))
+
+
+@query("s9_review_queue_write")
+def s9_review_queue_write(spark, sf):
+    """S9 rows written as the 12-column sheet (CSV) and read back (S10 read)."""
+    from tidewire.sources import io as IO
+    root = IO.scratch_dir(spark, "review-sheet")
+    rows = RV.review_rows(X.drafts(spark, sf), X.articles(spark, sf), X.review_sheet(spark, sf))
+    rows.select(*[F.col(c).cast("string") for c in rows.columns]).write.mode("overwrite") \
+        .option("header", False).option("quoteAll", True).csv(root)
+    back = IO.read_sheet_csv(spark, root)
+    return back.select(F.col("draft_id").cast("bigint").alias("draft_id"), "headline", "word_count",
+                       "sources", "source_urls", "body", "wp_post_id")

@@ -56,18 +56,28 @@ def latest_snapshot(spark: SparkSession, root: str, schema: str = SNAPSHOT_SCHEM
     return snaps.where(F.col("ingest_date") == latest[0])
 
 
+def write_feed_xml(items: DataFrame, root: str, row_tag: str = "item") -> None:
+    """Land feed items as RSS-like XML, one folder per source."""
+    (items.write.mode("overwrite").partitionBy("source").option("rowTag", row_tag)
+     .option("rootTag", "channel").xml(root))
+
+
 def read_feed_xml(spark: SparkSession, path: str, row_tag: str = "item",
                   schema: str = FEED_ITEM_SCHEMA) -> DataFrame:
-    """Landed feed files as rows (explicit schema; malformed records are
-    kept PERMISSIVE; the file name is attached to map files to sources)."""
-    return (spark.read.schema(schema).option("rowTag", row_tag).option("mode", "PERMISSIVE")
+    """Landed feed files as rows (explicit schema — inference would type
+    a title like "T1" as a timestamp; malformed records are kept PERMISSIVE;
+    text is taken verbatim; ``source=...`` folders give the source column)."""
+    return (spark.read.schema(schema + ", source string").option("rowTag", row_tag)
+            .option("mode", "PERMISSIVE").option("ignoreSurroundingSpaces", "false")
             .xml(path).withColumn("file_name", F.col("_metadata.file_name")))
 
 
 def read_sheet_csv(spark: SparkSession, path: str, schema: str = SHEET_SCHEMA) -> DataFrame:
-    """Positional sheet rows; short rows pad with NULL."""
-    return (spark.read.schema(schema).option("multiLine", True).option("header", False)
-            .option("mode", "PERMISSIVE").csv(path))
+    """Positional sheet rows; short rows and empty cells read as ''
+    (a sheet has no NULL: missing cells are padded with empty text)."""
+    df = (spark.read.schema(schema).option("multiLine", True).option("header", False)
+          .option("mode", "PERMISSIVE").csv(path))
+    return df.select(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in df.columns])
 
 
 def keyed_update(base: DataFrame, updates: DataFrame, key: str, cols: list[str]) -> DataFrame:
