@@ -13,7 +13,7 @@ Scale design
   an indexed token and pass the length filter, then every candidate is
   verified exactly on the full sets.  No cartesian product, no all-pairs.
 * G1 is alternating large-star / small-star (Kiveris et al. 2014) over the
-  edge DataFrame, checkpointed each round into ``spark.checkpoint.dir``; it
+  edge DataFrame, written each round into ``spark.checkpoint.dir``; it
   stops on an exact test (every component is a star around its minimum).
 * Hot keys (a very frequent token, a hub vertex, a huge component) are met
   with aggregations that combine map-side and AQE skew-join splitting; no
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from tidewire import config as C
 from tidewire.functions import text as T
-from tidewire.session import ensure_checkpoint_dir
+from tidewire.session import ensure_checkpoint_dir, materialize
 
 
 def token_sets(df: DataFrame, id_col: str = "id", text_col: str = "title") -> DataFrame:
@@ -122,17 +122,17 @@ def connected_components(edges: DataFrame, vertices: DataFrame | None = None,
     """G1: (id, component) with component = min id of the connected component.
 
     ``edges``: (a, b) undirected.  ``vertices``: optional (id) so that
-    isolated vertices get their own id.  Lineage is cut every round with a
-    reliable checkpoint in the shared checkpoint folder (never a local one).
+    isolated vertices get their own id.  Lineage is cut every round by writing
+    the edge table into the shared checkpoint folder (never a local one).
     """
     ensure_checkpoint_dir(edges.sparkSession)
     e = (edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
          .where(F.col("a") != F.col("b")).distinct())
-    e = e.checkpoint(eager=True)
+    e = materialize(e, "cc-edges")
     for _ in range(max_rounds):
         if _is_star_forest(e):
             break
-        e = _small_star(_large_star(e)).checkpoint(eager=True)
+        e = materialize(_small_star(_large_star(e)), "cc-edges")
     else:
         raise RuntimeError("connected components did not converge")
     labels = e.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(
@@ -159,7 +159,7 @@ def story_components(articles: DataFrame, num: int = C.JACCARD_NUM, den: int = C
     # the distinct sets feed the frequency order, the index and the copy
     # edges: materialise them once instead of re-tokenising per consumer
     ensure_checkpoint_dir(articles.sparkSession)
-    reps = reps.checkpoint(eager=True)
+    reps = materialize(reps, "title-sets")
     pairs = similar_pairs(reps, num, den)
     edges = pairs.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).unionByName(
         cmap.where(F.col("id") != F.col("rep")).select(F.col("id").alias("a"), F.col("rep").alias("b")))
@@ -198,7 +198,7 @@ def window_narrow(articles: DataFrame, as_of: Column, lookback_hours: int = C.LO
         win = win.where(F.col("story_group_id").isNull()).drop("story_group_id", "is_duplicate")
     narrow = (win.withColumn("summary_len", F.length(F.coalesce(F.col("summary"), F.lit(""))))
               .drop(*[c for c in BULKY_COLUMNS if c in win.columns]))
-    return narrow.checkpoint(eager=True)
+    return materialize(narrow, "window")
 
 
 def story_groups(articles: DataFrame, as_of: Column, lookback_hours: int = C.LOOKBACK_HOURS,

@@ -818,3 +818,13 @@ ORACLE["s3_article_snapshot_read"] = with_("ing") + f"""SELECT id, url, category
 
 ORACLE["s9_review_queue_write"] = ("SELECT draft_id, headline, CAST(word_count AS VARCHAR) AS word_count, sources, "
                                    "source_urls, body, wp_post_id FROM (" + ORACLE["j8_review_rows"] + ")")
+
+ORACLE["x5_prompt_blocks"] = with_("sc").rstrip("\n") + ",\n" + _TOP + f"""
+SELECT t.id AS story_id, g.id AS member_id, CAST(length(g.raw_content) AS BIGINT) AS content_len,
+  '=== Source: ' || coalesce(g.source, '') || ' ===' || chr(10) || 'Title: ' || coalesce(g.title, '')
+  || chr(10) || {_gcontent} AS block
+FROM top t JOIN grp g ON g.story_group_id = t.story_group_id WHERE t.is_multi_source"""
+
+_WIN = CTE["win"]
+ORACLE["g3_incremental_groups"] = with_("grp").replace(
+    _WIN, _WIN[:-1] + " AND id % 5 <> 0)") + "SELECT id, story_group_id, is_duplicate FROM grp"

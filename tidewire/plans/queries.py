@@ -46,9 +46,8 @@ def ingested(spark: SparkSession, sf: str) -> DataFrame:
     checkpoint folder: it is the first of the pipeline's three
     materialisation points (snapshot, story groups, drafts), and every later
     stage reads it several times."""
-    from tidewire.session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(spark)
-    return I.ingest(X.articles(spark, sf), X.as_of()).checkpoint(eager=True)
+    from tidewire.session import materialize
+    return materialize(I.ingest(X.articles(spark, sf), X.as_of()), "snapshot")
 
 
 def grouped(spark: SparkSession, sf: str) -> DataFrame:
@@ -137,7 +136,8 @@ def p3_title_tokens(spark, sf):
 def j3_similar_pairs(spark, sf):
     narrow = G.window_narrow(ingested(spark, sf), X.as_of())
     reps, _ = G.collapse_copies(G.token_sets(narrow))
-    return G.similar_pairs(reps.checkpoint(eager=True))
+    from tidewire.session import materialize
+    return G.similar_pairs(materialize(reps, "title-sets"))
 
 
 @query("g1_connected_components")
@@ -709,3 +709,20 @@ def s9_review_queue_write(spark, sf):
     back = IO.read_sheet_csv(spark, root)
     return back.select(F.col("draft_id").cast("bigint").alias("draft_id"), "headline", "word_count",
                        "sources", "source_urls", "body", "wp_post_id")
+
+
+@query("x5_prompt_blocks")
+def x5_prompt_blocks(spark, sf):
+    top, members = _top_with_text(spark, sf)
+    return DR.story_prompt_blocks(top, members)
+
+
+@query("g3_incremental_groups")
+def g3_incremental_groups(spark, sf):
+    """Rows grouped by an earlier run (every fifth id) are left alone; only
+    the ungrouped rows of the window are compared and grouped."""
+    snap = ingested(spark, sf)
+    prior = F.col("id") % 5 == 0
+    store = (snap.withColumn("story_group_id", F.when(prior, F.col("id")))
+             .withColumn("is_duplicate", F.when(prior, F.lit(0))))
+    return G.story_groups(store, X.as_of()).select("id", "story_group_id", "is_duplicate")

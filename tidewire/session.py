@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -64,3 +65,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     scratch = tempfile.mkdtemp(prefix="tidewire-ckpt-")
     sc.setCheckpointDir(scratch)
     return sc.getCheckpointDir() or scratch
+
+
+def materialize(df, name: str = "stage"):
+    """Cut lineage by writing ``df`` as a parquet table into the shared
+    checkpoint folder and reading it back.
+
+    One job computes the rows once (``Dataset.checkpoint`` computes an
+    unpersisted plan twice: once for its count, once to write the files),
+    the table is columnar and compressed, and readers get column pruning and
+    filter pushdown on it.  Survives executor loss: the files are on shared
+    storage."""
+    spark = df.sparkSession
+    root = ensure_checkpoint_dir(spark)
+    path = os.path.join(root, "tables", f"{name}-{uuid.uuid4().hex[:16]}")
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
