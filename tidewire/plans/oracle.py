@@ -324,7 +324,7 @@ CTE["drafts_f"] = f"""drafts_f AS (
     CASE d.doc_id % 6 WHEN 0 THEN NULL WHEN 1 THEN '[]' WHEN 2 THEN 'not json'
       WHEN 3 THEN '["' || split_part(p.p_name, ' ', 2) || '","' || split_part(p.p_name, ' ', 1) || '"]'
       WHEN 4 THEN '["zzz' || CAST(d.doc_id AS VARCHAR) || '","' || split_part(p.p_name, ' ', 1) || '"]'
-      ELSE '["qqq","rrr","sss","' || split_part(p.p_name, ' ', 2) || '"]' END AS image_keywords,
+      ELSE '["qqq","' || lower(p.p_type) || '","sss","' || split_part(p.p_name, ' ', 2) || '"]' END AS image_keywords,
     CASE WHEN d.doc_id % 7 = 0 THEN CAST(0 AS BIGINT) WHEN d.doc_id % 2 = 0 THEN d.doc_id + 10000 END AS wp_post_id,
     CASE WHEN d.doc_id % 4 = 0 THEN NULL WHEN d.doc_id % 4 = 1 THEN CAST(0 AS BIGINT) ELSE d.doc_id + 20000 END AS wp_image_id,
     {_pick(C.DRAFT_STATUSES, 'd.doc_id % 5')} AS status,
@@ -712,8 +712,8 @@ mt AS (SELECT tok, min(p_partkey) AS media_id FROM (
          SELECT p_partkey, unnest(string_split_regex(lower(p_name), '\\s+')) AS tok FROM part) WHERE tok <> ''
        GROUP BY tok),
 pt0 AS (SELECT p_partkey AS ord, 'ph' || CAST(p_partkey AS VARCHAR) AS pid,
-          coalesce(CASE WHEN p_partkey % 13 = 0 THEN NULL ELSE CAST(p_retailprice AS BIGINT) END, 0) AS d,
-          unnest(string_split_regex(lower(p_name), '\\s+')) AS tok FROM part),
+          coalesce(CASE WHEN p_partkey % 13 = 0 THEN NULL ELSE CAST(trunc(p_retailprice) AS BIGINT) END, 0) AS d,
+          unnest(string_split_regex(lower(p_type || ' ' || replace(p_brand, '#', ' ')), '\\s+')) AS tok FROM part),
 pt AS (SELECT tok, pid, d, ord FROM (
          SELECT *, row_number() OVER (PARTITION BY tok ORDER BY d DESC, ord ASC) AS rn FROM pt0 WHERE tok <> '')
        WHERE rn = 1),
@@ -828,3 +828,28 @@ FROM top t JOIN grp g ON g.story_group_id = t.story_group_id WHERE t.is_multi_so
 _WIN = CTE["win"]
 ORACLE["g3_incremental_groups"] = with_("grp").replace(
     _WIN, _WIN[:-1] + " AND id % 5 <> 0)") + "SELECT id, story_group_id, is_duplicate FROM grp"
+
+# one key per remaining inventory ID
+ORACLE["m1_recency_score"] = with_("sc") + "SELECT id, recency FROM sc"
+ORACLE["m2_authority_score"] = with_("sc") + "SELECT id, source, authority FROM sc"
+ORACLE["m3_cross_source_bonus"] = with_("sc") + "SELECT id, group_size, bonus FROM sc"
+ORACLE["m4_category_boost"] = with_("sc") + "SELECT id, category, boost FROM sc"
+ORACLE["m6_multi_source_flag"] = with_("sc") + "SELECT id, is_multi_source FROM sc"
+ORACLE["m10_draft_category"] = with_("lreq") + f"""SELECT row_ord,
+  coalesce({_initcap1(_override('category_override')[0])}, {_pick(FIXTURE_CATEGORIES, 'row_ord % 8')}) AS category
+FROM pend"""
+ORACLE["p4_jaccard"] = with_("pairs") + """SELECT id_a, id_b,
+  round(n_inter / (n_a + n_b - n_inter), 6) AS jaccard FROM pairs"""
+ORACLE["p11_first_paragraph"] = with_("vids") + f"SELECT video_id, {_fp} AS first_paragraph FROM vids"
+ORACLE["d6_day_start"] = with_("posts") + f"SELECT id, {_ts("date_trunc('day', date)")} AS day_start FROM posts"
+ORACLE["o3_queue_order"] = with_("drafts_f") + """SELECT id, headline FROM drafts_f WHERE status = 'pending_editor'
+ORDER BY id DESC"""
+ORACLE["x2_dedupe_ids"] = "SELECT story_id, raw_article_ids FROM (" + ORACLE["x5_story_prompt"] + ")"
+ORACLE["a4_distinct_concat"] = "SELECT draft_id, sources FROM (" + ORACLE["j8_review_rows"] + ")"
+ORACLE["a5_group_concat"] = "SELECT id, sources, source_urls FROM (" + ORACLE["j7_preview"] + ")"
+ORACLE["a11_max_downloads"] = "SELECT id, photo_id FROM (" + ORACLE["j10_best_media"] + ") WHERE origin = 'photo'"
+ORACLE["s7_draft_append"] = with_("resp") + f"""SELECT request_id AS id, headline, category, 'pending_editor' AS status,
+  {_ts(AS_OF)} AS created_at, coalesce(image_keywords, '') AS image_keywords FROM ans WHERE ok"""
+ORACLE["s13_html_pages_read"] = "SELECT url, CAST(length(html) AS BIGINT) AS n_chars FROM pages"
+ORACLE["t3_stream_upsert_replay"] = with_("ing") + "SELECT id, url, category FROM ing"
+ORACLE["t4_late_drop"] = ORACLE["f2_fresh"]

@@ -726,3 +726,123 @@ def g3_incremental_groups(spark, sf):
     store = (snap.withColumn("story_group_id", F.when(prior, F.col("id")))
              .withColumn("is_duplicate", F.when(prior, F.lit(0))))
     return G.story_groups(store, X.as_of()).select("id", "story_group_id", "is_duplicate")
+
+
+# ---------------------------------------------------------------------------
+# one key per remaining inventory ID (projections of the operators above)
+# ---------------------------------------------------------------------------
+
+def _scored_cols(spark, sf, *cols):
+    return scored(spark, sf).select("id", *cols)
+
+
+@query("m1_recency_score")
+def m1_recency_score(spark, sf):
+    return _scored_cols(spark, sf, "recency")
+
+
+@query("m2_authority_score")
+def m2_authority_score(spark, sf):
+    return _scored_cols(spark, sf, "source", "authority")
+
+
+@query("m3_cross_source_bonus")
+def m3_cross_source_bonus(spark, sf):
+    return _scored_cols(spark, sf, "group_size", "bonus")
+
+
+@query("m4_category_boost")
+def m4_category_boost(spark, sf):
+    return _scored_cols(spark, sf, "category", "boost")
+
+
+@query("m6_multi_source_flag")
+def m6_multi_source_flag(spark, sf):
+    return _scored_cols(spark, sf, "is_multi_source")
+
+
+@query("m10_draft_category")
+def m10_draft_category(spark, sf):
+    p = _pending(spark, sf)
+    model_cat = X._pick(X.FIXTURE_CATEGORIES, F.col("row_ord") % 8)
+    v = p.select("row_ord", S.validate_override("category_override").alias("v"), model_cat.alias("model"))
+    return v.select("row_ord", S.draft_category("v.key", "model").alias("category"))
+
+
+@query("p4_jaccard")
+def p4_jaccard(spark, sf):
+    pairs = j3_similar_pairs(spark, sf)
+    return pairs.select("id_a", "id_b", F.round(F.col("n_inter") / (F.col("n_a") + F.col("n_b") - F.col("n_inter")),
+                                                6).alias("jaccard"))
+
+
+@query("p11_first_paragraph")
+def p11_first_paragraph(spark, sf):
+    return _videos(spark, sf).select("video_id", T.first_paragraph("description").alias("first_paragraph"))
+
+
+@query("d6_day_start")
+def d6_day_start(spark, sf):
+    return X.cms_posts(spark, sf).select("id", _ts(D.day_start("date")).alias("day_start"))
+
+
+@query("o3_queue_order")
+def o3_queue_order(spark, sf):
+    """Review queue newest first (a range-partitioned global sort)."""
+    d = X.drafts(spark, sf).where(F.col("status") == "pending_editor")
+    return d.orderBy(F.col("id").desc()).select("id", "headline")
+
+
+@query("x2_dedupe_ids")
+def x2_dedupe_ids(spark, sf):
+    return x5_story_prompt(spark, sf).select("story_id", "raw_article_ids")
+
+
+@query("a4_distinct_concat")
+def a4_distinct_concat(spark, sf):
+    return j8_review_rows(spark, sf).select("draft_id", "sources")
+
+
+@query("a5_group_concat")
+def a5_group_concat(spark, sf):
+    return j7_preview(spark, sf).select("id", "sources", "source_urls")
+
+
+@query("a11_max_downloads")
+def a11_max_downloads(spark, sf):
+    return j10_best_media(spark, sf).where(F.col("origin") == "photo").select("id", "photo_id")
+
+
+@query("s7_draft_append")
+def s7_draft_append(spark, sf):
+    rows = DR.new_draft_rows(DR.parse_answers(X.model_responses(spark, sf)), X.as_of())
+    return rows.select("id", "headline", "category", "status", _ts("created_at").alias("created_at"),
+                       F.array_join("image_keywords", ",").alias("image_keywords"))
+
+
+@query("s13_html_pages_read")
+def s13_html_pages_read(spark, sf):
+    return X.table(spark, sf, "pages").select("url", F.length("html").cast("bigint").alias("n_chars"))
+
+
+@query("t3_stream_upsert_replay")
+def t3_stream_upsert_replay(spark, sf):
+    """The same landed files streamed twice (a fresh checkpoint = a full
+    replay) into one store: the second run inserts nothing."""
+    from tidewire.streaming import ingest_stream as ST
+    out, chk = ST.stream_dirs(spark, "t3")
+    ST.stream_ingest(X.articles_of(X.documents_stream(spark, sf)), X.as_of(), out, chk)
+    ST.stream_ingest(X.articles_of(X.documents_stream(spark, sf)), X.as_of(), out, chk + "-replay")
+    return spark.read.parquet(out).select("id", "url", "category")
+
+
+@query("t4_late_drop")
+def t4_late_drop(spark, sf):
+    """The 24 h staleness rule as an explicit predicate inside the stream
+    (same rows in batch and stream); the watermark only bounds state."""
+    from tidewire.streaming import ingest_stream as ST
+    out, chk = ST.stream_dirs(spark, "t4")
+    s = I.fresh(X.articles_of(X.documents_stream(spark, sf)), X.as_of()).select("id", "published_at")
+    (s.writeStream.format("parquet").option("path", out).option("checkpointLocation", chk)
+     .trigger(availableNow=True).start().awaitTermination())
+    return spark.read.parquet(out).select("id", _ts("published_at").alias("published_at"))

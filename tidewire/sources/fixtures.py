@@ -137,7 +137,7 @@ def store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def drafts(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
-    p = table(spark, sf_dir, "part").select("p_partkey", "p_name")
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type")
     doc = F.col("doc_id")
     title = F.substring_index(F.col("text"), "\n", 1)
     w1 = F.split_part(F.col("p_name"), F.lit(" "), F.lit(1))
@@ -147,7 +147,7 @@ def drafts(spark: SparkSession, sf_dir: str) -> DataFrame:
           .when(doc % 6 == 2, F.lit("not json"))
           .when(doc % 6 == 3, F.concat(F.lit('["'), w2, F.lit('","'), w1, F.lit('"]')))
           .when(doc % 6 == 4, F.concat(F.lit('["zzz'), doc.cast("string"), F.lit('","'), w1, F.lit('"]')))
-          .otherwise(F.concat(F.lit('["qqq","rrr","sss","'), w2, F.lit('"]'))))
+          .otherwise(F.concat(F.lit('["qqq","'), F.lower(F.col("p_type")), F.lit('","sss","'), w2, F.lit('"]'))))
     return d.join(p, d.doc_id == p.p_partkey, "left").select(
         doc.alias("id"),
         F.when(doc % 11 == 0, F.array().cast("array<bigint>"))
@@ -301,7 +301,8 @@ def photos(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select(
         F.concat(F.lit("ph"), k.cast("string")).alias("id"),
         k.alias("ord"),
-        F.col("p_name").alias("description"),
+        F.lower(F.concat_ws(" ", F.col("p_type"), F.replace(F.col("p_brand"), F.lit("#"), F.lit(" "))))
+        .alias("description"),
         F.when(k % 13 == 0, F.lit(None).cast("bigint")).otherwise(F.col("p_retailprice").cast("bigint")).alias("downloads"),
         F.struct(F.concat(F.lit("https://img.example.com/"), k.cast("string"), F.lit(".jpg")).alias("regular")).alias("urls"),
         F.struct(F.concat(F.lit("user"), (k % 50).cast("string")).alias("name")).alias("user"),
