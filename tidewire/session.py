@@ -34,6 +34,9 @@ def get_spark(app: str = "tidewire", cpus: int | str | None = None,
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", os.environ.get("TIDEWIRE_DRIVER_MEMORY", "16g"))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # HTML pages can be large: keep the Arrow batches of the one
+        # mapInPandas step (main-text extraction) small in memory
+        .config("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
         .config("spark.sql.files.maxPartitionBytes", str(64 * 1024 * 1024))
     )
     spark = builder.getOrCreate()
