@@ -116,3 +116,26 @@ def test_similarity_plan_has_no_cartesian(spark):
     reps, _ = G.collapse_copies(G.token_sets(df))
     plan = G.similar_pairs(reps)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_positional_filter_exact_on_skewed_vocab(spark):
+    """Few very common words + rare ones, many short sets: the prefix,
+    length and position filters together must keep every similar pair."""
+    for seed in (11, 12, 13):
+        rng = random.Random(seed)
+        common = ["the", "and", "for"]
+        rare = [f"r{i:03d}" for i in range(60)]
+        rows = []
+        for i in range(220):
+            k = rng.randint(1, 9)
+            words = set(rng.sample(common, rng.randint(0, 3)))
+            words |= set(rng.sample(rare, k))
+            rows.append((i, " ".join(sorted(words))))
+        df = spark.createDataFrame(rows, "id long, title string")
+        reps, _ = G.collapse_copies(G.token_sets(df))
+        got = {(r.id_a, r.id_b) for r in G.similar_pairs(reps).collect()}
+        token = {i: set(t.split()) for i, t in rows}
+        rep_of = {}
+        for i in sorted(token):
+            rep_of.setdefault(frozenset(token[i]), i)
+        assert got == brute_pairs({i: token[i] for i in rep_of.values()}), seed

@@ -61,7 +61,20 @@ def similar_pairs(reps: DataFrame, num: int = C.JACCARD_NUM, den: int = C.JACCAR
     """J3 over distinct token sets: (id_a < id_b, n_a, n_b, n_inter) for every
     pair with Jaccard >= num/den, exact.
 
-    ``reps`` has (rep, tokens, n).  Output ids are the representatives."""
+    ``reps`` has (rep, tokens, n).  Output ids are the representatives.
+
+    Candidate filters, all exact:
+    * prefix: only the first ``n - ceil(t n) + 1`` tokens in global
+      frequency order are indexed (two similar sets share one of them);
+    * length: ``min(n) >= t * max(n)``;
+    * position (PPJoin): where two sets meet on a token at positions
+      (p_a, p_b), all tokens they have in common from their *first* shared
+      token on lie at or after it, so at that first meeting
+      ``overlap <= 1 + min(n_a - p_a - 1, n_b - p_b - 1)``, and Jaccard >= t
+      needs ``overlap >= t / (1 + t) * (n_a + n_b)``.  A meeting failing the
+      bound is dropped; a similar pair always keeps its first meeting.  This
+      stops short sets that share only a very common word ("the") from
+      meeting pairwise."""
     base = reps.select(F.col("rep").alias("id"), "tokens", "n").where(F.col("n") > 0)
     exploded = base.select("id", "n", F.explode("tokens").alias("tok"))
     freq = exploded.groupBy("tok").agg(F.count(F.lit(1)).alias("df"))
@@ -70,12 +83,14 @@ def similar_pairs(reps: DataFrame, num: int = C.JACCARD_NUM, den: int = C.JACCAR
               .agg(F.array_sort(F.collect_list(F.struct("df", "tok"))).alias("ordered")))
     prefix = ranked.select(
         "id", "n",
-        F.explode(F.slice("ordered", 1, _prefix_len(F.col("n"), num, den).cast("int"))).alias("e")
-    ).select("id", "n", F.col("e.tok").alias("tok"))
+        F.posexplode(F.slice("ordered", 1, _prefix_len(F.col("n"), num, den).cast("int"))).alias("pos", "e")
+    ).select("id", "n", "pos", F.col("e.tok").alias("tok"))
     a = prefix.alias("a")
     b = prefix.alias("b")
+    reach = F.least(F.col("a.n") - F.col("a.pos"), F.col("b.n") - F.col("b.pos"))  # 1 + min(remaining)
     cand = (a.join(b, (F.col("a.tok") == F.col("b.tok")) & (F.col("a.id") < F.col("b.id"))
-                   & (F.least("a.n", "b.n") * den >= F.greatest("a.n", "b.n") * num))
+                   & (F.least("a.n", "b.n") * den >= F.greatest("a.n", "b.n") * num)
+                   & (reach * (den + num) >= (F.col("a.n") + F.col("b.n")) * num))
             .select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b"))
             .distinct())
     ta = base.select(F.col("id").alias("id_a"), F.col("tokens").alias("t_a"), F.col("n").alias("n_a"))
