@@ -143,11 +143,12 @@ def connected_components(edges: DataFrame, vertices: DataFrame | None = None,
     ensure_checkpoint_dir(edges.sparkSession)
     e = (edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
          .where(F.col("a") != F.col("b")).distinct())
-    e = materialize(e, "cc-edges")
+    # a round leaves a star forest unchanged, so the first round runs before
+    # the first test (raw similarity edges are almost never already stars)
     for _ in range(max_rounds):
+        e = materialize(_small_star(_large_star(e)), "cc-edges")
         if _is_star_forest(e):
             break
-        e = materialize(_small_star(_large_star(e)), "cc-edges")
     else:
         raise RuntimeError("connected components did not converge")
     labels = e.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(
