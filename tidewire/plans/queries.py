@@ -560,7 +560,7 @@ def f11_published_today(spark, sf):
 
 @query("o2_digest_top")
 def o2_digest_top(spark, sf):
-    return _digest_top(spark, sf).select("section", "id", "rank")
+    return _digest_top(spark, sf).select("section", "id", F.col("rank").cast("bigint").alias("rank"))
 
 
 @query("x11_digest_text")
