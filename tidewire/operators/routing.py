@@ -25,7 +25,7 @@ def _lookup_ids(categories: DataFrame, merged: bool) -> DataFrame:
 
 
 def route_categories(df: DataFrame, categories: DataFrame, category_col: str = "category",
-                     mapping=C.CATEGORY_MAP, merged: bool = False) -> DataFrame:
+                     mapping=C.CATEGORY_MAP, merged: bool = False, keep_lookup: bool = False) -> DataFrame:
     """X7 + J9: ``category_ids`` = [primary section id if known] + [mapped
     topic id unless blocked, unknown or already present].  Unmapped names are
     looked up as they are.  An id of 0 counts as missing (falsy in the
@@ -43,7 +43,10 @@ def route_categories(df: DataFrame, categories: DataFrame, category_col: str = "
               & (F.coalesce(F.col("_sub"), F.lit(0)) != 0)
               & (prim_id.isNull() | (F.col("_sub") != prim_id)))
     ids = F.filter(F.array(prim_id, F.when(sub_ok, F.col("_sub"))), lambda v: v.isNotNull())
-    return x.withColumn("category_ids", ids.cast("array<bigint>")).drop("_mapped", "_sub")
+    x = x.withColumn("category_ids", ids.cast("array<bigint>"))
+    if keep_lookup:
+        return x.withColumnRenamed("_mapped", "mapped_name").withColumnRenamed("_sub", "topic_id")
+    return x.drop("_mapped", "_sub")
 
 
 def unpublished(drafts: DataFrame, status: str = "pending_editor") -> DataFrame:

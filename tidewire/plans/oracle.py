@@ -853,3 +853,25 @@ ORACLE["s7_draft_append"] = with_("resp") + f"""SELECT request_id AS id, headlin
 ORACLE["s13_html_pages_read"] = "SELECT url, CAST(length(html) AS BIGINT) AS n_chars FROM pages"
 ORACLE["t3_stream_upsert_replay"] = with_("ing") + "SELECT id, url, category FROM ing"
 ORACLE["t4_late_drop"] = ORACLE["f2_fresh"]
+
+ORACLE["j4_group_size_lookup"] = with_("sc") + "SELECT id, story_group_id, group_size FROM sc"
+ORACLE["j5_authority_lookup"] = with_("sc") + "SELECT DISTINCT source, authority FROM sc"
+ORACLE["j9_category_lookup"] = with_("drafts_f", "cats") + f""",
+unpub AS (SELECT * FROM drafts_f WHERE status = 'pending_editor' AND coalesce(wp_post_id, 0) = 0),
+m AS (SELECT id, category, {_MAP_CASE} AS mapped_name FROM (SELECT *, lower(coalesce(category, '')) AS low FROM unpub))
+SELECT m.id, m.category, m.mapped_name, CAST(l.id AS VARCHAR) AS topic_id FROM m LEFT JOIN lk l ON l.key = m.mapped_name"""
+ORACLE["j9_category_lookup"] = ORACLE["j9_category_lookup"].replace("\n,\nunpub AS", ",\nunpub AS")
+_ALL_SECTION_IDS = ", ".join(str(i) for i in sorted({i for _, ids in C.DIGEST_SECTIONS for i in ids}))
+ORACLE["j11_section_overlap"] = with_("posts") + f"""SELECT id FROM posts
+WHERE list_has_any(CAST(categories AS BIGINT[]), [{_ALL_SECTION_IDS}]::BIGINT[])"""
+ORACLE["j13_domain_rule_lookup"] = with_("types") + "SELECT row_ord, url_type, label FROM types WHERE url_type <> 'article'"
+ORACLE["w4_best_media"] = "SELECT id, media_id FROM (" + ORACLE["j10_best_media"] + ") WHERE origin = 'library'"
+ORACLE["o4_longest_first"] = "SELECT story_id, member_id, content_len FROM (" + ORACLE["x5_prompt_blocks"] + ")"
+ORACLE["x4_repair_json_newlines"] = with_("resp") + """SELECT a.request_id, json_extract_string(a.j, '$.headline') AS headline
+FROM ans1 a JOIN ans0 b ON a.request_id = b.request_id
+WHERE NOT coalesce(json_valid(CASE WHEN starts_with(b.r2, '{') THEN b.r2
+    WHEN instr(b.r2, '{') > 0 AND instr(reverse(b.r2), '}') > 0 AND length(b.r2) - instr(reverse(b.r2), '}') + 1 > instr(b.r2, '{')
+    THEN substr(b.r2, instr(b.r2, '{'), length(b.r2) - instr(reverse(b.r2), '}') + 1 - instr(b.r2, '{') + 1)
+    ELSE b.r2 END), false)
+  AND json_valid(a.j)"""
+ORACLE["s11_link_sheet_read"] = with_("lreq") + "SELECT row_ord, url, notes, category_override FROM pend"

@@ -846,3 +846,63 @@ def t4_late_drop(spark, sf):
     (s.writeStream.format("parquet").option("path", out).option("checkpointLocation", chk)
      .trigger(availableNow=True).start().awaitTermination())
     return spark.read.parquet(out).select("id", _ts("published_at").alias("published_at"))
+
+
+@query("j4_group_size_lookup")
+def j4_group_size_lookup(spark, sf):
+    return _scored_cols(spark, sf, "story_group_id", "group_size")
+
+
+@query("j5_authority_lookup")
+def j5_authority_lookup(spark, sf):
+    return scored(spark, sf).select("source", "authority").distinct()
+
+
+@query("j9_category_lookup")
+def j9_category_lookup(spark, sf):
+    d = RT.route_categories(RT.unpublished(X.drafts(spark, sf)), X.cms_categories(spark, sf), keep_lookup=True)
+    return d.select("id", "category", "mapped_name", F.col("topic_id").cast("string").alias("topic_id"))
+
+
+@query("j11_section_overlap")
+def j11_section_overlap(spark, sf):
+    ids = sorted({i for _, ids in C.DIGEST_SECTIONS for i in ids})
+    p = X.cms_posts(spark, sf)
+    return p.where(F.arrays_overlap(F.col("categories").cast("array<bigint>"),
+                                    F.array(*[F.lit(i) for i in ids]).cast("array<bigint>"))).select("id")
+
+
+@query("j13_domain_rule_lookup")
+def j13_domain_rule_lookup(spark, sf):
+    t = RQ.url_types(_pending(spark, sf), X.domain_rules(spark, sf))
+    return t.where(F.col("url_type") != "article").select("row_ord", "url_type", "label")
+
+
+@query("w4_best_media")
+def w4_best_media(spark, sf):
+    return j10_best_media(spark, sf).where(F.col("origin") == "library").select("id", "media_id")
+
+
+@query("o4_longest_first")
+def o4_longest_first(spark, sf):
+    return x5_prompt_blocks(spark, sf).select("story_id", "member_id", "content_len")
+
+
+@query("x4_repair_json_newlines")
+def x4_repair_json_newlines(spark, sf):
+    return DR.needs_newline_repair(X.model_responses(spark, sf))
+
+
+@query("s11_link_sheet_read")
+def s11_link_sheet_read(spark, sf):
+    """The link-request sheet landed as CSV (row number first), read back
+    positionally; the pending filter applies to the read rows."""
+    from tidewire.sources import io as IO
+    root = IO.scratch_dir(spark, "link-sheet")
+    r = X.link_requests(spark, sf)
+    r.select(F.col("row_ord").cast("string"), "url", "notes", "status", F.lit("").alias("wp_post_id"),
+             F.lit("").alias("date_added"), "category_override") \
+        .write.mode("overwrite").option("quoteAll", True).csv(root)
+    back = IO.read_sheet_csv(spark, root, "row_ord string, " + IO.LINK_SHEET_SCHEMA)
+    back = back.withColumn("row_ord", F.col("row_ord").cast("bigint"))
+    return RQ.pending_requests(back).select("row_ord", "url", "notes", "category_override")
