@@ -84,3 +84,12 @@ def materialize(df, name: str = "stage"):
     path = os.path.join(root, "tables", f"{name}-{uuid.uuid4().hex[:16]}")
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Existence check on the path's own file system (HDFS, object stores,
+    local) through the session's Hadoop configuration."""
+    jvm = spark.sparkContext._jvm
+    hpath = jvm.org.apache.hadoop.fs.Path(path)
+    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return bool(fs.exists(hpath))

@@ -27,7 +27,7 @@ LINK_SHEET_SCHEMA = "url string, notes string, status string, wp_post_id string,
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder next to the checkpoints (shared storage on a cluster)."""
     root = ensure_checkpoint_dir(spark)
-    return os.path.join(root.replace("file:", ""), f"tidewire-{name}-{uuid.uuid4().hex[:12]}")
+    return os.path.join(root, f"tidewire-{name}-{uuid.uuid4().hex[:12]}")
 
 
 def write_snapshot(df: DataFrame, root: str, ingest_date: str, fmt: str = "parquet") -> None:

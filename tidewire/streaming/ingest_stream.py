@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tidewire.operators import ingest as I
 from tidewire.sources.fixtures import spread_small_scan
-from tidewire.session import ensure_checkpoint_dir
+from tidewire.session import ensure_checkpoint_dir, path_exists
 
 
 def _empty_store(spark: SparkSession, path: str, schema) -> None:
@@ -43,7 +43,7 @@ def stream_ingest(items: DataFrame, as_of: Column, out_path: str, checkpoint: st
             batch.unpersist()
 
     probe = I.ingest(items, as_of)
-    if not os.path.exists(out_path.replace("file:", "")):
+    if not path_exists(spark, out_path):
         _empty_store(spark, out_path, probe.schema)
     (items.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint)
      .trigger(availableNow=True).start().awaitTermination())
