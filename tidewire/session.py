@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -93,3 +94,16 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     hpath = jvm.org.apache.hadoop.fs.Path(path)
     fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     return bool(fs.exists(hpath))
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, once per Spark context, so that
+    functions running in their Python workers can import it wherever the
+    driver was started from."""
+    sc = spark.sparkContext
+    if getattr(sc, "_tidewire_shipped", False):
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    base = os.path.join(tempfile.mkdtemp(prefix="tidewire-ship-"), "tidewire")
+    sc.addPyFile(shutil.make_archive(base, "zip", os.path.dirname(here), os.path.basename(here)))
+    sc._tidewire_shipped = True
