@@ -27,3 +27,31 @@ SELECT w.doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT
        sha256(coalesce(t, '')) AS kept_sha256
 FROM w LEFT JOIN kept ON kept.doc_id = w.doc_id
 """
+
+ORACLE["op7_minhash_dedup"] = r"""
+WITH RECURSIVE t AS (
+  SELECT doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (
+  SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')]
+    ELSE list_distinct(list_transform(generate_series(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 3], ' ')))
+    END AS sh FROM t),
+e AS (SELECT DISTINCT doc_id, unnest(sh) AS g, len(sh) AS n FROM s),
+-- a shingle shared by one document only makes no pair; prefix filter: the rarest
+-- shingles of a set, as many as a partner of 80 % must share one of
+f AS (SELECT e.*, row_number() OVER (PARTITION BY doc_id ORDER BY c, g) AS r
+      FROM e JOIN (SELECT g, count(*) AS c FROM e GROUP BY g) USING (g)),
+p AS (SELECT DISTINCT a.doc_id AS x, b.doc_id AS y
+      FROM f a JOIN f b ON a.g = b.g AND a.doc_id < b.doc_id
+      WHERE a.r <= a.n - (80 * a.n + 99) // 100 + 1 AND b.r <= b.n - (80 * b.n + 99) // 100 + 1
+        AND least(a.n, b.n) * 100 >= greatest(a.n, b.n) * 80),
+l AS (SELECT x, y FROM p JOIN s a ON a.doc_id = x JOIN s b ON b.doc_id = y
+      WHERE 100 * len(list_intersect(a.sh, b.sh))
+            >= 80 * (len(a.sh) + len(b.sh) - len(list_intersect(a.sh, b.sh)))),
+both_ways AS (SELECT x, y FROM l UNION SELECT y, x FROM l),
+reach(x, y) AS (SELECT doc_id, doc_id FROM s UNION SELECT r.x, b.y FROM reach r JOIN both_ways b ON b.x = r.y),
+c AS (SELECT x AS doc_id, min(y) AS component_id FROM reach GROUP BY x)
+SELECT s.doc_id, len(sh)::BIGINT AS n_shingles, component_id, s.doc_id = component_id AS kept
+FROM s JOIN c ON c.doc_id = s.doc_id
+"""

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from tidewire.llm.common import read
 from tidewire.llm.exact_dedup import exact_dedup
+from tidewire.llm.minhash_dedup import near_duplicates
 from tidewire.llm.oracle import ORACLE
 from tidewire.llm.substring_dedup import substring_dedup
 
@@ -17,6 +18,10 @@ def op2_substring_dedup(spark, sf_dir):
     return substring_dedup(read(spark, sf_dir, "documents"), size=35)
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_substring_dedup)}
+def op7_minhash_dedup(spark, sf_dir):
+    return near_duplicates(read(spark, sf_dir, "documents"), words_each=4, percent=80)
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_substring_dedup, op7_minhash_dedup)}
 
 __all__ = ["ORACLE", "QUERIES"]
