@@ -3,10 +3,15 @@ production parameters."""
 
 from __future__ import annotations
 
+import public_tokenizers
+from pyspark.sql import functions as F
+
+from tidewire.llm import quality
 from tidewire.llm.common import read
 from tidewire.llm.exact_dedup import exact_dedup
 from tidewire.llm.minhash_dedup import near_duplicates
 from tidewire.llm.oracle import ORACLE
+from tidewire.llm.packing import pack
 from tidewire.llm.substring_dedup import substring_dedup
 
 
@@ -18,10 +23,23 @@ def op2_substring_dedup(spark, sf_dir):
     return substring_dedup(read(spark, sf_dir, "documents"), size=35)
 
 
+def op4_quality_classifier(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.train(docs, read(spark, sf_dir, "labels"))
+    return quality.score(docs, model).select(
+        "doc_id", quality.held_out("doc_id").alias("held_out"), "score",
+        F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
+
+
+def op5_best_fit_packing(spark, sf_dir):
+    return pack(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op7_minhash_dedup(spark, sf_dir):
     return near_duplicates(read(spark, sf_dir, "documents"), words_each=4, percent=80)
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_substring_dedup, op7_minhash_dedup)}
+QUERIES = {f.__name__: f for f in (
+    op1_exact_dedup, op2_substring_dedup, op4_quality_classifier, op5_best_fit_packing, op7_minhash_dedup)}
 
 __all__ = ["ORACLE", "QUERIES"]

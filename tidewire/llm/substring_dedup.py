@@ -176,18 +176,17 @@ def _pack(batches):
     for batch in batches:
         text = [b"" if t is None else t.encode() for t in batch.column("text").to_pylist()]
         yield pa.record_batch([
-            batch.column("key"), batch.column("doc_id"), pa.array([len(t) for t in text], pa.int64()),
+            batch.column("key"), batch.column("doc_id"), batch.column("carry"), pa.array([len(t) for t in text], pa.int64()),
             pa.array([pa.compress(t, "zstd", asbytes=True) if t else b"" for t in text], pa.binary())],
-            names=["key", "doc_id", "n_bytes", "packed_text"])
+            names=["key", "doc_id", "carry", "n_bytes", "packed_text"])
 
 
 def _cutter(size: int, with_text: bool):
     def cut(batches):
         for batch in batches:
-            rows = [[] for _ in range(5)]
-            for doc_id, n, packed, starts, runs in zip(
-                    *(batch.column(c).to_pylist() for c in ("doc_id", "n_bytes", "packed_text", "starts", "runs")),
-                    strict=True):
+            rows = [[] for _ in range(4)]
+            for n, packed, starts, runs in zip(
+                    *(batch.column(c).to_pylist() for c in ("n_bytes", "packed_text", "starts", "runs")), strict=True):
                 text = pa.decompress(packed, n, "zstd", asbytes=True) if n else b""
                 words = Words(pa.array([text], pa.binary()))
                 total = len(words)
@@ -200,23 +199,27 @@ def _cutter(size: int, with_text: bool):
                     np.add.at(edge, r >> 32, 1)
                     np.add.at(edge, (r >> 32) + (r & 0xFFFFFFFF) - 1 + size, -1)
                     kept = np.flatnonzero(np.cumsum(edge)[:-1] == 0)
-                left = words.text(kept)
-                for x, v in zip(rows, (doc_id, total, total - len(kept), hashlib.sha256(left).hexdigest(),
-                                       left.decode() if with_text else None), strict=True):
+                whole = len(kept) == total
+                for x, v in zip(rows, (total, total - len(kept), hashlib.sha256(words.text(kept)).hexdigest(),
+                                       (text if whole else words.cut(text, kept)) if with_text else None), strict=True):
                     x.append(v)
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
-            yield pa.record_batch([pa.array(x, k) for x, k in zip(rows, kinds, strict=True)],
-                                  names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"])
+            kinds = (pa.int64(), pa.int64(), pa.string(), pa.binary())
+            yield pa.record_batch([batch.column("doc_id"), batch.column("carry")]
+                                  + [pa.array(x, k) for x, k in zip(rows, kinds, strict=True)],
+                                  names=["doc_id", "carry", "n_words", "n_removed", "kept_sha256", "kept_text"])
 
     return cut
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 35,
                     with_text: bool = False, sketch_bytes: int = 128 << 20, flush: int = 4 << 20) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256 and, if asked for, kept_text:
-    the words that stay, joined by one space."""
+    """doc_id, n_words, n_removed, kept_sha256: of the words that stay, joined
+    by one space.  ``with_text`` adds kept_text, the text without the removed
+    words and the white space after each, and ``row``, the input row."""
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if with_text and c != text_col] or [F.lit(0).alias("none")])
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"),
+                       row.alias("carry"))
     facts = rows.agg(F.sum(F.octet_length("text")).alias("bytes")).first()
     twice = rows.groupBy("doc_id").count().where("count > 1 or doc_id is null")
     unique = twice.isEmpty()
@@ -247,9 +250,13 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.collect_list(F.when(F.col("span") == 0, F.col("pos").cast("int"))).alias("starts"),
         F.collect_list(F.when(F.col("span") > 0, F.shiftleft("pos", 32)
                               + F.col("span"))).alias("runs"))
-    texts = map_arrow(rows, _pack, "key long, doc_id long, n_bytes long, packed_text binary")
+    carry = rows.schema["carry"].dataType.simpleString()
+    texts = map_arrow(rows, _pack, f"key long, doc_id long, carry {carry}, n_bytes long, packed_text binary")
     out = map_arrow(texts.join(cover, "key", "left"), _cutter(size, with_text),
-                    "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
-    return out if with_text else out.drop("kept_text")
+                    f"doc_id long, carry {carry}, n_words long, n_removed long, kept_sha256 string, kept_text binary")
+    if not with_text:
+        return out.drop("kept_text", "carry")
+    return out.select("doc_id", "n_words", "n_removed", "kept_sha256",
+                      F.col("kept_text").cast("string").alias("kept_text"), F.col("carry").alias("row"))
 
 

@@ -96,6 +96,28 @@ class Words:
         at = np.flatnonzero(left >= size)
         return at, mix(_runs(h, at, at + size, BASES[seed][1]) + U(size))
 
+    def encoded(self) -> tuple[np.ndarray, list[bytes]]:
+        """For each word its number in the list of distinct words, and that list."""
+        size = self.end - self.start
+        offsets = np.zeros(len(size) + 1, np.int64)
+        np.cumsum(size, out=offsets[1:])
+        take = np.arange(offsets[-1]) + np.repeat(self.start - offsets[:-1], size)
+        packed = pa.LargeBinaryArray.from_buffers(
+            pa.large_binary(), len(size), [None, pa.py_buffer(offsets), pa.py_buffer(self.data[take])])
+        coded = packed.dictionary_encode()
+        return coded.indices.to_numpy(), coded.dictionary.to_pylist()
+
+    def cut(self, text: bytes, kept: np.ndarray) -> bytes:
+        """The text of the single document without the words that are not in
+        ``kept`` and the white space after them."""
+        gone = np.ones(len(self), bool)
+        gone[kept] = False
+        bounds = np.append(self.start, len(text))
+        edge = np.zeros(len(text) + 1, np.int8)
+        np.add.at(edge, bounds[:-1][gone], 1)
+        np.add.at(edge, bounds[1:][gone], -1)
+        return np.frombuffer(text, np.uint8)[np.cumsum(edge[:-1]) == 0].tobytes()
+
     def text(self, numbers: np.ndarray) -> bytes:
         """The words of these numbers, joined by one space."""
         if not len(numbers):
