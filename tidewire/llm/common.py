@@ -45,7 +45,7 @@ def map_arrow(df: DataFrame, fn, schema: str) -> DataFrame:
     return df.mapInArrow(fn, schema)
 
 
-def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 4 << 20):
+def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 1 << 20):
     """Cut a batch into runs of rows holding about ``most_bytes`` of ``column``
     (at least one row each), so that work arrays stay small."""
     text = batch.column(column)

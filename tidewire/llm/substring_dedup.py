@@ -237,7 +237,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         bits[row][block * _BLOCK // 8:(block + 1) * _BLOCK // 8] = np.frombuffer(r["bits"], np.uint8)
     shared = spark.sparkContext.broadcast(bits)
 
-    found = map_arrow(rows.select("key", "text"), _finder(size, cells, flush, shared),
+    found = map_arrow(rows.select("key", "text"), _finder(size, cells, flush // 4, shared),
                       "h1 long, packed long, key long, span int")
     pos = F.col("packed").bitwiseAND(F.lit(0xFFFFFFFF))
     nowhere = 0xFFFFFFFF
