@@ -16,7 +16,7 @@ similarity.  Steps:
    in it or every pair across components has met: no link is given up, and a
    large group of near copies costs about one comparison per member;
 4. a candidate must pass the exact length bound and the joint likelihood
-   estimate of the similarity (six standard deviations below the threshold),
+   estimate of the similarity (five standard deviations below the threshold),
    then the full sets decide: ``100 * |A & B| >= percent * |A | B|``.
 
 Bands of ``band_rows`` registers, ``bands`` of them: a pair at similarity 0.8
@@ -127,8 +127,17 @@ def _setter(words_each: int):
     return sets
 
 
+def _flat(batches):
+    for batch in batches:
+        for i in range(0, batch.num_rows, 256):
+            part = batch.slice(i, 256)
+            sets = [np.frombuffer(v.as_buffer(), np.int64) for v in part.column("elements")]
+            yield pa.record_batch([pa.array(np.repeat(part.column("doc_id").to_numpy(), [len(s) for s in sets])),
+                                   pa.array(np.concatenate(sets))], names=["id", "element"])
+
+
 def _estimator(percent: int, count: int):
-    least = percent / 100 - 6 * math.sqrt(0.25 * percent / 100 / count)
+    least = percent / 100 - 5 * math.sqrt(percent / 100 * (1 - percent / 100) / count)
 
     def estimate(batches):
         for batch in batches:
@@ -191,36 +200,51 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                                    _setter(words_each), "doc_id long, elements binary"), "sets") \
         if not buckets.isEmpty() else None
 
+    # a member whose buckets are large resembles many: it leads
+    weight = buckets.groupBy("id").agg(F.sum("size").alias("weight"))
+    buckets = buckets.select("key", "id", "n", F.col("n").alias("s"))
+    if sets is not None:
+        weight = scratch.table(weight, "weights")
     links, turn = None, 0
-    close = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
+    alike = ((F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
+             & (F.least("s_a", "s_b") * 100 >= (F.col("n_a") + F.col("n_b") - F.least("s_a", "s_b")) * percent))
     while sets is not None:
-        at = Window.partitionBy("key").orderBy("main", "id") if turn else Window.partitionBy("key").orderBy("id")
-        leaders = 1 if not turn else small * 4 ** (turn - 1)
+        now = buckets.withColumn("comp", F.col("id"))
         if turn:
             comp = scratch.table(connected_components(links), f"components-{turn}")
-            now = (buckets.join(comp, "id", "left")
-                   .select("key", "id", "n", F.coalesce("component", "id").alias("comp")))
-            # members of each bucket by component; the largest component leads last
-            per = now.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("m"))
-            top = per.groupBy("key").agg(F.max(F.struct("m", "comp")).alias("top"), F.count(F.lit(1)).alias("comps"),
-                                         F.sum("m").alias("size"))
-            open_ = (now.join(top.where("comps > 1"), "key")
-                     .select("key", "id", "n", "comp", "size", (F.col("comp") == F.col("top.comp")).alias("main")))
-        else:
-            open_ = buckets.select("key", "id", "n", "size", F.col("id").alias("comp"))
+            now = buckets.join(comp, "id", "left").select("key", "id", "n", "s",
+                                                          F.coalesce("component", "id").alias("comp"))
+        if turn == 1:
+            # what is left are large buckets of several components.  A set meets no
+            # other in its elements that none of them shares: s counts the others
+            mixed = now.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x != y")
+            now = scratch.table(now.join(mixed.select("key"), "key"), "mixed")
+            elements = map_arrow(sets.join(now.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi"),
+                                 _flat, "id long, element long")
+            own = (elements.groupBy("element").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("id"))
+                   .where("c = 1").groupBy("id").agg(F.count(F.lit(1)).alias("u")))
+            now = (now.drop("s").join(own, "id", "left")
+                   .select("key", "id", "n", (F.col("n") - F.coalesce("u", F.lit(0))).alias("s"), "comp")
+                   .where(F.col("s") * 100 >= F.col("n") * percent))
+        # members of each bucket by component; the largest component leads last
+        per = now.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("m"))
+        top = per.groupBy("key").agg(F.max(F.struct("m", "comp")).alias("top"), F.count(F.lit(1)).alias("comps"),
+                                     F.sum("m").alias("size")).where("comps > 1")
+        open_ = scratch.table(now.join(top, "key").select(
+            "key", "id", "n", "s", "comp", "size", ((F.col("comp") == F.col("top.comp")) & F.lit(turn > 0)).alias("main")),
+            f"open-{turn}")
+        leaders = small * 4 ** (turn - 1) if turn else 1
         # the first members of each bucket lead: found without sorting a bucket whole
         limit = F.when(F.col("size") <= small, F.col("size")).otherwise(F.lit(leaders))
-        ranked = open_.withColumn("place", F.row_number().over(at)).where(
-            F.col("place") <= (F.greatest(F.lit(small), F.lit(leaders))))
-        heads = ranked.where(F.col("place") <= limit)
-        if turn:
-            heads = heads.where(~F.col("main"))
+        at = Window.partitionBy("key").orderBy("main", F.desc("weight"), "id")
+        heads = (open_.join(weight, "id").withColumn("place", F.row_number().over(at))
+                 .where(F.col("place") <= max(small, leaders)).where((F.col("place") <= limit) & ~F.col("main")))
         heads = scratch.table(heads.select("key", F.col("id").alias("head"), F.col("n").alias("n_a"),
-                                           F.col("comp").alias("comp_a")), f"heads-{turn}")
+                                           F.col("s").alias("s_a"), F.col("comp").alias("comp_a")), f"heads-{turn}")
         if heads.isEmpty():
             break
-        pairs = (open_.select("key", "id", "comp", F.col("n").alias("n_b")).join(heads, "key")
-                 .where((F.col("comp") != F.col("comp_a")) & close)
+        pairs = (open_.select("key", "id", "comp", F.col("n").alias("n_b"), F.col("s").alias("s_b")).join(heads, "key")
+                 .where((F.col("comp") != F.col("comp_a")) & alike)
                  .select(F.least("id", "head").alias("a"), F.greatest("id", "head").alias("b"))
                  .distinct())
         side = sketches.select("id", "n", "sketch")
@@ -235,7 +259,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         new = scratch.table(map_arrow(full, _decider(percent), "a long, b long"), f"links-{turn}")
         links = new if links is None else links.unionByName(new)
         # a leader has met all others of its bucket: it leaves
-        rest = (open_.select("key", "id", "n")
+        rest = (open_.select("key", "id", "n", "s")
                 .join(heads.select("key", F.col("head").alias("id")), ["key", "id"], "left_anti"))
         buckets = scratch.table(rest, f"buckets-{turn + 1}")
         turn += 1

@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 from tidewire.llm import quality
 from tidewire.llm.common import read
 from tidewire.llm.exact_dedup import exact_dedup
+from tidewire.llm.fingerprints import edited_fingerprints
 from tidewire.llm.minhash_dedup import near_duplicates
 from tidewire.llm.oracle import ORACLE
 from tidewire.llm.packing import pack
+from tidewire.llm.sharding import shard
 from tidewire.llm.substring_dedup import substring_dedup
 
 
@@ -23,6 +25,12 @@ def op2_substring_dedup(spark, sf_dir):
     return substring_dedup(read(spark, sf_dir, "documents"), size=35)
 
 
+def op3_sharding(spark, sf_dir):
+    placed = shard(read(spark, sf_dir, "documents"), shards=8)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+                         F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op4_quality_classifier(spark, sf_dir):
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality.train(docs, read(spark, sf_dir, "labels"))
@@ -39,7 +47,12 @@ def op7_minhash_dedup(spark, sf_dir):
     return near_duplicates(read(spark, sf_dir, "documents"), words_each=4, percent=80)
 
 
+def op9_document_fingerprints(spark, sf_dir):
+    return edited_fingerprints(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_exact_dedup, op2_substring_dedup, op4_quality_classifier, op5_best_fit_packing, op7_minhash_dedup)}
+    op1_exact_dedup, op2_substring_dedup, op3_sharding, op4_quality_classifier, op5_best_fit_packing,
+    op7_minhash_dedup, op9_document_fingerprints)}
 
 __all__ = ["ORACLE", "QUERIES"]

@@ -35,6 +35,8 @@ from tidewire.llm.words import U, Words, mix
 
 _BLOCK = 1 << 20
 _ROWS = 2
+#: In the low 32 bits of a row: a place, a run's place plus RUN, or NOWHERE.
+RUN, NOWHERE = 1 << 31, (1 << 32) - 1
 _SEEDS = (U(0), U(0x2545F4914F6CDD1D))
 
 
@@ -48,7 +50,7 @@ def _gaps(index: np.ndarray) -> bytes:
     return gaps.view(np.uint8).reshape(-1, 4).T.tobytes()
 
 
-def _ungaps(data: bytes) -> np.ndarray:
+def _ungaps(data) -> np.ndarray:
     planes = np.frombuffer(data, np.uint8).reshape(4, -1)
     return np.cumsum(np.ascontiguousarray(planes.T).view("<u4")[:, 0].astype(np.int64))
 
@@ -97,7 +99,9 @@ def _merge(batches):
                                names=["slot", "bits"])
 
     for batch in batches:
-        for s, once, two in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+        for s, once, two in zip(batch.column("slot").to_pylist(), batch.column("once"), batch.column("twice"),
+                                strict=True):
+            once, two = once.as_buffer(), two.as_buffer()
             if s != slot:
                 if slot is not None:
                     yield done()
@@ -150,35 +154,37 @@ def _finder(size: int, cells: int, flush: int, bits):
         head[order[new]] = True
         # a row per window in the order of the text; settled windows send one without a place
         rows = np.flatnonzero(head)
-        place = np.where(settled[rows], -1, pos[rows])
-        yield from batches_of(h1[rows], h2[rows], np.where(settled[rows], 0, key[rows]), place,
-                              np.zeros(len(rows), np.int64))
-        # settled occurrences leave as runs of window starts
+        nowhere = settled[rows]
+        yield from batches_of(h1[rows], h2[rows], np.where(nowhere, 0, key[rows]),
+                              np.where(nowhere, NOWHERE, pos[rows]))
+        # settled occurrences leave as runs of window starts, with the run's length for a hash
         at = np.flatnonzero(settled)
         if len(at):
             start = np.concatenate([[True], (key[at][1:] != key[at][:-1]) | (pos[at][1:] != pos[at][:-1] + 1)])
             first = at[start]
             length = np.diff(np.append(np.flatnonzero(start), len(at)))
             spread = mix(key[first].astype(U) ^ (pos[first].astype(U) << U(40)))
-            yield from batches_of(spread, spread >> U(32), key[first], pos[first], length)
+            yield from batches_of(spread, length, key[first], pos[first] + RUN)
 
-    def batches_of(h1, h2, key, pos, span):
-        packed = ((h2.astype(U) << U(32)) | (pos.astype(np.int64).astype(U) & U(0xFFFFFFFF))).view(np.int64)
+    def batches_of(h1, h2, key, pos):
+        packed = ((h2.astype(U) << U(32)) | pos.astype(U)).view(np.int64)
         for i in range(0, len(h1), 50_000):
             j = slice(i, i + 50_000)
-            yield pa.record_batch([pa.array(h1[j].view(np.int64)), pa.array(packed[j]), pa.array(key[j]),
-                                   pa.array(span[j].astype(np.int32))], names=["h1", "packed", "key", "span"])
+            yield pa.record_batch([pa.array(h1[j].view(np.int64)), pa.array(packed[j]), pa.array(key[j])],
+                                  names=["h1", "packed", "key"])
 
     return find
 
 
 def _pack(batches):
     for batch in batches:
-        text = [b"" if t is None else t.encode() for t in batch.column("text").to_pylist()]
-        yield pa.record_batch([
-            batch.column("key"), batch.column("doc_id"), batch.column("carry"), pa.array([len(t) for t in text], pa.int64()),
-            pa.array([pa.compress(t, "zstd", asbytes=True) if t else b"" for t in text], pa.binary())],
-            names=["key", "doc_id", "carry", "n_bytes", "packed_text"])
+        for part in slices(batch, "text"):
+            text = [b"" if t is None else t.as_buffer() for t in part.column("text")]
+            yield pa.record_batch([
+                part.column("key"), part.column("doc_id"), part.column("carry"),
+                pa.array([len(t) for t in text], pa.int64()),
+                pa.array([pa.compress(t, "zstd", asbytes=True) if len(t) else b"" for t in text], pa.binary())],
+                names=["key", "doc_id", "carry", "n_bytes", "packed_text"])
 
 
 def _cutter(size: int, with_text: bool):
@@ -237,19 +243,16 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         bits[row][block * _BLOCK // 8:(block + 1) * _BLOCK // 8] = np.frombuffer(r["bits"], np.uint8)
     shared = spark.sparkContext.broadcast(bits)
 
-    found = map_arrow(rows.select("key", "text"), _finder(size, cells, flush // 4, shared),
-                      "h1 long, packed long, key long, span int")
-    pos = F.col("packed").bitwiseAND(F.lit(0xFFFFFFFF))
-    nowhere = 0xFFFFFFFF
-    h2 = F.shiftright("packed", 32)
-    found = found.select("h1", h2.alias("h2"), pos.alias("pos"), "key", "span")
-    weight = F.when(F.col("span") > 0, 2).when(F.col("pos") < 0, 2).otherwise(1)
+    found = map_arrow(rows.select("key", "text"), _finder(size, cells, flush // 8, shared),
+                      "h1 long, packed long, key long")
+    found = found.select("h1", F.shiftright("packed", 32).cast("int").alias("h2"),
+                         F.col("packed").bitwiseAND(F.lit(NOWHERE)).alias("pos"), "key")
+    weight = F.when(F.col("pos") >= RUN, 2).otherwise(1)
     found = (found.withColumn("n", F.sum(weight).over(Window.partitionBy("h1", "h2")))
-             .where((F.col("n") > 1) & (F.col("pos") != nowhere)))
+             .where((F.col("n") > 1) & (F.col("pos") != NOWHERE)))
     cover = found.groupBy("key").agg(
-        F.collect_list(F.when(F.col("span") == 0, F.col("pos").cast("int"))).alias("starts"),
-        F.collect_list(F.when(F.col("span") > 0, F.shiftleft("pos", 32)
-                              + F.col("span"))).alias("runs"))
+        F.collect_list(F.when(F.col("pos") < RUN, F.col("pos")).cast("int")).alias("starts"),
+        F.collect_list(F.when(F.col("pos") >= RUN, F.shiftleft(F.col("pos") - RUN, 32) + F.col("h2"))).alias("runs"))
     carry = rows.schema["carry"].dataType.simpleString()
     texts = map_arrow(rows, _pack, f"key long, doc_id long, carry {carry}, n_bytes long, packed_text binary")
     out = map_arrow(texts.join(cover, "key", "left"), _cutter(size, with_text),
