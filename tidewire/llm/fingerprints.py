@@ -25,20 +25,20 @@ SAMPLES = 32
 _LOW32 = 0xFFFFFFFF
 
 
-def weighted_words(text: Column) -> Column:
-    """The text's distinct words as (hash, count), in order of the hash."""
-    words = F.filter(F.split(text, WORD_SPLIT), lambda w: w != "")
-    codes = F.sort_array(F.transform(words, lambda w: F.xxhash64(w)))
-    return codes
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def runs(codes: Column) -> Column:
-    """Sorted codes as an array of (code, count)."""
-    n = F.size(codes)
-    starts = F.filter(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))),
-                      lambda i: (n > 0) & ((i == 0) | (F.get(codes, i) != F.get(codes, i - 1))))
-    ends = F.concat(F.slice(starts, 2, F.greatest(F.size(starts), F.lit(1))), F.array(n))
-    return F.zip_with(starts, ends, lambda a, b: F.struct(F.get(codes, a).alias("code"), (b - a).alias("count")))
+def weighted_words(text: Column) -> Column:
+    """The text's distinct words as an array of (code, count)."""
+    words = F.filter(F.split(text, WORD_SPLIT), lambda w: w != "")
+    return _let(F.sort_array(F.transform(words, lambda w: F.xxhash64(w))), lambda codes: _let(
+        F.filter(F.sequence(F.lit(0), F.greatest(F.size(codes) - 1, F.lit(0))),
+                 lambda i: (F.size(codes) > 0) & ((i == 0) | (F.get(codes, i) != F.get(codes, i - 1)))),
+        lambda starts: F.transform(starts, lambda at, i: F.struct(
+            F.get(codes, at).alias("code"),
+            (F.coalesce(F.get(starts, i + 1), F.size(codes)) - at).alias("count")))))
 
 
 def _uniform(bits: Column, shift: int, width: int) -> Column:
@@ -65,7 +65,7 @@ def fingerprints(texts: DataFrame, key_cols: list[str], text_col: str, samples:
 
     Rows of a text lie next to each other, so partial aggregation leaves one
     row a text before any shuffle.  Texts without words have zeros."""
-    words = texts.select(*key_cols, F.explode_outer(runs(weighted_words(F.col(text_col)))).alias("w"))
+    words = texts.select(*key_cols, F.explode_outer(weighted_words(F.col(text_col))).alias("w"))
     rows = words.select(*key_cols, F.col("w.code").alias("code"), F.log(F.col("w.count").cast("double")).alias("logw"))
     least = rows.groupBy(*key_cols).agg(*[F.min(sample(k)).alias(f"m{k}") for k in range(samples)])
     marks = F.array(*[F.coalesce(F.col(f"m{k}").bitwiseAND(F.lit(_LOW32)), F.lit(0).cast("long"))
@@ -97,7 +97,8 @@ def with_next(docs: DataFrame, blocks: int = 256) -> DataFrame:
     block = F.lit(0)
     if cuts:
         edges = F.array(*[F.lit(c) for c in cuts])
-        block = F.coalesce(F.size(F.filter(edges, lambda c: c >= F.col("doc_id"))), F.lit(len(cuts) + 1))
+        block = F.when(F.col("doc_id").isNull(), len(cuts) + 1).otherwise(
+            F.size(F.filter(edges, lambda c: c >= F.col("doc_id"))))
     order = [F.desc_nulls_last("doc_id"), F.col("text")]
     w = Window.partitionBy("block").orderBy(*order)
     rows = (rows.withColumn("block", block.cast("int"))
