@@ -174,7 +174,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     ``small``: a bucket of up to so many members compares all of them at once;
     in larger buckets so many leaders are taken a round, after a first round
-    of one (four times as many in each further round)."""
+    of one (sixteen times as many in each further round)."""
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "near-dedup")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -211,7 +211,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     while sets is not None:
         now = buckets.withColumn("comp", F.col("id"))
         if turn:
-            comp = scratch.table(connected_components(links), f"components-{turn}")
+            if grown:
+                comp = scratch.table(connected_components(links), f"components-{turn}")
             now = buckets.join(comp, "id", "left").select("key", "id", "n", "s",
                                                           F.coalesce("component", "id").alias("comp"))
         if turn == 1:
@@ -233,7 +234,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         open_ = scratch.table(now.join(top, "key").select(
             "key", "id", "n", "s", "comp", "size", ((F.col("comp") == F.col("top.comp")) & F.lit(turn > 0)).alias("main")),
             f"open-{turn}")
-        leaders = small * 4 ** (turn - 1) if turn else 1
+        leaders = small * 16 ** (turn - 1) if turn else 1
         # the first members of each bucket lead: found without sorting a bucket whole
         limit = F.when(F.col("size") <= small, F.col("size")).otherwise(F.lit(leaders))
         at = Window.partitionBy("key").orderBy("main", F.desc("weight"), "id")
@@ -257,7 +258,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         full = (likely_.join(sets.select(F.col("doc_id").alias("a"), F.col("elements").alias("set_a")), "a")
                 .join(sets.select(F.col("doc_id").alias("b"), F.col("elements").alias("set_b")), "b"))
         new = scratch.table(map_arrow(full, _decider(percent), "a long, b long"), f"links-{turn}")
-        links = new if links is None else links.unionByName(new)
+        grown = turn == 0 or not new.isEmpty()
+        links = new if links is None else links.unionByName(new) if grown else links
         # a leader has met all others of its bucket: it leaves
         rest = (open_.select("key", "id", "n", "s")
                 .join(heads.select("key", F.col("head").alias("id")), ["key", "id"], "left_anti"))

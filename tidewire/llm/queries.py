@@ -14,6 +14,7 @@ from tidewire.llm.fingerprints import edited_fingerprints
 from tidewire.llm.minhash_dedup import near_duplicates
 from tidewire.llm.oracle import ORACLE
 from tidewire.llm.packing import pack
+from tidewire.llm.sentencepiece import encode_decode
 from tidewire.llm.sharding import shard
 from tidewire.llm.substring_dedup import substring_dedup
 from tidewire.llm.warc import read_warc, write_warc
@@ -45,6 +46,10 @@ def op5_best_fit_packing(spark, sf_dir):
     return pack(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op6_sentencepiece(spark, sf_dir):
+    return encode_decode(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op7_minhash_dedup(spark, sf_dir):
     return near_duplicates(read(spark, sf_dir, "documents"), words_each=4, percent=80)
 
@@ -69,6 +74,6 @@ def op10_chat_formatting(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     op1_exact_dedup, op2_substring_dedup, op3_sharding, op4_quality_classifier, op5_best_fit_packing,
-    op7_minhash_dedup, op8_warc, op9_document_fingerprints, op10_chat_formatting)}
+    op6_sentencepiece, op7_minhash_dedup, op8_warc, op9_document_fingerprints, op10_chat_formatting)}
 
 __all__ = ["ORACLE", "QUERIES"]
