@@ -97,7 +97,7 @@ def locate(turns: list[Turn], render: Callable[[list[Turn]], str] = chatml, pref
                     done = False
                     break
                 return whole, spans, k
-            lead, tail = _inside(render, turns[max(0, k - context):k], turn)
+            lead, tail = _inside(render, before, turn)
             start, added = len(out), new[len(old):]
             spans.append((start, start + len(added), start + lead, start + len(added) - tail))
             out = out + added if far else new

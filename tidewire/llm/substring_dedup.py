@@ -224,7 +224,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     words and the white space after each, and ``row``, the input row."""
     spark = docs.sparkSession
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if with_text and c != text_col] or [F.lit(0).alias("none")])
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"),
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"),
+                       F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
                        row.alias("carry"))
     facts = rows.agg(F.sum(F.octet_length("text")).alias("bytes")).first()
     twice = rows.groupBy("doc_id").count().where("count > 1 or doc_id is null")
