@@ -90,3 +90,21 @@ def test_top_stories_plan(spark):
     df = spark.createDataFrame([(i, float(i % 3)) for i in range(20)], "id long, priority_score double")
     plan = R.top_stories(df)._jdf.queryExecution().executedPlan().toString()
     assert "TakeOrderedAndProject" in plan
+
+
+def test_extract_page_unclosed_noise_and_empty_h1():
+    from tidewire.operators.requests import extract_page
+
+    body = "A paragraph that is long enough to count as the main text of this page. " * 4
+    for head in ("<div><nav>menu</div>", "<header><form></header>", "<nav>menu</nav>"):
+        title, text, error = extract_page(f"<html><title>T</title><body>{head}<article><p>{body}</p></article></body></html>")
+        assert (title, error) == ("T", None) and body.strip() in text and "menu" not in text
+    assert extract_page(f"<title>T</title><body><h1></h1><p>{body}</p></body>")[0] == ""
+
+
+def test_first_seen_keeps_one_row_of_ties(spark):
+    from tidewire.operators.ingest import first_seen
+
+    rows = [("k", 1, 1, "a"), ("k", 1, 1, "b"), ("n", None, None, "c"), ("n", None, None, "c"), ("n", None, None, "d")]
+    df = spark.createDataFrame(rows, "url_hash string, source_ord int, item_ord int, title string")
+    assert sorted(r.url_hash for r in first_seen(df).collect()) == ["k", "n"]

@@ -33,8 +33,6 @@ def topic_text(title, summary) -> Column:
 def category_hits(text, taxonomy=C.TAXONOMY) -> Column:
     """Per category (config order) the number of its keyword entries that occur
     as substrings of ``text`` — an array<struct<cat_ord, category, hits>>."""
-    if sum(len(k) for _, k in taxonomy) > C.MAX_CONFIG_ROWS:
-        raise ValueError("taxonomy too large to inline")
 
     def build(t: Column) -> Column:
         items = []

@@ -19,12 +19,13 @@ def first_seen(items: DataFrame, key: str = "url_hash",
     a semi join) so that a key repeated by a third of all rows is combined
     map-side instead of landing in one window partition.
     """
-    ordk = F.struct(*[F.col(c) for c in order])
+    # rows of equal order are told apart by their content
+    ordk = F.struct(*[F.col(c) for c in order], F.xxhash64(*items.columns).alias("_content"))
     firsts = (items.where(F.col(key).isNotNull())
               .groupBy(key).agg(F.min(ordk).alias("_first")))
     keyed = items.where(F.col(key).isNotNull()).withColumn("_ord", ordk)
     return (keyed.join(firsts, (keyed[key] == firsts[key]) & (keyed["_ord"] == firsts["_first"]), "left_semi")
-            .drop("_ord"))
+            .drop("_ord").dropDuplicates([key]))
 
 
 def has_link(items: DataFrame, col: str = "url") -> DataFrame:

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from tidewire import config as C
 from tidewire.functions import scoring as S
-from tidewire.operators.lookup import broadcast_small
 
 
 def group_sizes(grouped: DataFrame) -> DataFrame:
@@ -21,11 +20,11 @@ def score(grouped: DataFrame, as_of: Column, authority: DataFrame,
     """M1-M6 over anchors (``is_duplicate = 0``; ungrouped rows pass too).
 
     J4 joins the per-group sizes (one row per group), J5 the authority table
-    (config-sized, broadcast after a size check)."""
+    (the planner picks the join)."""
     sizes = group_sizes(grouped)
     anchors = grouped.where(F.coalesce(F.col("is_duplicate"), F.lit(0)) == 0)
     j = (anchors.join(sizes, "story_group_id", "left")
-         .join(broadcast_small(authority, C.MAX_CONFIG_ROWS), "source", "left"))
+         .join(authority, "source", "left"))
     return (j.withColumn("recency", S.recency_score("published_at", as_of))
             .withColumn("authority", S.authority_score("weight"))
             .withColumn("bonus", S.group_bonus("group_size"))

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from tidewire import config as C
 from tidewire.functions import scoring as S
 from tidewire.functions import text as T
-from tidewire.operators.lookup import broadcast_small
+from tidewire.session import ship_package
 
 KIND_PRIORITY = {"twitter": 1, "blocked_social": 2, "paywall": 3}
 
@@ -55,7 +55,7 @@ def url_types(requests: DataFrame, rules: DataFrame, key: str = "row_ord") -> Da
     match by kind priority then rule order wins; no match -> ``article``."""
     r = rules.withColumn("_pri", F.element_at(
         F.create_map(*[x for k, p in KIND_PRIORITY.items() for x in (F.lit(k), F.lit(p))]), F.col("kind")))
-    r = broadcast_small(r.select("domain", "kind", "label", "match", "_pri"), C.MAX_CONFIG_ROWS)
+    r = r.select("domain", "kind", "label", "match", "_pri")
     d = requests.select(key, T.url_domain("url").alias("domain"))
     sx = d.select(key, "domain", F.posexplode(T.domain_suffixes("domain")).alias("pos", "sfx"))
     hit = (sx.join(r, sx.sfx == r.domain)
@@ -82,7 +82,7 @@ class _Extractor(HTMLParser):
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.noise = 0
+        self.noise: int | None = None   # where in the stack the outermost noise element is
         self.h1: list[str] | None = None
         self.h1_done = False
         self.title: list[str] | None = None
@@ -93,15 +93,13 @@ class _Extractor(HTMLParser):
         self.stack: list[str] = []
 
     def handle_starttag(self, tag, attrs):
-        if self.noise:
-            if tag in C.NOISE_TAGS:
-                self.noise += 1
-            return
-        if tag in C.NOISE_TAGS:
-            self.noise = 1
-            return
         if tag in _VOID:
             return
+        if tag in C.NOISE_TAGS and self.noise is None:
+            self.noise = len(self.stack)
+        if self.noise is not None:
+            self.stack.append(tag)
+            return
         if tag == "p":
             self._close_p()
             self.p = []
@@ -115,10 +113,18 @@ class _Extractor(HTMLParser):
         self.stack.append(tag)
 
     def handle_endtag(self, tag):
-        if self.noise:
-            if tag in C.NOISE_TAGS:
-                self.noise -= 1
-            return
+        if self.noise is not None:
+            # an unclosed noise element ends with the element around it
+            if tag not in self.stack:
+                return
+            at = len(self.stack) - 1 - self.stack[::-1].index(tag)
+            if at >= self.noise:
+                del self.stack[at:]
+                if at == self.noise:
+                    self.noise = None
+                return
+            del self.stack[self.noise:]
+            self.noise = None
         if tag == "p":
             self._close_p()
         if tag == "h1" and self.h1 is not None:
@@ -143,7 +149,7 @@ class _Extractor(HTMLParser):
         self.p_owner = []
 
     def handle_data(self, data):
-        if self.noise:
+        if self.noise is not None:
             return
         piece = data.strip()
         if not piece:
@@ -160,7 +166,7 @@ class _Extractor(HTMLParser):
 
     def result(self) -> tuple[str, str | None, str | None]:
         self._close_p()
-        title = "".join(self.h1) if self.h1 else ("".join(self.title) if self.title else "")
+        title = "".join(self.title or []) if self.h1 is None else "".join(self.h1)
         for tag in ("article", "main", "body"):
             if tag in self.containers:
                 c = self.containers[tag]
@@ -197,6 +203,7 @@ def _extract_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def extract_main_text(pages: DataFrame) -> DataFrame:
     """X9 over a pages table: Arrow batches through ``mapInPandas``.  Filter
     the pages first (Catalyst cannot push a filter through this step)."""
+    ship_package(pages.sparkSession)
     return pages.select("url", "html").mapInPandas(_extract_batches, EXTRACT_SCHEMA)
 
 

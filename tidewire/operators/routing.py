@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewire import config as C
-from tidewire.operators.lookup import broadcast_small
 
 
 def _lookup_ids(categories: DataFrame, merged: bool) -> DataFrame:
@@ -31,7 +30,7 @@ def route_categories(df: DataFrame, categories: DataFrame, category_col: str = "
     looked up as they are.  An id of 0 counts as missing (falsy in the
     behaviour reproduced).  The lookup is config-sized: broadcast after a
     size check; the primary id is one value read from it."""
-    lk = broadcast_small(_lookup_ids(categories, merged), C.MAX_CONFIG_ROWS)
+    lk = _lookup_ids(categories, merged)
     prim_row = lk.where(F.col("key") == C.PRIMARY_SECTION).select("cat_id").first()
     prim_val = prim_row[0] if prim_row and prim_row[0] else None
     prim_id = F.lit(prim_val).cast("bigint")

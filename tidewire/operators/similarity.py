@@ -132,8 +132,7 @@ def _is_star_forest(e: DataFrame) -> bool:
     return bad.isEmpty()
 
 
-def connected_components(edges: DataFrame, vertices: DataFrame | None = None,
-                         max_rounds: int = 200) -> DataFrame:
+def connected_components(edges: DataFrame, vertices: DataFrame | None = None) -> DataFrame:
     """G1: (id, component) with component = min id of the connected component.
 
     ``edges``: (a, b) undirected.  ``vertices``: optional (id) so that
@@ -145,12 +144,10 @@ def connected_components(edges: DataFrame, vertices: DataFrame | None = None,
          .where(F.col("a") != F.col("b")).distinct())
     # a round leaves a star forest unchanged, so the first round runs before
     # the first test (raw similarity edges are almost never already stars)
-    for _ in range(max_rounds):
+    while True:
         e = materialize(_small_star(_large_star(e)), "cc-edges")
         if _is_star_forest(e):
             break
-    else:
-        raise RuntimeError("connected components did not converge")
     labels = e.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(
         e.select(F.col("b").alias("id"), F.col("b").alias("component"))).distinct()
     if vertices is None:

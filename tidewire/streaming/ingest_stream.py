@@ -14,7 +14,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewire.operators import ingest as I
-from tidewire.sources.fixtures import spread_small_scan
 from tidewire.session import ensure_checkpoint_dir, path_exists
 
 
@@ -32,7 +31,7 @@ def stream_ingest(items: DataFrame, as_of: Column, out_path: str, checkpoint: st
         # the micro-batch is read by the first-seen aggregate and its semi
         # join: keep it for the duration of this batch only (a lost block is
         # recomputed from the replayable source offsets)
-        batch = spread_small_scan(batch).persist()
+        batch = batch.persist()
         new = I.ingest(batch, as_of).persist()
         try:
             stored = spark.read.parquet(out_path)
