@@ -266,10 +266,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         buckets = scratch.table(rest, f"buckets-{turn + 1}")
         turn += 1
 
-    if links is None:
+    if links is None:  # else the last round began with the components of all links
         comp = every.where("false").select(F.col("doc_id").alias("id"), F.col("doc_id").alias("component"))
-    else:
-        comp = connected_components(links)
     whole = (member.join(comp, F.col("rep") == F.col("id"), "left")
              .select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id")))
     alone = every.where(lone).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
