@@ -9,12 +9,9 @@ from tidewire import config as C
 from tidewire.functions import dates as D
 from tidewire.functions import text as T
 
-# Digest layout (this engine's wording).
-DIVIDER = "─" * 28
-SECTION_TITLES = {"morning": "TOP STORIES TODAY", "evening": "OPINION AND VIEWPOINTS"}
-HEADER = "*THE DAILY WIRE* 🗞\n📅 {date}\n\n*{section}*\n" + DIVIDER + "\n\n"
-ENTRY = "📌 *{title}*\n{excerpt}\n🔗 {link}\n\n"
-FOOTER = DIVIDER + "\nMore at news.example.com"
+# Digest layout: a title line, then numbered entries of title, excerpt and link.
+SECTION_TITLES = {"morning": "Morning round-up", "evening": "Evening reading"}
+FOOTER = "(end of digest)"
 
 
 def posts_by_section(posts: DataFrame, as_of: Column, sections=C.DIGEST_SECTIONS) -> DataFrame:
@@ -43,13 +40,12 @@ def digest_text(top: DataFrame, as_of: Column) -> DataFrame:
     """X11: one text per section: header (section title, long date), one
     entry per post in rank order (cleaned title, cleaned and truncated
     excerpt, link), footer.  At most ``limit`` entries are gathered."""
-    entry = F.concat(F.lit("📌 *"), T.decode_entities("title.rendered"), F.lit("*\n"),
-                     T.truncate_word(T.decode_entities("excerpt.rendered")), F.lit("\n🔗 "),
-                     F.col("link"), F.lit("\n\n"))
+    entry = F.concat(F.col("rank").cast("string"), F.lit(") "), T.decode_entities("title.rendered"), F.lit("\n   "),
+                     T.truncate_word(T.decode_entities("excerpt.rendered")), F.lit("\n   <"),
+                     F.col("link"), F.lit(">\n"))
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", entry.alias("e")))),
                                     lambda x: x["e"]), "")
     titles = F.create_map(*[x for k, v in SECTION_TITLES.items() for x in (F.lit(k), F.lit(v))])
-    header = F.concat(F.lit("*THE DAILY WIRE* 🗞\n📅 "), D.long_date(as_of), F.lit("\n\n*"),
-                      F.element_at(titles, F.col("section")), F.lit("*\n" + DIVIDER + "\n\n"))
+    header = F.concat(F.element_at(titles, F.col("section")), F.lit(", "), D.long_date(as_of), F.lit("\n"))
     return (top.groupBy("section").agg(body.alias("_body"), F.count(F.lit(1)).alias("n_posts"))
             .select("section", "n_posts", F.concat(header, F.col("_body"), F.lit(FOOTER)).alias("text")))

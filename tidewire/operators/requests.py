@@ -22,15 +22,15 @@ from tidewire.session import ship_package
 
 KIND_PRIORITY = {"twitter": 1, "blocked_social": 2, "paywall": 3}
 
-# Outcome texts (this engine's wording).
-SKIP_SOCIAL = "Skipped — paste original news article URL"
-SKIP_SOCIAL_REASON = "Social media link — cannot be scraped. Paste the original article URL."
-SKIP_PAYWALL = "Skipped — {label} is paywalled. Use a non-paywalled source instead."
-SKIP_PAYWALL_REASON = "{label} is paywalled — replace with a link from a supported source."
-SKIP_BLOCKED = "Skipped — this site blocks automated access. Use another source."
-SKIP_BLOCKED_REASON = "Site blocks automated access — replace with a link from a supported source."
-NO_CONTAINER = "Could not find article body in page."
-NO_POST_TEXT = "Could not extract post text from embed response."
+# Outcome texts.
+SKIP_SOCIAL = "Skipped — social post, needs a page link"
+SKIP_SOCIAL_REASON = "Social post: no page text to read; give the page it points to."
+SKIP_PAYWALL = "Skipped — subscribers only: {label}"
+SKIP_PAYWALL_REASON = "{label} shows its text to subscribers only; give an open page."
+SKIP_BLOCKED = "Skipped — access refused by the site"
+SKIP_BLOCKED_REASON = "The site refuses programs; give a page of another site."
+NO_CONTAINER = "No text container on the page."
+NO_POST_TEXT = "The embed holds no post text."
 
 
 def pending_requests(sheet: DataFrame, terminal: str = "exact") -> DataFrame:

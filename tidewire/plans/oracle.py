@@ -407,23 +407,23 @@ CTE["outcome"] = f"""fres AS (
          CASE WHEN page_id % 10 = 8 THEN 'HTTP 500 Server Error for url: ' || url END AS fetch_error
   FROM pages),
 pg AS (SELECT url, CASE WHEN regexp_matches(html, '<(article|main|body)[\\s>/]') THEN NULL
-                    ELSE 'Could not find article body in page.' END AS extract_error FROM pages),
+                    ELSE 'No text container on the page.' END AS extract_error FROM pages),
 outc AS (
   SELECT p.row_ord, p.url, t.url_type, {_OV_KEY} AS override_key,
     CASE WHEN {_OV_ERR} IS NOT NULL THEN {_OV_ERR}
-         WHEN t.url_type = 'blocked_social' THEN 'Skipped — paste original news article URL'
-         WHEN t.url_type = 'paywall' THEN 'Skipped — ' || t.label || ' is paywalled. Use a non-paywalled source instead.'
-         WHEN t.url_type <> 'twitter' AND f.http_status IN (401, 403) THEN 'Skipped — this site blocks automated access. Use another source.'
+         WHEN t.url_type = 'blocked_social' THEN 'Skipped — social post, needs a page link'
+         WHEN t.url_type = 'paywall' THEN 'Skipped — subscribers only: ' || t.label
+         WHEN t.url_type <> 'twitter' AND f.http_status IN (401, 403) THEN 'Skipped — access refused by the site'
          WHEN t.url_type <> 'twitter' AND f.fetch_error IS NOT NULL THEN 'Error — ' || substr(f.fetch_error, 1, 120)
-         WHEN t.url_type = 'twitter' THEN 'Error — Could not extract post text from embed response.'
+         WHEN t.url_type = 'twitter' THEN 'Error — The embed holds no post text.'
          WHEN t.url_type <> 'twitter' AND coalesce(g.extract_error IS NOT NULL, true)
-              THEN 'Error — ' || coalesce(g.extract_error, 'Could not find article body in page.')
+              THEN 'Error — ' || coalesce(g.extract_error, 'No text container on the page.')
          ELSE 'Processed' END AS status,
     CASE WHEN {_OV_ERR} IS NOT NULL THEN NULL
-         WHEN t.url_type = 'blocked_social' THEN 'Social media link — cannot be scraped. Paste the original article URL.'
-         WHEN t.url_type = 'paywall' THEN t.label || ' is paywalled — replace with a link from a supported source.'
+         WHEN t.url_type = 'blocked_social' THEN 'Social post: no page text to read; give the page it points to.'
+         WHEN t.url_type = 'paywall' THEN t.label || ' shows its text to subscribers only; give an open page.'
          WHEN t.url_type <> 'twitter' AND f.http_status IN (401, 403)
-              THEN 'Site blocks automated access — replace with a link from a supported source.' END AS skip_reason
+              THEN 'The site refuses programs; give a page of another site.' END AS skip_reason
   FROM pend p JOIN types t ON t.row_ord = p.row_ord
   LEFT JOIN fres f ON f.url = p.url LEFT JOIN pg g ON g.url = p.url)"""
 
@@ -659,7 +659,7 @@ _gcontent = _clean("coalesce(nullif(g.summary, ''), g.raw_content, '')")
 ORACLE["x5_story_prompt"] = with_("sc").rstrip("\n") + ",\n" + _TOP + f""",
 gm AS (
   SELECT t.id AS story_id, count(*) AS n,
-    string_agg('=== Source: ' || coalesce(g.source, '') || ' ===' || chr(10) || 'Title: ' || coalesce(g.title, '')
+    string_agg('[report by ' || coalesce(g.source, '') || '] ' || coalesce(g.title, '')
                || chr(10) || {_gcontent}, chr(10) || chr(10)
                ORDER BY length(g.raw_content) DESC NULLS LAST, g.id) AS blocks,
     string_agg(CAST(g.id AS VARCHAR), ',' ORDER BY length(g.raw_content) DESC NULLS LAST, g.id) AS ids
@@ -668,13 +668,12 @@ SELECT t.id AS story_id,
   CASE WHEN coalesce(gm.n, 0) > 1 THEN gm.n ELSE 1 END AS n_sources,
   CASE WHEN coalesce(gm.n, 0) > 1 THEN gm.ids ELSE CAST(t.id AS VARCHAR) END AS raw_article_ids,
   CASE WHEN coalesce(gm.n, 0) > 1 THEN
-    'Synthesise the following ' || CAST(gm.n AS VARCHAR) || ' news sources covering the same story into one '
-    || 'authoritative article. Combine unique details from each source.' || chr(10) || chr(10) || gm.blocks
-  ELSE 'Rewrite the following article in the house editorial voice.' || chr(10) || chr(10) || 'Source: '
-    || coalesce(t.source, '') || chr(10) || 'Original headline: ' || coalesce(t.title, '') || chr(10) || chr(10)
+    'TASK: merge ' || CAST(gm.n AS VARCHAR) || ' reports of one event into a single article; keep every fact once.'
+    || chr(10) || chr(10) || gm.blocks
+  ELSE 'TASK: write one article from one report.' || chr(10) || 'FROM: ' || coalesce(t.source, '')
+    || chr(10) || 'TITLE: ' || coalesce(t.title, '') || chr(10) || 'MATERIAL:' || chr(10)
     || CASE WHEN length({_content.replace("summary", "t.summary").replace("raw_content", "t.raw_content")}) < 80
-       THEN 'Note: Only the headline is available from the feed. Write a professional news article based on '
-            || 'this headline and your knowledge of the topic.'
+       THEN '(no text came with this report; the title is all there is)'
        ELSE {_content.replace("summary", "t.summary").replace("raw_content", "t.raw_content")} END
   END AS prompt
 FROM top t LEFT JOIN gm ON gm.story_id = t.id"""
@@ -759,7 +758,7 @@ ORACLE["x10_extract_embed_text"] = with_("emb") + f"""SELECT url,
   CASE WHEN coalesce(author_name, '') <> '' THEN author_name || ' (@'
        || reverse(split_part(reverse(regexp_replace(coalesce(author_url, ''), '/+$', '')), '/', 1)) || ')'
        ELSE '' END AS author_line,
-  t AS text, CASE WHEN t = '' THEN 'Could not extract post text from embed response.' END AS error
+  t AS text, CASE WHEN t = '' THEN 'The embed holds no post text.' END AS error
 FROM (SELECT *, {_clean("regexp_extract(html, '(?s)<p[^>]*>(.*?)</p>', 1)")} AS t FROM emb)"""
 
 # ---------------------------------------------------------------------------
@@ -768,14 +767,12 @@ FROM (SELECT *, {_clean("regexp_extract(html, '(?s)<p[^>]*>(.*?)</p>', 1)")} AS
 
 ORACLE["f11_published_today"] = with_("dtop") + "SELECT section, id FROM today"
 ORACLE["o2_digest_top"] = with_("dtop") + "SELECT section, id, rank FROM dtop"
-_DIV = "─" * 28
 ORACLE["x11_digest_text"] = with_("dtop") + f"""SELECT section, count(*) AS n_posts,
-  '*THE DAILY WIRE* 🗞' || chr(10) || '📅 ' || strftime({AS_OF}, '%A, %d %B %Y') || chr(10) || chr(10) || '*'
-  || CASE section WHEN 'morning' THEN 'TOP STORIES TODAY' ELSE 'OPINION AND VIEWPOINTS' END || '*' || chr(10)
-  || '{_DIV}' || chr(10) || chr(10)
-  || string_agg('📌 *' || {_decode('title_r')} || '*' || chr(10) || {_truncate(_decode('excerpt_r'))} || chr(10)
-                || '🔗 ' || link || chr(10) || chr(10), '' ORDER BY rank)
-  || '{_DIV}' || chr(10) || 'More at news.example.com' AS text
+  CASE section WHEN 'morning' THEN 'Morning round-up' ELSE 'Evening reading' END || ', '
+  || strftime({AS_OF}, '%A, %d %B %Y') || chr(10)
+  || string_agg(CAST(rank AS VARCHAR) || ') ' || {_decode('title_r')} || chr(10) || '   '
+                || {_truncate(_decode('excerpt_r'))} || chr(10) || '   <' || link || '>' || chr(10), '' ORDER BY rank)
+  || '(end of digest)' AS text
 FROM dtop GROUP BY section"""
 
 # ---------------------------------------------------------------------------
@@ -821,7 +818,7 @@ ORACLE["s9_review_queue_write"] = ("SELECT draft_id, headline, CAST(word_count A
 
 ORACLE["x5_prompt_blocks"] = with_("sc").rstrip("\n") + ",\n" + _TOP + f"""
 SELECT t.id AS story_id, g.id AS member_id, CAST(length(g.raw_content) AS BIGINT) AS content_len,
-  '=== Source: ' || coalesce(g.source, '') || ' ===' || chr(10) || 'Title: ' || coalesce(g.title, '')
+  '[report by ' || coalesce(g.source, '') || '] ' || coalesce(g.title, '')
   || chr(10) || {_gcontent} AS block
 FROM top t JOIN grp g ON g.story_group_id = t.story_group_id WHERE t.is_multi_source"""
 
