@@ -57,33 +57,35 @@ def _ungaps(data) -> np.ndarray:
 
 def _sketcher(size: int, cells: int, flush: int):
     def count(batches):
-        held, n = [], 0
+        held, n = [[] for _ in range(_ROWS)], 0
         for batch in batches:
             for part in slices(batch, "text"):
                 h = Words(part.column("text")).windows(size)[1]
-                held.append(h)
+                for row in range(_ROWS):
+                    held[row].append(_cells(h, row, cells).astype(np.uint32))  # cells < 2**32
                 n += len(h)
                 if n >= flush:
-                    yield from send(np.concatenate(held))
-                    held, n = [], 0
+                    yield from send(held)
+                    held, n = [[] for _ in range(_ROWS)], 0
         if n:
-            yield from send(np.concatenate(held))
+            yield from send(held)
 
-    def send(h):
+    def send(held):
         for row in range(_ROWS):
-            c = np.sort(_cells(h, row, cells))
-            new = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]]))
-            many = np.diff(np.append(new, len(c))) > 1
-            c = c[new]
-            block = (c // U(_BLOCK)).astype(np.int64)
-            local = (c % U(_BLOCK)).astype(np.int64)
-            cut = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
-            out = []
-            for lo, hi in zip(cut, np.append(cut[1:], len(c)), strict=True):
-                two = many[lo:hi]
-                out.append((int(block[lo]) * _ROWS + row, _gaps(local[lo:hi]), _gaps(local[lo:hi][two])))
-            for i in range(0, len(out), 64):
-                yield pa.record_batch([pa.array(x) for x in zip(*out[i:i + 64], strict=True)],
+            c = np.concatenate(held[row])
+            held[row].clear()
+            c.sort()
+            same = np.append(c[1:] == c[:-1], False)
+            new = np.append(True, ~same[:-1])
+            c, many = c[new], same[new]
+            cut = np.flatnonzero(np.append(True, c[1:] // _BLOCK != c[:-1] // _BLOCK))
+            ends = np.append(cut[1:], len(c))
+            for k in range(0, len(cut), 64):
+                out = []
+                for lo, hi in zip(cut[k:k + 64], ends[k:k + 64], strict=True):
+                    local, two = c[lo:hi] % _BLOCK, many[lo:hi]
+                    out.append((int(c[lo]) // _BLOCK * _ROWS + row, _gaps(local), _gaps(local[two])))
+                yield pa.record_batch([pa.array(x) for x in zip(*out, strict=True)],
                                       names=["slot", "once", "twice"])
 
     return count
