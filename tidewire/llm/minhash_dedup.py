@@ -213,8 +213,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if turn:
             if grown:
                 comp = scratch.table(connected_components(links), f"components-{turn}")
-            now = buckets.join(comp, "id", "left").select("key", "id", "n", "s",
-                                                          F.coalesce("component", "id").alias("comp"))
+            # read more than once below: written, so that the join runs once
+            now = scratch.table(buckets.join(comp, "id", "left").select(
+                "key", "id", "n", "s", F.coalesce("component", "id").alias("comp")), f"labelled-{turn}")
         if turn == 1:
             # what is left are large buckets of several components.  A set meets no
             # other in its elements that none of them shares: s counts the others
@@ -224,9 +225,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                                  _flat, "id long, element long")
             own = (elements.groupBy("element").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("id"))
                    .where("c = 1").groupBy("id").agg(F.count(F.lit(1)).alias("u")))
-            now = (now.drop("s").join(own, "id", "left")
-                   .select("key", "id", "n", (F.col("n") - F.coalesce("u", F.lit(0))).alias("s"), "comp")
-                   .where(F.col("s") * 100 >= F.col("n") * percent))
+            now = scratch.table(now.drop("s").join(own, "id", "left")
+                                .select("key", "id", "n", (F.col("n") - F.coalesce("u", F.lit(0))).alias("s"), "comp")
+                                .where(F.col("s") * 100 >= F.col("n") * percent), "shared")
         # members of each bucket by component; the largest component leads last
         per = now.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("m"))
         top = per.groupBy("key").agg(F.max(F.struct("m", "comp")).alias("top"), F.count(F.lit(1)).alias("comps"),
