@@ -8,8 +8,10 @@ table, the edges of a word are grouped, and a higher-order ``aggregate`` folds
 them.  For unigram models the fold is Viterbi's (best sum of scores, earlier
 start on ties).  For BPE models the best sum is not the model's segmentation;
 there the fold over the same lattice merges the best-scored adjacent pair, the
-leftmost on ties, until no edge covers a pair.  Characters without a piece
-become their UTF-8 bytes' pieces.
+leftmost on ties, until no edge covers a pair: one pass over the edges in the
+order of their scores where that gives the same (``fold_ranked``), the repeated
+search (``fold_merges``) where a merge made a better one possible.  Characters
+without a piece become their UTF-8 bytes' pieces.
 
 Texts are coded against a dictionary of their chunk's words (an Arrow batch),
 so only one row for each chunk and distinct word is joined.  Words of more than
@@ -26,6 +28,7 @@ import hashlib
 import heapq
 import re
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -35,9 +38,12 @@ from pyspark.sql import functions as F
 from tidewire.llm.common import Scratch, map_arrow
 
 MARK = "▁"
-LONGEST = 64
+#: Characters of a word of which the boundaries fit 63 bits; the sign is a flag.
+LONGEST = 62
+SIGN = -(1 << 63)
 
 
+@lru_cache(maxsize=4)
 def piece_rows(model: str) -> tuple[list[tuple[str, int, float]], list[bytes]]:
     """(piece, id, score) of ordinary pieces; for each id the bytes it decodes to."""
     import sentencepiece
@@ -122,19 +128,72 @@ def _coder(shared):
     return code
 
 
+def late_parts(rows: list[tuple[str, int, float]]) -> set[str]:
+    """Pieces that are part of a piece of no lower score: after making one of
+    them a merge of an earlier rank may follow."""
+    score = {piece: value for piece, _, value in rows}
+    return {part for piece, value in score.items() for i in range(1, len(piece))
+            if piece[:i] in score and piece[i:] in score
+            for part in (piece[:i], piece[i:]) if len(part) > 1 and score[part] <= value}
+
+
 def lattice(words: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
-    """word and edges: a map of start * 1000 + end to (score, id).  ``words``
-    are distinct; ``pieces`` is of the model's size and broadcast."""
+    """word and its edges, best score first, then leftmost.  ``words`` are
+    distinct and not empty; ``pieces`` is of the model's size and broadcast.
+
+    Bit i of a 64-bit mask stands for the boundary before character i:
+    ``ends`` has an edge's two ends, ``between`` the boundaries it removes."""
     n = F.char_length("word")
     spans = words.select("word", F.explode(F.sequence(F.lit(0), n - 1)).alias("start")).select(
-        "word", "start", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), n - F.col("start")))).alias("size"))
-    edges = spans.withColumn("piece", F.substring("word", F.col("start") + 1, F.col("size"))).join(
-        F.broadcast(pieces), "piece")
-    entry = F.struct((F.col("start") * 1000 + F.col("start") + F.col("size")).alias("span"),
-                     F.struct("score", "id").alias("edge"))
-    return words.join(edges.groupBy("word").agg(F.map_from_entries(F.collect_list(entry)).alias("edges")),
-                      "word", "left").withColumn("edges", F.coalesce("edges", F.map_from_arrays(
-                          F.array().cast("array<int>"), F.array().cast("array<struct<score:double,id:int>>"))))
+        "word", "start", F.explode(F.sequence(F.when(F.col("start") == 0, 0).otherwise(1),
+                                              F.least(F.lit(longest), n - F.col("start")))).alias("size"))
+    # the empty span at 0 joins nothing and keeps words without any piece
+    edges = spans.join(F.broadcast(pieces.withColumnRenamed("id", "id_")),
+                       F.expr("substring(word, start + 1, size)") == F.col("piece"), "left").where(
+        F.col("id_").isNotNull() | (F.col("size") == 0))
+    stop = F.col("start") + F.col("size")
+    edge = F.struct((-F.col("score")).alias("rank"), "start", stop.alias("stop"), F.col("id_").alias("id"), "late",
+                    (_bit(F.col("start")) + _bit(stop)).alias("ends"),
+                    F.when(F.col("size") > 1, _bit(stop) - _bit(F.col("start") + 1)).otherwise(F.lit(0).cast("long"))
+                    .alias("between"))
+    return edges.groupBy("word").agg(F.array_sort(F.collect_list(F.when(F.col("id_").isNotNull(), edge))).alias("edges"))
+
+
+def _bit(place: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), place.cast("int"))
+
+
+def edge_map(edges: Column) -> Column:
+    """The edges by start * 1000 + stop."""
+    return F.map_from_entries(F.transform(edges, lambda e: F.struct(
+        e["start"] * 1000 + e["stop"], F.struct((-e["rank"]).alias("score"), e["id"].alias("id")))))
+
+
+def fold_ranked(word: Column, edges: Column) -> Column:
+    """The mask of boundaries after one pass over the edges in the order of
+    their scores: an edge merges if its ends are boundaries with exactly one
+    between them.  The sign bit is set if a merge (of a late part) made one of
+    an edge already passed possible; without it the pass equals the repeated
+    search."""
+    none = F.lit(0).cast("long")
+
+    def merges(mask, e):
+        inner = mask.bitwiseAND(e["between"])
+        return ((mask.bitwiseAND(e["ends"]) == e["ends"]) & (inner != none)
+                & (inner.bitwiseAND(inner - 1) == none))
+
+    def earlier(p, e):
+        return (p["rank"] < e["rank"]) | ((p["rank"] == e["rank"]) & (p["start"] < e["start"]))
+
+    def step(mask, e):
+        after = mask.bitwiseAND(F.bitwise_not(e["between"]))
+        # what such a merge makes possible has the merged edge as a part
+        missed = (e["late"] != 0) & F.exists(edges, lambda p: (p["rank"] <= e["rank"]) & (p["start"] <= e["start"])
+                                             & (p["stop"] >= e["stop"]) & merges(after, p) & earlier(p, e))
+        return F.when(merges(mask, e), F.when(missed, after.bitwiseOR(F.lit(SIGN))).otherwise(after)).otherwise(mask)
+
+    whole = _bit(F.char_length(word) + 1) - 1
+    return F.aggregate(F.filter(edges, lambda e: e["between"] != none), whole, step)
 
 
 def fold_merges(word: Column, edges: Column) -> Column:
@@ -190,14 +249,30 @@ def word_ids(word: Column, edges: Column, cuts: Column, of_byte: list[int]) -> C
 def encode_words(words: DataFrame, spark: SparkSession, model: str, kind: str = "bpe") -> DataFrame:
     """word and ids for distinct words of at most ``LONGEST`` characters."""
     rows, _ = piece_rows(model)
-    longest = max(len(r[0]) for r in rows)
-    pieces = spark.createDataFrame(rows, "piece string, id int, score double")
+    longest, late = max(len(r[0]) for r in rows), late_parts(rows)
+    pieces = spark.createDataFrame([(*r, int(r[0] in late)) for r in rows],
+                                   "piece string, id int, score double, late long")
     graph = lattice(words, pieces, longest)
-    low = min(r[2] for r in rows) - 10.0
-    cuts = fold_merges(F.col("word"), F.col("edges")) if kind == "bpe" else fold_viterbi(
-        F.col("word"), F.col("edges"), longest, low)
-    cut = graph.select("word", "edges", F.explode(F.array(cuts)).alias("cuts"))
-    return cut.select("word", word_ids(F.col("word"), F.col("edges"), F.col("cuts"), byte_ids(model)).alias("ids"))
+    word, edges, cuts, mask = F.col("word"), F.col("edges"), F.col("cuts"), F.col("mask")
+    by_span = edge_map(edges)
+    if kind != "bpe":
+        low = min(r[2] for r in rows) - 10.0
+        cut = graph.select("word", F.explode(F.array(by_span)).alias("edges"))
+        cut = cut.select("word", "edges", F.explode(F.array(fold_viterbi(word, edges, longest, low))).alias("cuts"))
+        return cut.select("word", word_ids(word, edges, cuts, byte_ids(model)).alias("ids"))
+    # a one-element explode binds a value that is used more than once
+    folded = graph.select("word", "edges", F.explode(F.array(fold_ranked(word, edges))).alias("mask"))
+    chosen = F.filter(edges, lambda e: (mask.bitwiseAND(e["ends"]) == e["ends"])
+                      & (mask.bitwiseAND(e["between"]) == F.lit(0).cast("long")))
+    plain = F.transform(F.array_sort(F.transform(chosen, lambda e: F.struct(e["start"], e["id"]))), lambda e: e["id"])
+    folded = folded.select("word", "edges", "mask", F.explode(F.array(plain)).alias("ids"))
+    # words with characters that have no piece, or with a late part
+    again = F.transform(F.array(by_span), lambda m: F.transform(
+        F.array(F.when(mask < 0, fold_merges(word, m)).otherwise(
+            F.filter(F.sequence(F.lit(0), F.char_length(word)), lambda i: F.getbit(mask, i) == 1))),
+        lambda c: word_ids(word, m, c, byte_ids(model))))
+    return folded.select("word", F.when((mask >= 0) & (F.size("ids") == F.bit_count(mask) - 1), F.col("ids"))
+                         .otherwise(F.flatten(F.flatten(again))).alias("ids"))
 
 
 def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", kind: str = "bpe",
