@@ -6,6 +6,7 @@ import ctypes
 import uuid
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,7 +66,7 @@ def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 1 << 20):
     """Cut a batch into runs of rows holding about ``most_bytes`` of ``column``
     (at least one row each), so that work arrays stay small."""
     text = batch.column(column)
-    sizes = pa.compute.fill_null(pa.compute.binary_length(text), 0).to_numpy(zero_copy_only=False)
+    sizes = pc.fill_null(pc.binary_length(text), 0).to_numpy(zero_copy_only=False)
     start, held = 0, 0
     for i, n in enumerate(sizes):
         if held and held + n > most_bytes:

@@ -13,8 +13,8 @@ order of their scores where that gives the same (``fold_ranked``), the repeated
 search (``fold_merges``) where a merge made a better one possible.  Characters
 without a piece become their UTF-8 bytes' pieces.
 
-Texts are coded against a dictionary of their chunk's words (an Arrow batch),
-so only one row for each chunk and distinct word is joined.  Words of more than
+Texts are coded against a dictionary of their chunk's words (about 1 MB of
+texts), so only one row for each chunk and distinct word is joined.  Words of more than
 ``LONGEST`` characters are merged by a heap in the task that reads them: the
 fold's work grows with the square of a word's length.
 
@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.llm.common import Scratch, map_arrow
+from tidewire.llm.common import Scratch, map_arrow, slices
 
 MARK = "▁"
 #: Characters of a word of which the boundaries fit 63 bits; the sign is a flag.
@@ -106,24 +106,21 @@ def _coder(shared):
     def code(batches):
         pieces, of_byte = shared.value
         for batch in batches:
-            number, codes, long_ids = {}, [], {}
-            for text in batch.column("text").to_pylist():
-                marked = MARK + text.replace(" ", MARK) if text else ""
-                codes.append([number.setdefault(w, len(number)) for w in split.findall(marked)])
-            words = list(number)
-            for i, w in enumerate(words):
-                if len(w) > LONGEST:
-                    long_ids[i] = merge_word(w, pieces, of_byte)
-            chunk = int.from_bytes(hashlib.blake2b(
-                repr((batch.column("doc_id").to_pylist(), words[:64])).encode(), digest_size=8).digest(), "big", signed=True)
-            n = len(codes)
-            yield pa.record_batch([
-                pa.array([chunk] * (n + 1), pa.int64()),
-                pa.array([*batch.column("doc_id").to_pylist(), None], pa.int64()),
-                pa.array([*codes, None], pa.list_(pa.int32())),
-                pa.array([None] * n + [words], pa.list_(pa.string())),
-                pa.array([None] * n + [[long_ids.get(i) for i in range(len(words))]], pa.list_(pa.list_(pa.int32())))],
-                names=["chunk", "doc_id", "codes", "words", "long_ids"])
+            for part in slices(batch, "text"):
+                number, codes, long_ids = {}, [], {}
+                for text in part.column("text").to_pylist():
+                    marked = MARK + text.replace(" ", MARK) if text else ""
+                    codes.append([number.setdefault(w, len(number)) for w in split.findall(marked)])
+                words = list(number)
+                for i, w in enumerate(words):
+                    if len(w) > LONGEST:
+                        long_ids[i] = merge_word(w, pieces, of_byte)
+                yield pa.record_batch([
+                    pa.array([part.column("doc_id").to_pylist()], pa.list_(pa.int64())),
+                    pa.array([codes], pa.list_(pa.list_(pa.int32()))),
+                    pa.array([words], pa.list_(pa.string())),
+                    pa.array([[long_ids.get(i) for i in range(len(words))]], pa.list_(pa.list_(pa.int32())))],
+                    names=["doc_ids", "codes", "words", "long_ids"])
 
     return code
 
@@ -284,19 +281,23 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
                        F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     pieces = {p: (i, s) for p, i, s in piece_rows(model)[0]}
     shared = spark.sparkContext.broadcast((pieces, byte_ids(model)))
-    coded = scratch.table(map_arrow(rows, _coder(shared), "chunk long, doc_id long, codes array<int>, "
-                                    "words array<string>, long_ids array<array<int>>"), "coded")
-    lists = coded.where("words is not null")
-    entries = lists.select("chunk", F.posexplode(F.arrays_zip("words", "long_ids")).alias("at", "x")).select(
+    # one row for each chunk; its number holds once the table is written
+    coded = scratch.table(
+        map_arrow(rows, _coder(shared), "doc_ids array<long>, codes array<array<int>>, words array<string>, "
+                                        "long_ids array<array<int>>")
+        .withColumn("chunk", F.monotonically_increasing_id()), "coded")
+    entries = coded.select("chunk", F.posexplode(F.arrays_zip("words", "long_ids")).alias("at", "x")).select(
         "chunk", "at", F.col("x.words").alias("word"), F.col("x.long_ids").alias("long_ids"))
     short = entries.where(F.char_length("word") <= LONGEST).select("word").distinct()
     known = scratch.table(encode_words(short, spark, model, kind), "words")
     found = entries.join(known, "word", "left").select("chunk", "at", F.coalesce("long_ids", "ids").alias("ids"))
     table = found.groupBy("chunk").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "ids"))),
                                                    lambda e: e["ids"]).alias("table"))
-    texts = coded.where("words is null").select("chunk", "doc_id", "codes")
-    return texts.join(table, "chunk", "left").select("doc_id", F.coalesce(F.flatten(
-        F.transform("codes", lambda c: F.get("table", c))), F.array().cast("array<int>")).alias("ids"))
+    # texts are put together before they become rows: a chunk's table is read once
+    texts = coded.select("chunk", "doc_ids", "codes").join(table, "chunk", "left").select("doc_ids", F.transform(
+        "codes", lambda text: F.flatten(F.transform(text, lambda c: F.get("table", c)))).alias("ids"))
+    return texts.select(F.explode(F.arrays_zip("doc_ids", "ids")).alias("x")).select(
+        F.col("x.doc_ids").alias("doc_id"), F.col("x.ids").alias("ids"))
 
 
 def decode_ids(ids, out: list[bytes]) -> str:
