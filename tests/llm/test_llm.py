@@ -212,6 +212,28 @@ def test_sharding_splits_a_hot_group_and_rebalances(spark, tmp_path):
     assert new.groupby("shard").bytes.sum().max() <= 1.1 * new.bytes.sum() / 9
 
 
+def test_sharding_places_new_rows_by_a_stored_map(spark, tmp_path):
+    old = [(i, "one long document " * 20_000 if i == 0 else f"text {i}") for i in range(300)]
+    new = spark.createDataFrame([(1000 + i, old[0][1] if i < 40 else f"new text {i}") for i in range(3000)],
+                                "doc_id long, text string")
+    rows = sharding.sized(spark.createDataFrame(old, "doc_id long, text string"))
+    path = str(tmp_path / "maps")
+    sharding.store_map(sharding.first_map(sharding.slot_bytes(rows, 8), 8), path)
+    sharding.store_map(sharding.rebalance(sharding.load_map(spark, path), 9), path)
+    for version, shards in ((0, 8), (1, 9)):
+        stored = sharding.load_map(spark, path, version)
+        slots = stored.toPandas()
+        assert set(slots.vslot) == set(range(sharding.SLOTS)) and slots.parts.max() >= 8
+        assert all(sorted(own.part) == list(range(own.parts.iloc[0])) for _, own in slots.groupby("vslot"))
+        empty = slots[slots.bytes == 0].groupby("shard").size()
+        assert len(empty) == shards and empty.max() - empty.min() <= shards
+        got = sharding.shard(new, slot_map=stored).toPandas()
+        assert sorted(got.doc_id) == list(range(1000, 4000)) and set(got.shard) == set(range(shards))
+    partial = sharding.load_map(spark, path, 0).where("bytes > 0")
+    with pytest.raises(Exception, match="no shard in the slot map"):
+        sharding.shard(new, slot_map=partial).collect()
+
+
 def test_quality_learns_and_scores_all(spark):
     d = "/root/testdata/sf0.01"
     docs, labels = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "labels"))

@@ -7,11 +7,14 @@ slots to shards, largest first to the least loaded.  A slot of more than
 rows) is split into parts by a hash of identifier and text, as many as bring
 each below an eighth.  Maps are small tables (``slots`` rows and the parts of
 split slots) with a version; they can be stored, and rebalancing edits the
-latest one: only slots that must move do.
+latest one: only slots that must move do.  Every version holds all slots and
+all parts of split slots, those without rows too (0 bytes, dealt evenly), so
+rows that come after a map was made have a place in it; a row without one is
+an error.
 
 Defined results: null text counts as empty (size 1); repeated rows are placed
 one by one; null identifiers are ordinary; an empty table gives an empty
-result and an empty map; further columns are not read."""
+result and a map of empty slots; further columns are not read."""
 
 from __future__ import annotations
 
@@ -43,16 +46,30 @@ def _by_size(column: Column) -> Column:
     return F.reverse(F.array_sort(column))
 
 
-def slot_bytes(rows: DataFrame, shards: int) -> DataFrame:
-    """vslot, part, parts, bytes: slots, the large ones in parts."""
-    whole = rows.groupBy("vslot").agg(F.sum("size").alias("bytes"))
+def slot_bytes(rows: DataFrame, shards: int, slots: int = SLOTS) -> DataFrame:
+    """vslot, part, parts, bytes: all slots, the large ones in all their parts."""
+    every = rows.sparkSession.range(slots).select(F.col("id").cast("int").alias("vslot"))
+    held = rows.groupBy("vslot").agg(F.sum("size").alias("bytes"))
+    whole = every.join(held, "vslot", "left").select("vslot", F.coalesce("bytes", F.lit(0)).alias("bytes"))
     fair = whole.agg((F.sum("bytes") / shards).alias("fair"))
     parts = F.when(F.col("bytes") > F.col("fair") / 2, F.ceil(8 * F.col("bytes") / F.col("fair"))).otherwise(1)
     # one row against at most `slots` rows: both sides are of fixed size
     cut = whole.join(F.broadcast(fair), F.lit(True)).select("vslot", parts.cast("int").alias("parts"))
-    dealt = rows.join(F.broadcast(cut), "vslot")
-    return (dealt.groupBy("vslot", _part(F.col("parts")).alias("part"), "parts")
-            .agg(F.sum("size").alias("bytes")))
+    dealt = rows.join(F.broadcast(cut), "vslot").groupBy("vslot", _part(F.col("parts")).alias("part")).agg(
+        F.sum("size").alias("bytes"))
+    places = cut.select("vslot", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "parts")
+    return places.join(dealt, ["vslot", "part"], "left").select(
+        "vslot", "part", "parts", F.coalesce("bytes", F.lit(0)).alias("bytes"))
+
+
+def _give(state: Column, item: Column) -> Column:
+    """The fold's step: an item goes to the least loaded shard, an empty one to
+    the shard that holds the fewest empty ones."""
+    least = F.when(item["bytes"] > 0, F.array_position(state["load"], F.array_min(state["load"]))).otherwise(
+        F.array_position(state["empty"], F.array_min(state["empty"]))).cast("int") - 1
+    load = F.transform(state["load"], lambda v, i: F.when(i == least, v + item["bytes"]).otherwise(v))
+    empty = F.transform(state["empty"], lambda v, i: F.when((i == least) & (item["bytes"] == 0), v + 1).otherwise(v))
+    return F.struct(load.alias("load"), empty.alias("empty"), F.array_append(state["shard"], least).alias("shard"))
 
 
 def first_map(slots_: DataFrame, shards: int) -> DataFrame:
@@ -62,14 +79,9 @@ def first_map(slots_: DataFrame, shards: int) -> DataFrame:
     split slots (at most eight a shard)."""
     items = slots_.agg(_by_size(F.collect_list(F.struct("bytes", "vslot", "part", "parts"))).alias("items"))
     start = F.struct(F.array_repeat(F.lit(0).cast("long"), shards).alias("load"),
+                     F.array_repeat(F.lit(0).cast("long"), shards).alias("empty"),
                      F.array().cast("array<int>").alias("shard"))
-
-    def give(state, item):
-        least = F.array_position(state["load"], F.array_min(state["load"])).cast("int") - 1
-        load = F.transform(state["load"], lambda v, i: F.when(i == least, v + item["bytes"]).otherwise(v))
-        return F.struct(load.alias("load"), F.array_append(state["shard"], least).alias("shard"))
-
-    dealt = items.select("items", F.aggregate("items", start, give)["shard"].alias("shard"))
+    dealt = items.select("items", F.aggregate("items", start, _give)["shard"].alias("shard"))
     return (dealt.select(F.explode(F.arrays_zip("items", "shard")).alias("x"))
             .select(F.lit(0).alias("version"), "x.items.vslot", "x.items.part", "x.items.parts", "x.items.bytes",
                     "x.shard"))
@@ -80,29 +92,29 @@ def rebalance(previous: DataFrame, shards: int) -> DataFrame:
     the same number after slots have grown: update ``bytes`` first).
 
     Slots leave a shard only as far as it is above its fair share, smallest
-    first, or if the shard no longer exists; they go to the least loaded."""
-    fair = previous.agg((F.sum("bytes") / shards).alias("fair"))
+    first, or if the shard no longer exists; they go to the least loaded.
+    Empty slots are shared out by their number instead."""
+    empty = (F.col("bytes") == 0).cast("long")
+    fair = previous.agg((F.sum("bytes") / shards).alias("fair"), F.ceil(F.sum(empty) / shards).alias("fair_empty"))
     order = Window.partitionBy("shard").orderBy(F.desc("bytes"), "vslot", "part")
-    held = (previous.withColumn("upto", F.sum("bytes").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    held = (previous.withColumn("upto", F.sum("bytes").over(upto)).withColumn("upto_empty", F.sum(empty).over(upto))
             .join(F.broadcast(fair), F.lit(True)))
-    stays = (F.col("shard") < shards) & (F.col("upto") <= F.col("fair"))
-    marked = held.withColumn("stays", stays)
-    load = marked.where("stays").groupBy("shard").agg(F.sum("bytes").alias("load"))
+    fits = F.when(F.col("bytes") > 0, F.col("upto") <= F.col("fair")).otherwise(
+        F.col("upto_empty") <= F.col("fair_empty"))
+    marked = held.withColumn("stays", (F.col("shard") < shards) & fits)
+    load = marked.where("stays").groupBy("shard").agg(F.sum("bytes").alias("load"), F.sum(empty).alias("empty"))
     loads = (previous.sparkSession.range(shards).select(F.col("id").cast("int").alias("shard"))
              .join(load, "shard", "left")
-             .agg(F.array_sort(F.collect_list(F.struct("shard", F.coalesce("load", F.lit(0)).alias("load")))).alias("l"))
-             .select(F.transform("l", lambda x: x["load"].cast("long")).alias("load")))
+             .agg(F.array_sort(F.collect_list(F.struct("shard", F.coalesce("load", F.lit(0)).alias("load"),
+                                                       F.coalesce("empty", F.lit(0)).alias("empty")))).alias("l"))
+             .select(F.transform("l", lambda x: x["load"].cast("long")).alias("load"),
+                     F.transform("l", lambda x: x["empty"].cast("long")).alias("empty")))
     moving = marked.where("not stays").agg(
         _by_size(F.collect_list(F.struct("bytes", "vslot", "part", "parts"))).alias("items"))
-
-    def give(state, item):
-        least = F.array_position(state["load"], F.array_min(state["load"])).cast("int") - 1
-        new = F.transform(state["load"], lambda v, i: F.when(i == least, v + item["bytes"]).otherwise(v))
-        return F.struct(new.alias("load"), F.array_append(state["shard"], least).alias("shard"))
-
     dealt = (moving.join(F.broadcast(loads), F.lit(True))
-             .select("items", F.aggregate("items", F.struct("load", F.array().cast("array<int>").alias("shard")),
-                                          give)["shard"].alias("shard"))
+             .select("items", F.aggregate("items", F.struct("load", "empty", F.array().cast("array<int>").alias("shard")),
+                                          _give)["shard"].alias("shard"))
              .select(F.explode(F.arrays_zip("items", "shard")).alias("x"))
              .select("x.items.vslot", "x.items.part", "x.items.parts", "x.items.bytes", "x.shard"))
     version = previous.agg((F.max("version") + 1).alias("version"))
@@ -129,17 +141,19 @@ def shard(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: st
 
     ``slot`` is the row's place in its shard, gapless from 0: rows are
     numbered within ``places`` hash buckets of each shard, and the buckets'
-    counts give the numbers to start from.  ``slot_map``: a stored map; else
-    one is made from the rows."""
+    counts give the numbers to start from.  ``slot_map``: a stored map of
+    ``slots`` slots; else one is made from the rows."""
     scratch = scratch or Scratch(docs.sparkSession, "sharding")
     rows = scratch.table(sized(docs, id_col, text_col, slots), "sized")
     if slot_map is None:
-        slot_map = first_map(slot_bytes(rows, shards), shards)
+        slot_map = first_map(slot_bytes(rows, shards, slots), shards)
     slot_map = scratch.table(slot_map, "map")
     parts = slot_map.groupBy("vslot").agg(F.first("parts").alias("parts"))
     # the map is of fixed size: `slots` rows and at most eight parts a shard
-    placed = (rows.join(F.broadcast(parts), "vslot").withColumn("part", _part(F.col("parts")))
-              .join(F.broadcast(slot_map.select("vslot", "part", "shard")), ["vslot", "part"])
+    lost = F.raise_error(F.concat(F.lit("no shard in the slot map for vslot "), F.col("vslot").cast("string")))
+    placed = (rows.join(F.broadcast(parts), "vslot", "left").withColumn("part", _part(F.col("parts")))
+              .join(F.broadcast(slot_map.select("vslot", "part", "shard")), ["vslot", "part"], "left")
+              .withColumn("shard", F.coalesce("shard", lost.cast("int")))
               .withColumn("bucket", F.pmod(F.xxhash64("spread", F.lit(2)), F.lit(places)).cast("int")))
     counts = placed.groupBy("shard", "bucket").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
