@@ -17,7 +17,8 @@ from tidewire.llm.exact_dedup import exact_dedup
 from tidewire.llm.fingerprints import edited_fingerprints
 from tidewire.llm.minhash_dedup import near_duplicates
 from tidewire.llm.packing import pack, pack_group
-from tidewire.llm.sentencepiece import encode, encode_decode, merge_word, piece_rows
+from tidewire.llm import sentencepiece as lattices
+from tidewire.llm.sentencepiece import encode, encode_decode, merge_word, piece_rows, unigram_words
 from tidewire.llm.substring_dedup import substring_dedup
 
 SCHEMA = "doc_id long, text string, key string, run int, place int, score double, n int"
@@ -329,6 +330,43 @@ def test_sentencepiece_equals_the_library(docs, texts):
     assert merge_word("▁hello", pieces, []) == sp.encode("hello")
 
 
+UNIGRAM = [(p, i, s) for i, (p, s) in enumerate(
+    [("a", -1.0), ("b", -2.0), ("c", -6.0), ("ab", -2.5), ("bc", -3.0), ("abc", -7.0), ("ca", -3.5), ("bca", -4.0),
+     ("aa", -2.0), ("日", -3.0), ("日本", -4.0), ("本語", -4.25), ("▁", -1.5), ("▁a", -2.0)])]
+
+
+def brute_viterbi(word, rows, unknown, of_byte):
+    """Best sum of scores; on ties the earlier start of the last piece, then of those before."""
+    pieces, best = {p: (i, s) for p, i, s in rows}, [(0.0, [])]
+    for stop in range(1, len(word) + 1):
+        ways = []
+        for start in range(stop):
+            own = pieces.get(word[start:stop])
+            if own or stop - start == 1:
+                ids = [own[0]] if own else [of_byte[b] for b in word[start:stop].encode()]
+                ways.append((best[start][0] + (own[1] if own else unknown), -start, best[start][1] + ids))
+        score, _, ids = max(ways)
+        best.append((score, ids))
+    return best[-1][1]
+
+
+def test_unigram_fold_equals_brute_force(spark, monkeypatch):
+    rng = random.Random(11)
+    of_byte, low = list(range(100, 356)), -17.0
+    some = [62, 63, 64, 255, 256, 257, 1500] + [rng.randint(1, 40) for _ in range(200)]
+    texts_ = sorted({"".join(rng.choices("abca日本語é", k=n)) for n in some})
+    pieces = spark.createDataFrame(UNIGRAM, "piece string, id int, score double")
+    got = unigram_words(spark.createDataFrame([(w,) for w in texts_], "word string"), pieces, 3, low, of_byte)
+    assert {r.word: r.ids for r in got.collect()} == {w: brute_viterbi(w, UNIGRAM, low, of_byte) for w in texts_}
+    # whole texts, long words with the short ones
+    monkeypatch.setattr(lattices, "piece_rows", lambda _: (UNIGRAM, []))
+    monkeypatch.setattr(lattices, "byte_ids", lambda _: of_byte)
+    docs = [(i, t + " ab " + t[:5]) for i, t in enumerate(texts_)] + [(-1, None), (-2, "")]
+    got = {r.doc_id: r.ids for r in encode(spark.createDataFrame(docs, "doc_id long, text string"), "", kind="unigram").collect()}
+    assert got == {i: [x for w in re.findall("▁*[^▁]+|▁+", "▁" + t.replace(" ", "▁") if t else "")
+                       for x in brute_viterbi(w, UNIGRAM, min(s for _, _, s in UNIGRAM) - 10.0, of_byte)] for i, t in docs}
+
+
 def test_empty_tables(spark, empty):
     for result in (exact_dedup(empty), substring_dedup(empty), near_duplicates(empty), sharding.shard(empty),
                    pack(empty, public_tokenizers.path("word_bpe_49k.json")), edited_fingerprints(empty),

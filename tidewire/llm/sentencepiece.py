@@ -6,7 +6,9 @@ no segmentation crosses there).  Distinct words become a lattice: substrings of
 up to the longest piece's length are exploded and equi-joined to the piece
 table, the edges of a word are grouped, and a higher-order ``aggregate`` folds
 them.  For unigram models the fold is Viterbi's (best sum of scores, earlier
-start on ties).  For BPE models the best sum is not the model's segmentation;
+start on ties), for words of any length: their substrings are exploded block by
+block, and the edges are grouped by the boundary at which they end.  For BPE
+models the best sum is not the model's segmentation;
 there the fold over the same lattice merges the best-scored adjacent pair, the
 leftmost on ties, until no edge covers a pair: one pass over the edges in the
 order of their scores where that gives the same (``fold_ranked``), the repeated
@@ -14,9 +16,10 @@ search (``fold_merges``) where a merge made a better one possible.  Characters
 without a piece become their UTF-8 bytes' pieces.
 
 Texts are coded against a dictionary of their chunk's words (about 1 MB of
-texts), so only one row for each chunk and distinct word is joined.  Words of more than
-``LONGEST`` characters are merged by a heap in the task that reads them: the
-fold's work grows with the square of a word's length.
+texts), so only one row for each chunk and distinct word is joined.  For BPE
+models, words of more than ``LONGEST`` characters are merged by a heap in the
+task that reads them and do not reach the lattice: the fold's work grows with
+the square of a word's length.
 
 Defined results: null text is empty and has no ids; repeated rows and null
 identifiers pass through; an empty table gives no rows; further columns are
@@ -40,6 +43,8 @@ from tidewire.llm.common import Scratch, map_arrow, slices
 MARK = "▁"
 #: Characters of a word of which the boundaries fit 63 bits; the sign is a flag.
 LONGEST = 62
+#: Starts of substrings that one row of a unigram model's word is exploded to.
+BLOCK = 256
 SIGN = -(1 << 63)
 
 
@@ -100,7 +105,7 @@ def merge_word(word: str, pieces: dict[str, tuple[int, float]], of_byte: list[in
     return ids
 
 
-def _coder(shared):
+def _coder(shared, kind):
     split = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
     def code(batches):
@@ -113,7 +118,7 @@ def _coder(shared):
                     codes.append([number.setdefault(w, len(number)) for w in split.findall(marked)])
                 words = list(number)
                 for i, w in enumerate(words):
-                    if len(w) > LONGEST:
+                    if kind == "bpe" and len(w) > LONGEST:
                         long_ids[i] = merge_word(w, pieces, of_byte)
                 yield pa.record_batch([
                     pa.array([part.column("doc_id").to_pylist()], pa.list_(pa.int64())),
@@ -209,23 +214,55 @@ def fold_merges(word: Column, edges: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), F.sequence(F.lit(0), n), step)
 
 
-def fold_viterbi(word: Column, edges: Column, longest: int, unknown: float) -> Column:
-    """Boundaries of the path of the best sum of scores."""
-    n = F.char_length(word)
-    start = F.array(F.struct(F.lit(0.0).alias("score"), F.array(F.lit(0)).alias("cuts")))
-
-    def step(best, end):
-        def through(a):
-            edge = F.try_element_at(edges, a * 1000 + end)["score"]
-            score = F.coalesce(edge, F.when(end - a == 1, F.lit(unknown)))
-            return F.struct((F.get(best, a)["score"] + score).alias("score"), (-a).alias("a"))
-
-        ways = F.filter(F.transform(F.sequence(F.greatest(end - longest, F.lit(0)), end - 1), through),
-                        lambda w: w["score"].isNotNull())
-        return F.get(F.transform(F.array(F.array_max(ways)), lambda w: F.array_append(best, F.struct(
-            w["score"].alias("score"), F.array_append(F.get(best, -w["a"])["cuts"], end).alias("cuts")))), F.lit(0))
-
-    return F.get(F.aggregate(F.sequence(F.lit(1), n), start, step), n)["cuts"]
+def fold_viterbi(stops: Column, longest: int) -> Column:
+    """The ids on the path of the best sum of scores.  ``stops``: for each
+    boundary from 1 on, in order, the edges (score, start, ids) ending there."""
+    start = F.struct(F.array(F.lit(0.0)).alias("scores"), F.array().cast("array<int>").alias("starts"))
+
+    def step(best, at):
+        # scores are kept for the last ``longest`` boundaries
+        ways = F.transform(at["edges"], lambda e: F.struct(
+            (F.get(best["scores"], F.size(best["scores"]) - (at["stop"] - e["start"])) + e["score"]).alias("score"),
+            (-e["start"]).alias("a")))
+        near = F.slice(best["scores"], F.greatest(F.size(best["scores"]) - longest + 2, F.lit(1)), longest)
+        return F.get(F.transform(F.array(F.array_max(ways)), lambda w: F.struct(
+            F.array_append(near, w["score"]).alias("scores"),
+            F.array_append(best["starts"], -w["a"]).alias("starts"))), F.lit(0))
+
+    def back(path, e):
+        own = F.get(F.filter(e["stops"]["edges"], lambda x: x["start"] == e["starts"]), F.lit(0))["ids"]
+        return F.when(e["stops"]["stop"] == path["at"], F.struct(
+            e["starts"].alias("at"), F.array_append(path["ids"], own).alias("ids"))).otherwise(path)
+
+    end = F.struct(F.size(stops).alias("at"), F.array().cast("array<array<int>>").alias("ids"))
+    path = F.arrays_zip(stops.alias("stops"), F.aggregate(stops, start, step)["starts"].alias("starts"))
+    return F.flatten(F.reverse(F.aggregate(F.reverse(path), end, back)["ids"]))
+
+
+def unigram_words(words: DataFrame, pieces: DataFrame, longest: int, unknown: float, of_byte: list[int]) -> DataFrame:
+    """word and ids for distinct words of any length.  A character without a
+    piece has an edge of the score ``unknown`` and its bytes' ids."""
+    n, key = F.char_length("word"), F.sha2(F.col("word").cast("binary"), 256)
+    # rows hold a block of the word, not the word: it may be a whole text
+    blocks = words.select(key.alias("key"), n.alias("n"), "word", F.explode(
+        F.sequence(F.lit(0), n - 1, F.lit(BLOCK))).alias("begin")).select(
+        "key", "n", "begin", F.expr(f"substring(word, begin + 1, {BLOCK + longest - 1})").alias("block"))
+    spans = blocks.select("key", "n", "begin", "block", F.explode(F.sequence(
+        F.lit(0), F.least(F.lit(BLOCK), F.col("n") - F.col("begin")) - 1)).alias("at")).select(
+        "key", (F.col("begin") + F.col("at")).alias("start"), "block", "at", F.explode(F.sequence(
+            F.lit(1), F.least(F.lit(longest), F.col("n") - F.col("begin") - F.col("at")))).alias("size"))
+    spans = spans.select("key", "start", "size", F.expr("substring(block, at + 1, size)").alias("span"))
+    code = F.hex(F.col("span").cast("binary"))
+    spelled = F.transform(F.sequence(F.lit(1), F.length(code) - 1, F.lit(2)), lambda k: F.get(
+        F.array(*[F.lit(i) for i in of_byte]), F.conv(F.substring(code, k, F.lit(2)), 16, 10).cast("int")))
+    edges = spans.join(F.broadcast(pieces.select("piece", F.col("id").alias("id_"), "score")),
+                       F.col("span") == F.col("piece"), "left").where(F.col("id_").isNotNull() | (F.col("size") == 1))
+    edge = F.struct(F.coalesce("score", F.lit(unknown)).alias("score"), "start",
+                    F.when(F.col("id_").isNotNull(), F.array("id_")).otherwise(spelled).alias("ids"))
+    ends = edges.groupBy("key", (F.col("start") + F.col("size")).alias("stop")).agg(F.collect_list(edge).alias("edges"))
+    graph = ends.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("stop", "edges"))).alias("stops"))
+    coded = graph.select("key", fold_viterbi(F.col("stops"), longest).alias("ids"))
+    return words.select("word", key.alias("key")).join(coded, "key").select("word", "ids")
 
 
 def word_ids(word: Column, edges: Column, cuts: Column, of_byte: list[int]) -> Column:
@@ -244,19 +281,17 @@ def word_ids(word: Column, edges: Column, cuts: Column, of_byte: list[int]) -> C
 
 
 def encode_words(words: DataFrame, spark: SparkSession, model: str, kind: str = "bpe") -> DataFrame:
-    """word and ids for distinct words of at most ``LONGEST`` characters."""
+    """word and ids for distinct words, for BPE models of at most ``LONGEST``
+    characters."""
     rows, _ = piece_rows(model)
     longest, late = max(len(r[0]) for r in rows), late_parts(rows)
     pieces = spark.createDataFrame([(*r, int(r[0] in late)) for r in rows],
                                    "piece string, id int, score double, late long")
+    if kind != "bpe":
+        return unigram_words(words, pieces, longest, min(r[2] for r in rows) - 10.0, byte_ids(model))
     graph = lattice(words, pieces, longest)
-    word, edges, cuts, mask = F.col("word"), F.col("edges"), F.col("cuts"), F.col("mask")
+    word, edges, mask = F.col("word"), F.col("edges"), F.col("mask")
     by_span = edge_map(edges)
-    if kind != "bpe":
-        low = min(r[2] for r in rows) - 10.0
-        cut = graph.select("word", F.explode(F.array(by_span)).alias("edges"))
-        cut = cut.select("word", "edges", F.explode(F.array(fold_viterbi(word, edges, longest, low))).alias("cuts"))
-        return cut.select("word", word_ids(word, edges, cuts, byte_ids(model)).alias("ids"))
     # a one-element explode binds a value that is used more than once
     folded = graph.select("word", "edges", F.explode(F.array(fold_ranked(word, edges))).alias("mask"))
     chosen = F.filter(edges, lambda e: (mask.bitwiseAND(e["ends"]) == e["ends"])
@@ -283,13 +318,13 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
     shared = spark.sparkContext.broadcast((pieces, byte_ids(model)))
     # one row for each chunk; its number holds once the table is written
     coded = scratch.table(
-        map_arrow(rows, _coder(shared), "doc_ids array<long>, codes array<array<int>>, words array<string>, "
+        map_arrow(rows, _coder(shared, kind), "doc_ids array<long>, codes array<array<int>>, words array<string>, "
                                         "long_ids array<array<int>>")
         .withColumn("chunk", F.monotonically_increasing_id()), "coded")
     entries = coded.select("chunk", F.posexplode(F.arrays_zip("words", "long_ids")).alias("at", "x")).select(
         "chunk", "at", F.col("x.words").alias("word"), F.col("x.long_ids").alias("long_ids"))
-    short = entries.where(F.char_length("word") <= LONGEST).select("word").distinct()
-    known = scratch.table(encode_words(short, spark, model, kind), "words")
+    asked = entries.where(F.col("long_ids").isNull()).select("word").distinct()
+    known = scratch.table(encode_words(asked, spark, model, kind), "words")
     found = entries.join(known, "word", "left").select("chunk", "at", F.coalesce("long_ids", "ids").alias("ids"))
     table = found.groupBy("chunk").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "ids"))),
                                                    lambda e: e["ids"]).alias("table"))
