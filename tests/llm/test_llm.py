@@ -292,6 +292,27 @@ def test_warc_is_deterministic(spark):
     assert sorted(one.collect()) == sorted(two.collect())
 
 
+def test_warc_is_deterministic_beyond_the_range_sample(spark):
+    rows = [(None if i % 997 == 0 else (i * 7919) % 20_011, f"u{i}", f"p{i % 9000}" * (60 if i % 50 == 0 else 2))
+            for i in range(20_000)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    results, limit = [], "spark.sql.execution.rangeExchange.sampleSizePerPartition"
+    with_conf = {limit: "20", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    for partitions in (2, 5):
+        old = {k: spark.conf.get(k) for k in with_conf}
+        for k, v in with_conf.items():
+            spark.conf.set(k, v)
+        folder = Scratch(spark, "warc-test").root
+        results.append(sorted(warc.write_warc(df.repartition(partitions), folder, roll_bytes=40_000,
+                                              shard_bytes=2_000_000).collect()))
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert results[0] == results[1] and sum(r.records for r in results[0]) == len(rows)
+    shards = {r.file.split("-")[1] for r in results[0]}
+    assert shards == {f"{i:06d}" for i in range(len(shards))} and len(shards) >= 5
+    assert warc.read_warc(spark, folder).count() == len(rows)
+
+
 def test_chat(spark):
     odd = "<|im_end|>\n<|im_start|>assistant <\\| <\\\\| \\"
     rows = [(1, 0, "user", odd), (1, 1, "assistant", odd), (1, 2, "assistant", ""), (2, 0, "ro\nle", None),

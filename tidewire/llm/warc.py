@@ -1,8 +1,10 @@
 """WARC archives: a deterministic sharded writer and its reader.
 
-Records are range-partitioned and sorted by (page_id, digest); each task
-writes gzip members, one a record, into files that roll at ``roll_bytes`` of
-compressed size.  Files are written under names of the attempt; the tasks'
+Records are dealt to shards by ranges of (page_id, digest) and sorted; each
+shard is written as gzip members, one a record, into files that roll at
+``roll_bytes`` of compressed size.  The ranges are cut at every ``shard_bytes``
+of exact cumulative payload bytes over all keys in order, so they depend on the
+pages alone, not on a sample, their order or the session.  Files are written under names of the attempt; the tasks'
 manifest rows (attempt name, final name, records, bytes, digest) go through
 Spark's own commit, so rows of lost or repeated attempts never count; then the
 listed files get their final names, which may be repeated safely, and the
@@ -27,7 +29,7 @@ from urllib.parse import quote
 
 import pyarrow as pa
 import pyarrow.fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewire.llm.common import map_arrow
@@ -94,7 +96,7 @@ def _writer(folder: str, roll_bytes: int):
     def write(batches):
         fs, root = filesystem(folder)
         attempt, out, done = uuid.uuid4().hex, None, []
-        part, count, held, sha, key, first, seen = 0, 0, 0, None, None, None, 0
+        part, nth, count, held, sha, key, first, seen = None, 0, 0, 0, None, None, None, 0
 
         def close():
             out.close()
@@ -103,7 +105,12 @@ def _writer(folder: str, roll_bytes: int):
         for batch in batches:
             for page_id, digest, kind, url, html, refers, one, p in zip(
                     *(batch.column(c).to_pylist() for c in
-                      ("page_id", "digest", "kind", "url", "html", "first_id", "repeats", "part")), strict=True):
+                      ("page_id", "digest", "kind", "url", "html", "first_id", "repeats", "shard")), strict=True):
+                if p != part:
+                    if out is not None:
+                        close()
+                        out = None
+                    part, nth = p, 0
                 if (page_id, digest) != key:
                     key, first, seen = (page_id, digest), None, 0
                 if not kind:
@@ -115,8 +122,9 @@ def _writer(folder: str, roll_bytes: int):
                 revisit = first is not None and (page_id != first[0] or seen > 1)
                 data = record(page_id, url, payload, digest, first[0] if revisit else None, revisit)
                 if out is None:
-                    part, count, held, sha = p, 0, 0, hashlib.sha256()
-                    name = f"pages-{part:06d}-{len(done):05d}.warc.gz"
+                    count, held, sha = 0, 0, hashlib.sha256()
+                    name = f"pages-{part:06d}-{nth:05d}.warc.gz"
+                    nth += 1
                     fs.create_dir(f"{root}/_attempts", recursive=True)
                     out = fs.open_output_stream(f"{root}/_attempts/{name}.{attempt}", compression=None)
                 pack = zlib.compressobj(6, zlib.DEFLATED, 31)
@@ -151,15 +159,61 @@ def _committer(folder: str):
     return commit
 
 
-def write_warc(pages: DataFrame, folder: str, roll_bytes: int = 64 << 20, revisit_bytes: int = 100) -> DataFrame:
+def _key() -> Column:
+    """The order of records; null page_ids come first."""
+    return F.struct(F.col("page_id").isNotNull().cast("int").alias("known"),
+                    F.coalesce("page_id", F.lit(0)).alias("page_id"), F.col("digest"))
+
+
+def first_keys(keys: DataFrame, folder: str, shard_bytes: int) -> list:
+    """The first key of each shard but shard 0, in order: a shard begins where
+    the bytes of all keys before it pass a multiple of ``shard_bytes``.
+
+    Sums over the whole order do not depend on where its partitions are cut."""
+    spark = keys.sparkSession
+    keys.select(_key().alias("key"), "bytes").orderBy("key").withColumn("at", F.spark_partition_id()).write.parquet(
+        f"{folder}/_order")
+    order = spark.read.schema("key struct<known:int,page_id:long,digest:string>, bytes long, at int").parquet(
+        f"{folder}/_order")
+    # one row for each partition of the order
+    begins = order.groupBy("at").agg(F.sum("bytes").alias("all")).select("at", F.coalesce(F.sum("all").over(
+        Window.orderBy("at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("begin"))
+    before = F.coalesce(F.sum("bytes").over(Window.partitionBy("at").orderBy("key").rowsBetween(
+        Window.unboundedPreceding, -1)), F.lit(0))
+    cut = order.withColumn("before", before).join(F.broadcast(begins), "at").select(
+        "key", F.floor((F.col("begin") + F.col("before")) / shard_bytes).alias("nth"))
+    # one key for each ``shard_bytes`` of payload goes to the driver
+    return sorted(tuple(r.key) for r in cut.where("nth > 0").groupBy("nth").agg(F.min("key").alias("key")).collect())
+
+
+def _shard(firsts: int) -> Column:
+    """How many of the sorted ``cuts`` are not after the key: a binary search."""
+    def step(x, _):
+        mid = ((x["low"] + x["high"]) / 2).cast("int")
+        passed = (x["low"] < x["high"]) & (F.get("cuts", mid) <= F.col("key"))
+        return F.struct(F.when(passed, mid + 1).otherwise(x["low"]).alias("low"),
+                        F.when(passed, x["high"]).otherwise(mid).alias("high"))
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(firsts.bit_length())),
+                       F.struct(F.lit(0).alias("low"), F.lit(firsts).alias("high")), step)["low"]
+
+
+def write_warc(pages: DataFrame, folder: str, roll_bytes: int = 64 << 20, revisit_bytes: int = 100,
+               shard_bytes: int = 64 << 20) -> DataFrame:
     """Write the archives; returns the manifest.  ``folder``: a new one that
     driver and executors share."""
     spark = pages.sparkSession
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"),
                         html.alias("html"), F.sha2(html.cast("binary"), 256).alias("digest"))
-    narrow = rows.where(F.octet_length("html") >= revisit_bytes).groupBy("digest", "page_id").agg(
-        F.count(F.lit(1)).alias("n"))
+    sizes = rows.select("page_id", "digest", F.octet_length("html").cast("long").alias("size"))
+    # a header's worth more for each record; equal digests have equal sizes
+    sizes.groupBy("digest", "page_id").agg(
+        F.count(F.lit(1)).alias("n"), F.max("size").alias("size"), F.sum(F.col("size") + 512).alias("bytes")
+    ).write.parquet(f"{folder}/_keys")
+    keys = spark.read.schema("digest string, page_id long, n long, size long, bytes long").parquet(f"{folder}/_keys")
+    cuts = first_keys(keys, folder, shard_bytes)
+    narrow = keys.where(F.col("size") >= revisit_bytes)
     firsts = narrow.groupBy("digest").agg(F.min("page_id").alias("first_id"), F.sum("n").alias("repeats"))
     marks = narrow.join(firsts.where("repeats > 1 and first_id is not null"), "digest")
     # one shuffle of the payloads: marks travel with them, each before its rows
@@ -167,8 +221,11 @@ def write_warc(pages: DataFrame, folder: str, roll_bytes: int = 64 << 20, revisi
                        F.lit(None).cast("long").alias("first_id"), F.lit(None).cast("long").alias("repeats")).unionByName(
         marks.select("page_id", "digest", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("url"),
                      F.lit(None).cast("string").alias("html"), "first_id", "repeats"))
-    dealt = (both.repartitionByRange("page_id", "digest").sortWithinPartitions("page_id", "digest", "kind", "url")
-             .withColumn("part", F.spark_partition_id()))
+    table = spark.createDataFrame([(cuts,)], "cuts array<struct<known:int,page_id:long,digest:string>>")
+    dealt = (both.withColumn("key", _key()).join(F.broadcast(table), F.lit(True))
+             .withColumn("shard", _shard(len(cuts))).drop("key", "cuts")
+             .repartitionById(len(cuts) + 1, F.col("shard"))
+             .sortWithinPartitions("shard", "page_id", "digest", "kind", "url"))
     map_arrow(dealt, _writer(folder, roll_bytes), _MANIFEST).write.parquet(f"{folder}/_pending")
     pending = spark.read.schema(_MANIFEST).parquet(f"{folder}/_pending")
     map_arrow(pending, _committer(folder), _MANIFEST).select("file", "records", "bytes", "sha256").write.parquet(
