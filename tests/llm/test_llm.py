@@ -338,6 +338,21 @@ def test_chat_templates():
     assert breaks is None and all(formatted[c:d] == t for (_, _, c, d), (_, t) in zip(spans, turns, strict=True))
 
 
+@pytest.mark.parametrize("before", [10, 100])
+def test_chat_names_a_rewriting_turn_at_any_length(spark, before):
+    def pending(turns):
+        """Notes an unanswered tool turn while it is the last, if a system turn is first."""
+        note = "(pending)" if turns and turns[0][0] == "system" and turns[-1][0] == "tool" else ""
+        return "".join(f"[{r}]{t}" for r, t in turns) + note
+
+    turns = [("system", "s"), *[("user", f"u{i}") for i in range(before)], ("tool", "call"), ("assistant", "done")]
+    assert chat.locate(turns, pending)[2] == before + 2
+    rows = [(1, i, r, t) for i, (r, t) in enumerate(turns)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    assert chat.format_chats(df, pending).first().rewrites == before + 2
+    assert chat.locate(turns[:-2], pending)[2] is None
+
+
 def test_sentencepiece_equals_the_library(docs, texts):
     import sentencepiece
 

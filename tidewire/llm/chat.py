@@ -6,9 +6,13 @@ before, and what it adds is the turn's span.  A template whose output for a
 longer prefix does not begin with the shorter one's rewrites history and is
 reported (``rewrites``: the first such turn).  A turn's text is found inside
 its span by rendering two stand-ins for it that differ in their first and last
-characters.  Beyond ``prefix_turns`` turns the prefixes are rendered over the
-last ``context`` turns only, and the whole conversation is rendered once to
-verify the sum of the spans; if it differs, all prefixes are rendered whole.
+characters.  Only for a template that its caller declares ``local`` (what a turn
+adds depends on the last ``context`` turns alone, as with the default one) are
+prefixes of more than ``prefix_turns`` turns rendered over the last ``context``
+turns; the whole conversation is rendered once to verify the sum of the spans,
+and if it differs, all prefixes are rendered whole.  All prefixes of any other
+template are rendered, which takes a time that grows with the square of the
+number of turns.
 
 The default template marks turns and escapes control strings inside texts
 reversibly: a backslash more goes into every ``<``, backslashes, ``|``.
@@ -81,11 +85,13 @@ def _inside(render: Callable[[list[Turn]], str], before: list[Turn], turn: Turn)
 
 
 def locate(turns: list[Turn], render: Callable[[list[Turn]], str] = chatml, prefix_turns: int = 64,
-           context: int = 2) -> tuple[str, list[tuple[int, int, int, int]], int | None]:
+           context: int = 2, local: bool | None = None) -> tuple[str, list[tuple[int, int, int, int]], int | None]:
     """(formatted, spans as (start, end, text start, text end), the first turn
-    that rewrites history or None)."""
+    that rewrites history or None).  ``local``: by default that of ``chatml``
+    alone."""
+    local = render is chatml if local is None else local
     whole = render(turns)
-    for near in (True, False):
+    for near in (True, False) if local else (False,):
         out, spans, done = render([]), [], True
         for k, turn in enumerate(turns):
             far = near and k >= prefix_turns
@@ -106,7 +112,7 @@ def locate(turns: list[Turn], render: Callable[[list[Turn]], str] = chatml, pref
     return whole, spans, len(turns) - 1
 
 
-def _formatter(render: Callable[[list[Turn]], str]):
+def _formatter(render: Callable[[list[Turn]], str], local: bool):
     def turns_of(batches):
         for batch in batches:
             yield from zip(*(batch.column(c).to_pylist() for c in ("conv_id", "role", "text")), strict=True)
@@ -122,7 +128,7 @@ def _formatter(render: Callable[[list[Turn]], str]):
         rows, held = [], 0
         for conv, group in groupby(turns_of(batches), key=lambda r: r[0]):
             turns = [(role or "", text or "") for _, role, text in group]
-            formatted, spans, breaks = locate(turns, render)
+            formatted, spans, breaks = locate(turns, render, local=local)
             rows.append((conv, formatted, [dict(zip(("role", "start", "end", "text_start", "text_end"), (t[0], *s),
                                                     strict=True)) for t, s in zip(turns, spans, strict=False)], breaks))
             held += len(formatted)
@@ -135,13 +141,15 @@ def _formatter(render: Callable[[list[Turn]], str]):
     return run
 
 
-def format_chats(turns: DataFrame, render: Callable[[list[Turn]], str] = chatml) -> DataFrame:
+def format_chats(turns: DataFrame, render: Callable[[list[Turn]], str] = chatml,
+                 local: bool | None = None) -> DataFrame:
     """conv_id, formatted, spans (of each turn and of its text, in characters),
     rewrites (null if the template appends only)."""
+    local = render is chatml if local is None else local  # here: executors have a copy of the template
     rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"),
                         F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
     dealt = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    return map_arrow(dealt, _formatter(render), f"conv_id long, formatted string, spans {_SPANS}, rewrites int")
+    return map_arrow(dealt, _formatter(render, local), f"conv_id long, formatted string, spans {_SPANS}, rewrites int")
 
 
 def _digest(batches):
