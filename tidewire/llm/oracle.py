@@ -80,3 +80,68 @@ SELECT conv_id, count(*) AS n_turns,
        sum(size)::BIGINT AS formatted_chars
 FROM e GROUP BY conv_id
 """
+
+
+def _either_case(words: str) -> str:
+    return "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in words)
+
+
+_RULES = {  # kind: pattern, the group whose length counts, the least length
+    "assign": ("(" + _either_case("password|passwd|secret|token|api_?key")
+               + r""")["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 12),
+    "access": ("AKIA[A-Z0-9]+", 0, 18),
+    "hex": ("[0-9a-f]+", 0, 16),
+    "private": ("-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----", 0, 1),
+    "github": ("gh[opsru]_[A-Za-z0-9]+", 0, 40),
+    "jwt": (r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 40),
+}
+
+
+def _matches(rank: int, kind: str) -> str:
+    """Matches of a rule: a match starts after the pieces and matches before it."""
+    pattern, group, least = _RULES[kind]
+    quoted = "'" + pattern.replace("'", "''") + "'"
+    return f"""
+  SELECT doc_id, {rank} AS rank, '{kind}' AS kind, s, s + length(m[i]) AS e FROM (
+    SELECT doc_id, m, g, i, list_sum(list_transform(p[:i], lambda x: length(x)))
+                            + coalesce(list_sum(list_transform(m[:i - 1], lambda x: length(x))), 0) AS s
+    FROM (SELECT doc_id, m, g, p, unnest(range(1, len(m) + 1)) AS i FROM (
+      SELECT doc_id, regexp_extract_all(t, {quoted}, 0) AS m, regexp_extract_all(t, {quoted}, {group}) AS g,
+             string_split_regex(t, {quoted}) AS p FROM d)))
+  WHERE length(g[i]) >= {least}"""
+
+
+ORACLE["op11_secret_scans"] = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+f AS ({" UNION ALL ".join(_matches(i, k) for i, k in enumerate(_RULES))}),
+j AS (
+  SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access,
+         count(*) FILTER (kind = 'hex') AS n_hex,
+         string_agg(concat_ws(':', kind, s::BIGINT, e::BIGINT), ',' ORDER BY s, rank) FILTER (rank < 3) AS base,
+         string_agg(concat_ws(':', kind, s::BIGINT, e::BIGINT), ',' ORDER BY s, rank) AS spans
+  FROM f GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access,
+       coalesce(n_hex, 0)::BIGINT AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN j ON j.doc_id = d.doc_id
+"""
+
+ORACLE["op12_fill_in_middle"] = """
+WITH u AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS us,
+         sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+h AS (
+  SELECT doc_id, t, us, len(us)::BIGINT AS n, ('0x' || h[1:8])::BIGINT AS h1, ('0x' || h[9:16])::BIGINT AS h2,
+         ('0x' || h[17:24])::BIGINT AS h3, ('0x' || h[25:32])::BIGINT AS h4 FROM u),
+c AS (
+  SELECT doc_id, t, n, us, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+         CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90
+              THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM h),
+p AS (
+  SELECT doc_id, t, n, form, array_to_string(us[:a], '') AS x, array_to_string(us[a + 1:b], '') AS y,
+         array_to_string(us[b + 1:], '') AS z FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(x) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN length(y) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN concat('<P>', x, '<S>', z, '<M>', y)
+                        ELSE concat('<S>', z, '<P>', x, '<M>', y) END) AS output_sha256,
+       sha256(t) AS restored_sha256 FROM p
+"""

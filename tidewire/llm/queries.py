@@ -6,9 +6,10 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tidewire.llm import quality
+from tidewire.llm import fim, quality, secret_scan
+from tidewire.llm.alignment import align
 from tidewire.llm.chat import digests, format_chats
-from tidewire.llm.common import Scratch, read
+from tidewire.llm.common import Scratch, hex_sha256, read
 from tidewire.llm.exact_dedup import exact_dedup
 from tidewire.llm.fingerprints import edited_fingerprints
 from tidewire.llm.minhash_dedup import near_duplicates
@@ -72,8 +73,25 @@ def op10_chat_formatting(spark, sf_dir):
     return digests(format_chats(turns))
 
 
+def op11_secret_scans(spark, sf_dir):
+    ledger = secret_scan.Ledger(spark, Scratch(spark, "ledger").root)
+    return secret_scan.digests(secret_scan.scan(read(spark, sf_dir, "documents"), ledger))
+
+
+def op12_fill_in_middle(spark, sf_dir):
+    made = fim.fill_in_middle(read(spark, sf_dir, "documents"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", hex_sha256("output").alias("output_sha256"),
+                       hex_sha256(fim.restored("output", "form")).alias("restored_sha256"))
+
+
+def op13_token_alignment(spark, sf_dir):
+    return align(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+                 public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_exact_dedup, op2_substring_dedup, op3_sharding, op4_quality_classifier, op5_best_fit_packing,
-    op6_sentencepiece, op7_minhash_dedup, op8_warc, op9_document_fingerprints, op10_chat_formatting)}
+    op6_sentencepiece, op7_minhash_dedup, op8_warc, op9_document_fingerprints, op10_chat_formatting,
+    op11_secret_scans, op12_fill_in_middle, op13_token_alignment)}
 
 __all__ = ["ORACLE", "QUERIES"]
