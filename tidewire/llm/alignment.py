@@ -12,12 +12,12 @@ token at its component's terminal token, which labels the group.
    aligns each distinct unit of a block once and keeps what it has seen (up to
    ``KEPT`` units, then it starts anew).
 2. Blocks of about ``BLOCK`` bytes of whole documents become rows: what each
-   document says of itself, its distinct units, their linked id pairs, and for
-   each pair how many of the block's documents hold it.
+   document says of itself, its linked id pairs with their links, and for each
+   pair how many of the block's documents hold it.
 3. Pair counts are summed over all blocks, and the highest of each A id joined
    to them.
-4. Each block's distinct pairs fetch their counts; a block meets them in one
-   task by a sort, which gives the sums of its documents.
+4. Each block's distinct pairs fetch their counts, gathered by block (as many
+   as the block has pairs), which gives the sums of its documents.
 
 A pair that stands in every document thus crosses the shuffle once a block, not
 once a document, and nothing is broadcast.
@@ -44,8 +44,8 @@ from pyspark.taskcontext import TaskContext
 
 from tidewire.llm.common import Scratch, map_arrow, slices
 
-KEPT = 400_000
-BLOCK = 4 << 20
+KEPT = 200_000
+BLOCK = 2 << 20
 _JOINED = 1 << 16  # bytes of units encoded by one call
 _VISIBLE = 0x21, 0x7E
 
@@ -59,24 +59,43 @@ def byte_alphabet() -> dict[str, int]:
 
 
 class ByteBpe:
-    """Tokenizer A: a tokenizers file with a byte-level vocabulary."""
+    """Tokenizer A: a tokenizers file with a byte-level vocabulary.
 
-    def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+    Where the file's merges stand in the order of their ids, ids are ranks and
+    tiktoken encodes the same, much faster on rare words; else the file's own
+    library does."""
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+    def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
-            vocabulary = json.load(f)["model"]["vocab"]
-        byte = byte_alphabet()
+            file = json.load(f)
+        vocabulary = file["model"]["vocab"]
+        byte, added = byte_alphabet(), {t["id"] for t in file["added_tokens"]}
         self.bytes = [b""] * (max(vocabulary.values()) + 1)
+        ranks = {}
         for entry, i in vocabulary.items():
-            self.bytes[i] = bytes(byte[c] for c in entry) if all(c in byte for c in entry) else entry.encode()
+            if i not in added and all(c in byte for c in entry):
+                self.bytes[i] = bytes(byte[c] for c in entry)
+                ranks[self.bytes[i]] = i
+        made = [vocabulary["".join(m if not isinstance(m, str) else m.split(" "))] for m in file["model"]["merges"]]
+        splitting = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+        if made == sorted(made) and file["pre_tokenizer"] == splitting and not file["normalizer"]:
+            import public_tokenizers
+            import tiktoken
+
+            coder = tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+            self.encode = lambda texts: [coder.encode_ordinary(t.decode()) for t in texts]
+        else:
+            self.encode = self._by_file(path)
+
+    @staticmethod
+    def _by_file(path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
 
-    def encode(self, texts: list[bytes]) -> list[list[int]]:
-        """The ids of texts that begin with a space."""
-        return [e.ids for e in self.tokenizer.encode_batch([t.decode() for t in texts], add_special_tokens=False)]
+        tokenizer = Tokenizer.from_file(path)
+        tokenizer.encode_special_tokens = True
+        return lambda texts: [e.ids for e in tokenizer.encode_batch([t.decode() for t in texts],
+                                                                    add_special_tokens=False)]
 
 
 class PieceBpe:
@@ -179,8 +198,8 @@ class Aligner:
                 blocks.append([])
             blocks[-1].append(unit)
             held = held + len(unit) if visible and held + len(unit) < _JOINED else 0
-        for k in range(0, len(blocks), 32):
-            self._learn(blocks[k:k + 32])
+        for k in range(0, len(blocks), 8):
+            self._learn(blocks[k:k + 8])
 
     def _learn(self, blocks: list[list[bytes]]) -> None:
         texts = [b"".join(block) for block in blocks]
@@ -277,12 +296,23 @@ def cut_units(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
 
 
 _BLOCKS = ("chunk long, doc_id array<long>, n_a array<long>, n_b array<long>, n_groups array<long>, "
-           "n_links array<long>, groups_sha256 array<string>, doc_first binary, unit binary, times binary, "
-           "unit_first binary, pair binary, links binary, a array<int>, b array<int>, held array<long>")
+           "n_links array<long>, groups_sha256 array<string>, doc_first binary, pair binary, links binary, "
+           "a array<int>, b array<int>, held array<int>")
 _RESULT = ("doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, "
            "groups_sha256 string")
-_OWN = ("doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "doc_first", "unit", "times", "unit_first",
-        "pair", "links")
+_OWN = ("doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "doc_first", "pair", "links")
+
+
+def _packed(values: np.ndarray) -> bytes:
+    """Whole numbers from 0 on in the fewest bytes each."""
+    most = int(values.max(initial=0))
+    kind = next(k for k in (np.uint8, np.uint16, np.uint32, np.int64) if most <= np.iinfo(k).max)
+    return values.astype(kind).tobytes()
+
+
+def _unpacked(data: bytes, n: int) -> np.ndarray:
+    kind = {1: np.uint8, 2: np.uint16, 4: np.uint32, 8: np.int64}[len(data) // n] if n else np.uint8
+    return np.frombuffer(data, kind).astype(np.int64)
 
 
 def _block(part: pa.RecordBatch, aligner: Aligner) -> dict:
@@ -309,37 +339,37 @@ def _block(part: pa.RecordBatch, aligner: Aligner) -> dict:
     counts = np.frombuffer(aligner.counts, np.int64).reshape(-1, 4)[slot]
     keep = ~none[text_of]
     code, text_of = code[keep], text_of[keep]
-    key, times = np.unique(text_of * max(len(distinct), 1) + code, return_counts=True)
-    doc, unit = key // max(len(distinct), 1), key % max(len(distinct), 1)
+    width = max(len(distinct), 1)
+    key, times = np.unique(text_of * width + code, return_counts=True)
+    doc, unit = key // width, key % width
     sums = np.zeros((n, 4), np.int64)
     np.add.at(sums, doc, counts[unit] * times[:, None])
 
+    # the distinct pairs of each document: those of its units, with their links
     known = np.frombuffer(aligner.first, np.int64)
     have = known[slot + 1] - known[slot]
-    unit_first = _firsts(have)
-    take = np.repeat(known[slot], have) + _runs(have)
-    code_of, pair = np.unique(np.frombuffer(aligner.pair, np.int64)[take], return_inverse=True)
-    links = np.frombuffer(aligner.links, np.int64)[take]
-    # documents that hold each pair, by distinct (document, pair)
-    wide = have[unit]
-    of_doc = np.repeat(doc, wide) * max(len(code_of), 1) + pair[np.repeat(unit_first[unit], wide) + _runs(wide)]
-    held = np.bincount(np.unique(of_doc) % max(len(code_of), 1), minlength=len(code_of))
+    code_of, pair = np.unique(np.frombuffer(aligner.pair, np.int64)[np.repeat(known[slot], have) + _runs(have)],
+                              return_inverse=True)
+    wide, width = have[unit], max(len(code_of), 1)
+    at = _runs(wide)
+    of_doc = np.repeat(doc, wide) * width + pair[np.repeat(_firsts(have)[unit], wide) + at]
+    links = np.frombuffer(aligner.links, np.int64)[np.repeat(known[slot][unit], wide) + at] * np.repeat(times, wide)
+    key, links = _counted(of_doc, links)
+    held = np.bincount(key % width, minlength=len(code_of))
     some = np.flatnonzero(held)  # pairs of uncovered texts alone count nowhere
-    place = np.zeros(len(code_of), np.int64)
+    place = np.zeros(width, np.int64)
     place[some] = np.arange(len(some))
     del known
     return {"doc_id": part.column("id").to_pylist(), "n_a": sums[:, 0], "n_b": sums[:, 1], "n_groups": sums[:, 2],
             "n_links": sums[:, 3], "groups_sha256": said,
-            "doc_first": np.searchsorted(doc, np.arange(n + 1)).astype(np.int64).tobytes(),
-            "unit": unit.astype(np.uint32).tobytes(), "times": times.astype(np.uint32).tobytes(),
-            "unit_first": unit_first.tobytes(), "pair": place[pair].astype(np.uint32).tobytes(),
-            "links": links.astype(np.uint32 if links.max(initial=0) < 1 << 32 else np.int64).tobytes(), "a": (code_of[some] >> 32).astype(np.int32),
-            "b": (code_of[some] & 0xFFFFFFFF).astype(np.int32), "held": held[some]}
+            "doc_first": np.searchsorted(key // width, np.arange(n + 1)).astype(np.int64).tobytes(),
+            "pair": _packed(place[key % width]), "links": _packed(links), "a": (code_of[some] >> 32).astype(np.int32),
+            "b": (code_of[some] & 0xFFFFFFFF).astype(np.int32), "held": held[some].astype(np.int32)}
 
 
 def _blocks(path_a: str, path_b: str):
     types = {"doc_id": pa.list_(pa.int64()), "groups_sha256": pa.list_(pa.string()), "a": pa.list_(pa.int32()),
-             "b": pa.list_(pa.int32())} | {k: pa.binary() for k in _OWN[6:]}
+             "b": pa.list_(pa.int32()), "held": pa.list_(pa.int32())} | {k: pa.binary() for k in _OWN[6:]}
 
     def run(batches):
         if (path_a, path_b) not in _aligners:
@@ -359,19 +389,14 @@ def _blocks(path_a: str, path_b: str):
 
 def _sums(own: dict, n: np.ndarray, top: np.ndarray) -> pa.RecordBatch:
     """The results of one block from its row and the counts of its pairs."""
-    def read(name, kind):
-        return np.frombuffer(own[name], kind).astype(np.int64)
+    first = np.frombuffer(own["doc_first"], np.int64)
+    pair, links = (_unpacked(own[k], int(first[-1])) for k in ("pair", "links"))
 
-    def per(first, values):  # exact sums of runs
-        total = _firsts(values)
+    def per(counts):  # exact sums of runs
+        total = _firsts(links * counts[pair]) if len(pair) else np.zeros(1, np.int64)
         return total[first[1:]] - total[first[:-1]]
 
-    unit, times = read("unit", np.uint32), read("times", np.uint32)
-    pair = read("pair", np.uint32)
-    links = read("links", np.uint32 if len(own["links"]) == 4 * len(pair) else np.int64)
-    doc_first, unit_first = read("doc_first", np.int64), read("unit_first", np.int64)
-    n, top = (x if len(x) else np.zeros(1, np.int64) for x in (n, top))
-    best, held = (per(doc_first, times * per(unit_first, links * x[pair])[unit]) for x in (top, n))
+    best, held = per(top), per(n)
     return pa.record_batch([pa.array(x, pa.int64()) for x in (
         own["doc_id"], own["n_a"], own["n_b"], own["n_groups"], own["n_links"], best, held)]
         + [pa.array(own["groups_sha256"], pa.string())],
@@ -379,25 +404,14 @@ def _sums(own: dict, n: np.ndarray, top: np.ndarray) -> pa.RecordBatch:
 
 
 def _meet(batches):
-    """Rows by (chunk, pos): a block's own row (pos -1), then its pairs' counts."""
-    chunk, own, counts, tops = None, None, [], []
+    """A block's own row with the counts of its pairs, in their order."""
     for batch in batches:
-        chunks = batch.column("chunk").to_numpy()
-        cuts = np.append(np.flatnonzero(np.append(True, chunks[1:] != chunks[:-1])), len(chunks))
-        for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-            if hi == lo:
-                continue
-            part = batch.slice(lo, hi - lo)
-            if chunks[lo] != chunk:
-                if own is not None:
-                    yield _sums(own, np.concatenate(counts), np.concatenate(tops))
-                chunk, counts, tops = chunks[lo], [], []
-                own = {k: part.column(k)[0].as_py() for k in _OWN}
-                part = part.slice(1)
-            counts.append(part.column("n").to_numpy(zero_copy_only=False).astype(np.int64))
-            tops.append(part.column("top").to_numpy(zero_copy_only=False).astype(np.int64))
-    if own is not None:
-        yield _sums(own, np.concatenate(counts), np.concatenate(tops))
+        for i in range(batch.num_rows):
+            own = {k: batch.column(k)[i].as_py() for k in _OWN}
+            counts = batch.column("counts")[i].values  # null for a block without tokens
+            n, top = (np.zeros(0, np.int64) if counts is None else
+                      counts.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("n", "top"))
+            yield _sums(own, n, top)
 
 
 def linked_pairs(blocks: DataFrame) -> DataFrame:
@@ -419,8 +433,7 @@ def align(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", tex
         "a", "b", "n", (F.col("n") == F.col("most")).cast("int").alias("top"))
     wanted = (blocks.select("chunk", F.posexplode(F.arrays_zip("a", "b")).alias("pos", "x"))
               .select("chunk", "pos", "x.a", "x.b"))
-    back = wanted.join(known, ["a", "b"]).select("chunk", "pos", "n", "top")
-    own = blocks.select("chunk", F.lit(-1).alias("pos"), F.lit(None).cast("long").alias("n"),
-                        F.lit(None).cast("int").alias("top"), *_OWN)
-    met = own.unionByName(back, allowMissingColumns=True).repartition("chunk").sortWithinPartitions("chunk", "pos")
+    back = (wanted.join(known, ["a", "b"]).groupBy("chunk")
+            .agg(F.array_sort(F.collect_list(F.struct("pos", "n", "top"))).alias("counts")))
+    met = blocks.select("chunk", *_OWN).join(back, "chunk", "left")
     return map_arrow(met, _meet, _RESULT)
