@@ -19,12 +19,13 @@ def score(grouped: DataFrame, as_of: Column, authority: DataFrame,
           boosted=C.BOOSTED_CATEGORIES) -> DataFrame:
     """M1-M6 over anchors (``is_duplicate = 0``; ungrouped rows pass too).
 
-    J4 joins the per-group sizes (one row per group), J5 the authority table
-    (the planner picks the join)."""
-    sizes = group_sizes(grouped)
+    J4 is the ``group_size`` that the grouping gives, or a join of the
+    per-group sizes where it is not there; J5 joins the authority table (the
+    planner picks the join)."""
     anchors = grouped.where(F.coalesce(F.col("is_duplicate"), F.lit(0)) == 0)
-    j = (anchors.join(sizes, "story_group_id", "left")
-         .join(authority, "source", "left"))
+    if "group_size" not in grouped.columns:
+        anchors = anchors.join(group_sizes(grouped), "story_group_id", "left")
+    j = anchors.join(authority, "source", "left")
     return (j.withColumn("recency", S.recency_score("published_at", as_of))
             .withColumn("authority", S.authority_score("weight"))
             .withColumn("bonus", S.group_bonus("group_size"))

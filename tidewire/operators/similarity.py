@@ -4,14 +4,20 @@ components, W2 anchors, A3 group stats, G2/G3 composition.
 Scale design
 ------------
 * Exact copies (identical non-empty token sets) are collapsed first: one
-  representative per distinct set (min id) and a star of copy edges.  A group
-  of copies holding a third of all rows therefore never reaches the pair join
-  and never produces quadratic pairs.
-* J3 is a prefix-filtered inverted-index equi self-join (Bayardo et al. 2007):
-  tokens ordered by global frequency (rare first), only the first
-  ``n - ceil(t*n) + 1`` tokens of each set are indexed, candidates must share
-  an indexed token and pass the length filter, then every candidate is
-  verified exactly on the full sets.  No cartesian product, no all-pairs.
+  representative per distinct set (min id).  A group of copies holding a third
+  of all rows therefore never reaches the pair join.
+* Postings are a prefix-filtered inverted index (Bayardo et al. 2007): tokens
+  ordered by global frequency (rare first), only the first
+  ``n - ceil(t*n) + 1`` tokens of each set are indexed.  A posting's class is
+  (token, set size, tokens from it on); which classes of a token can hold
+  similar sets follows from the length and position bounds alone, so those
+  class pairs are joined first, and sets meet by an equi-join on them.  A very
+  common token does not bring all of its sets together.
+* J3 emits every similar pair.  G2 and G3 need components only
+  (``link_labels``): each class is compared with one head per admissible class,
+  similar ones are contracted to one label, and only postings that still span
+  several labels go on; what is left is joined exactly across labels.  n near
+  copies cost n comparisons, not n(n-1)/2.
 * G1 is alternating large-star / small-star (Kiveris et al. 2014) over the
   edge DataFrame, written each round into ``spark.checkpoint.dir``; it
   stops on an exact test (every component is a star around its minimum).
@@ -57,44 +63,82 @@ def _prefix_len(n: Column, num: int, den: int) -> Column:
     return n - F.floor((n * num + (den - 1)) / den).cast("bigint") + 1
 
 
+def postings(reps: DataFrame, num: int = C.JACCARD_NUM, den: int = C.JACCARD_DEN) -> DataFrame:
+    """The inverted index of distinct token sets: one row per indexed token of
+    a set, with ``rem``, the number of its tokens from this one on in global
+    frequency order.  Tokens of one set only are left out: they meet nothing.
+
+    ``reps`` has (rep, tokens, n) and may have further columns, which stay."""
+    base = reps.where(F.col("n") > 0).withColumnRenamed("rep", "id")
+    exploded = base.select("id", F.explode("tokens").alias("tok"))
+    freq = exploded.groupBy("tok").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") > 1)
+    # order of the shared tokens; those of one set only come first in it anyway
+    ranked = (exploded.join(freq, "tok").groupBy("id")
+              .agg(F.array_sort(F.collect_list(F.struct("df", "tok"))).alias("ordered")))
+    own = F.col("n") - F.size("ordered")  # tokens of this set only: the rarest
+    indexed = F.greatest(_prefix_len(F.col("n"), num, den) - own, F.lit(0)).cast("int")
+    return (base.join(ranked, "id")
+            .select(*base.columns, F.size("ordered").alias("_shared"),
+                    F.posexplode(F.slice("ordered", 1, indexed)).alias("_pos", "_e"))
+            .select(*base.columns, F.col("_e.tok").alias("tok"),
+                    (F.col("_shared") - F.col("_pos")).cast("bigint").alias("rem")))
+
+
+def _admissible(n_a: Column, rem_a: Column, n_b: Column, rem_b: Column, num: int, den: int) -> Column:
+    """Whether sets of these sizes that first meet on a token with so many
+    tokens from it on can be similar (exact bounds, in integers):
+
+    * length: ``min(n) >= t * max(n)``;
+    * position (PPJoin): all tokens that two sets have in common lie at or
+      after the first one they share, so at that meeting ``overlap <=
+      min(rem)``, and Jaccard >= t needs ``overlap >= t / (1 + t) * (n_a + n_b)``.
+      A similar pair always keeps its first meeting."""
+    return ((F.least(n_a, n_b) * den >= F.greatest(n_a, n_b) * num)
+            & (F.least(rem_a, rem_b) * (den + num) >= (n_a + n_b) * num))
+
+
+_CLASS = ("n", "rem")
+
+
+def _class_pairs(classes: DataFrame, num: int, den: int) -> DataFrame:
+    """Ordered pairs of a token's classes that can hold similar sets: the
+    columns of ``classes`` for the first (a_...) and the second (b_...)."""
+    a = classes.select(F.col("tok"), *[F.col(c).alias(f"a_{c}") for c in classes.columns if c != "tok"])
+    b = classes.select(F.col("tok"), *[F.col(c).alias(f"b_{c}") for c in classes.columns if c != "tok"])
+    return a.join(b, "tok").where(_admissible(F.col("a_n"), F.col("a_rem"), F.col("b_n"), F.col("b_rem"), num, den))
+
+
+def _before(cls: tuple[str, ...]) -> Column:
+    """The first class does not come after the second one."""
+    return F.struct(*[f"a_{c}" for c in cls]) <= F.struct(*[f"b_{c}" for c in cls])
+
+
+def _meet(index: DataFrame, pairs: DataFrame, cls: tuple[str, ...], carry: tuple[str, ...]) -> DataFrame:
+    """Sets of the first class of each pair with those of the second, once for
+    each unordered pair of sets and posting."""
+    x = index.select("tok", *[F.col(c).alias(f"a_{c}") for c in cls], *[F.col(c).alias(f"x_{c}") for c in carry])
+    y = index.select("tok", *[F.col(c).alias(f"b_{c}") for c in cls], *[F.col(c).alias(f"y_{c}") for c in carry])
+    keys_a, keys_b = [f"a_{c}" for c in cls], [f"b_{c}" for c in cls]
+    once = pairs.where(_before(cls)).select("tok", *keys_a, *keys_b).withColumn(
+        "_same", F.struct(*keys_a) == F.struct(*keys_b))
+    return (x.join(once, ["tok", *keys_a]).join(y, ["tok", *keys_b])
+            .where(~F.col("_same") | (F.col("x_id") < F.col("y_id"))))
+
+
 def similar_pairs(reps: DataFrame, num: int = C.JACCARD_NUM, den: int = C.JACCARD_DEN) -> DataFrame:
     """J3 over distinct token sets: (id_a < id_b, n_a, n_b, n_inter) for every
     pair with Jaccard >= num/den, exact.
 
-    ``reps`` has (rep, tokens, n).  Output ids are the representatives.
-
-    Candidate filters, all exact:
-    * prefix: only the first ``n - ceil(t n) + 1`` tokens in global
-      frequency order are indexed (two similar sets share one of them);
-    * length: ``min(n) >= t * max(n)``;
-    * position (PPJoin): where two sets meet on a token at positions
-      (p_a, p_b), all tokens they have in common from their *first* shared
-      token on lie at or after it, so at that first meeting
-      ``overlap <= 1 + min(n_a - p_a - 1, n_b - p_b - 1)``, and Jaccard >= t
-      needs ``overlap >= t / (1 + t) * (n_a + n_b)``.  A meeting failing the
-      bound is dropped; a similar pair always keeps its first meeting.  This
-      stops short sets that share only a very common word ("the") from
-      meeting pairwise."""
-    base = reps.select(F.col("rep").alias("id"), "tokens", "n").where(F.col("n") > 0)
-    exploded = base.select("id", "n", F.explode("tokens").alias("tok"))
-    freq = exploded.groupBy("tok").agg(F.count(F.lit(1)).alias("df"))
-    ranked = (exploded.join(freq, "tok")
-              .groupBy("id", "n")
-              .agg(F.array_sort(F.collect_list(F.struct("df", "tok"))).alias("ordered")))
-    prefix = ranked.select(
-        "id", "n",
-        F.posexplode(F.slice("ordered", 1, _prefix_len(F.col("n"), num, den).cast("int"))).alias("pos", "e")
-    ).select("id", "n", "pos", F.col("e.tok").alias("tok"))
-    a = prefix.alias("a")
-    b = prefix.alias("b")
-    reach = F.least(F.col("a.n") - F.col("a.pos"), F.col("b.n") - F.col("b.pos"))  # 1 + min(remaining)
-    cand = (a.join(b, (F.col("a.tok") == F.col("b.tok")) & (F.col("a.id") < F.col("b.id"))
-                   & (F.least("a.n", "b.n") * den >= F.greatest("a.n", "b.n") * num)
-                   & (reach * (den + num) >= (F.col("a.n") + F.col("b.n")) * num))
-            .select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b"))
-            .distinct())
-    ta = base.select(F.col("id").alias("id_a"), F.col("tokens").alias("t_a"), F.col("n").alias("n_a"))
-    tb = base.select(F.col("id").alias("id_b"), F.col("tokens").alias("t_b"), F.col("n").alias("n_b"))
+    ``reps`` has (rep, tokens, n).  Output ids are the representatives.  Sets
+    meet in admissible classes of an indexed token (``postings``) and every
+    candidate is verified on the full sets."""
+    base = reps.select("rep", "tokens", "n")
+    index = postings(base, num, den).select("id", "n", "rem", "tok")
+    pairs = _class_pairs(index.select("tok", *_CLASS).distinct(), num, den)
+    cand = (_meet(index, pairs, _CLASS, ("id",))
+            .select(F.least("x_id", "y_id").alias("id_a"), F.greatest("x_id", "y_id").alias("id_b")).distinct())
+    ta = base.select(F.col("rep").alias("id_a"), F.col("tokens").alias("t_a"), F.col("n").alias("n_a"))
+    tb = base.select(F.col("rep").alias("id_b"), F.col("tokens").alias("t_b"), F.col("n").alias("n_b"))
     verified = (cand.join(ta, "id_a").join(tb, "id_b")
                 .withColumn("n_inter", F.size(F.array_intersect("t_a", "t_b")).cast("bigint")))
     return (verified.where(T.jaccard_passes("n_inter", "n_a", "n_b", num, den))
@@ -160,29 +204,143 @@ def connected_components(edges: DataFrame, vertices: DataFrame | None = None) ->
 # G2 / W2 / A3
 # ---------------------------------------------------------------------------
 
+#: Cross-label pairs per posting from which on heads are compared first.
+PAIRS_PER_POSTING = 4
+_LABELLED = ("n", "rem", "fresh")
+
+
+def _similar(tokens_a: str, n_a: str, tokens_b: str, n_b: str, num: int, den: int) -> Column:
+    return T.jaccard_passes(F.size(F.array_intersect(tokens_a, tokens_b)).cast("bigint"), n_a, n_b, num, den)
+
+
+def _open_pairs(index: DataFrame, num: int, den: int) -> DataFrame:
+    """postings, pairs: the number of postings, and of pairs of sets that meet
+    in admissible classes under different labels (counted, not formed)."""
+    by_label = index.groupBy("tok", *_LABELLED, "label").agg(F.count(F.lit(1)).alias("m"))
+    classes = by_label.groupBy("tok", *_LABELLED).agg(F.sum("m").alias("m"))
+    either = F.col("a_fresh") | F.col("b_fresh")
+    product = (F.col("a_m").cast("decimal(19,0)") * F.col("b_m").cast("decimal(18,0)")).cast("decimal(38,0)")
+    every = _class_pairs(classes, num, den).where(either).select(product.alias("pairs"))
+    a = by_label.select("tok", "label", *[F.col(c).alias(f"a_{c}") for c in (*_LABELLED, "m")])
+    b = by_label.select("tok", "label", *[F.col(c).alias(f"b_{c}") for c in (*_LABELLED, "m")])
+    alike = (a.join(b, ["tok", "label"])
+             .where(_admissible(F.col("a_n"), F.col("a_rem"), F.col("b_n"), F.col("b_rem"), num, den) & either)
+             .select((-product).alias("pairs")))
+    none = F.lit(0).cast("bigint").alias("postings")
+    return (every.select("pairs", none).unionByName(alike.select("pairs", none))
+            .unionByName(classes.select(F.lit(0).cast("decimal(38,0)").alias("pairs"), F.col("m").alias("postings")))
+            .agg((F.coalesce(F.sum("pairs"), F.lit(0)) / 2).cast("decimal(38,0)").alias("pairs"),
+                 F.coalesce(F.sum("postings"), F.lit(0)).alias("postings")))
+
+
+def _head_links(index: DataFrame, turn: int, num: int, den: int) -> DataFrame:
+    """(a, b) labels linked by comparing every set with one head of each class
+    that is admissible for its own; another head each turn."""
+    head = F.min_by(F.struct("id", "label", "tokens"), F.xxhash64("id", F.lit(turn)))
+    classes = index.groupBy("tok", *_LABELLED).agg(head.alias("head"), F.min("label").alias("lo"),
+                                                   F.max("label").alias("hi"))
+    pairs = (_class_pairs(classes, num, den)
+             .where((F.col("a_fresh") | F.col("b_fresh")) & (F.least("a_lo", "b_lo") < F.greatest("a_hi", "b_hi")))
+             .select("tok", *[F.col(f"a_{c}").alias(c) for c in _LABELLED], F.col("b_n").alias("head_n"),
+                     F.col("b_head.label").alias("head_label"), F.col("b_head.tokens").alias("head_tokens")))
+    return (index.join(pairs, ["tok", *_LABELLED])
+            .where((F.col("label") != F.col("head_label"))
+                   & _similar("tokens", "n", "head_tokens", "head_n", num, den))
+            .select(F.greatest("label", "head_label").alias("a"), F.least("label", "head_label").alias("b"))
+            .distinct())
+
+
+def _all_links(index: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b) labels linked by any pair of similar sets, exact."""
+    classes = index.groupBy("tok", *_LABELLED).agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
+    pairs = _class_pairs(classes, num, den).where(
+        (F.col("a_fresh") | F.col("b_fresh")) & (F.least("a_lo", "b_lo") < F.greatest("a_hi", "b_hi")))
+    return (_meet(index, pairs, _LABELLED, ("id", "label", "tokens"))
+            .where((F.col("x_label") != F.col("y_label"))
+                   & _similar("x_tokens", "a_n", "y_tokens", "b_n", num, den))
+            .select(F.greatest("x_label", "y_label").alias("a"), F.least("x_label", "y_label").alias("b")).distinct())
+
+
+def _relabel(df: DataFrame, roots: DataFrame) -> DataFrame:
+    moved = roots.where(F.col("id") != F.col("component")).select(F.col("id").alias("label"), "component")
+    return (df.join(moved, "label", "left")
+            .withColumn("label", F.coalesce("component", "label")).drop("component").select(*df.columns))
+
+
+def link_labels(reps: DataFrame, num: int = C.JACCARD_NUM, den: int = C.JACCARD_DEN) -> DataFrame:
+    """(label, root) for every label of ``reps``: labels that similar sets
+    connect share the least of them.
+
+    ``reps`` has (rep, tokens, n, label, fresh): distinct token sets, the label
+    each stands under, and whether it is new; two sets that are not fresh are
+    not compared.  Exact: heads only save comparisons, and what they leave
+    under different labels is joined in full.  That last join grows with the
+    pairs that pass every bound and yet are not similar."""
+    roots = reps.select("label", F.col("label").alias("root")).distinct()
+    index = materialize(postings(reps, num, den), "postings")
+    turn, before = 0, None
+    while True:
+        left = _open_pairs(index, num, den).first()
+        if left.pairs == 0:
+            return roots
+        few = left.pairs <= PAIRS_PER_POSTING * left.postings
+        slow = before is not None and left.pairs * 10 > before * 7
+        links = _all_links(index, num, den) if few or slow else _head_links(index, turn, num, den)
+        found = connected_components(links)
+        # the labels of every set follow; the table has one row a label
+        roots = (roots.join(found.select(F.col("id").alias("root"), "component"), "root", "left")
+                 .select("label", F.coalesce("component", "root").alias("root")))
+        if few or slow:
+            return roots
+        roots = materialize(roots, "roots")
+        index = _relabel(index, found)
+        several = (index.groupBy("tok").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
+                   .where(F.col("lo") < F.col("hi")).select("tok"))
+        index = materialize(index.join(several, "tok", "left_semi"), "postings")
+        turn, before = turn + 1, left.pairs
+
+
+def group_titles(rows: DataFrame, num: int = C.JACCARD_NUM, den: int = C.JACCARD_DEN,
+                 title_col: str = "title", some_stored: bool = False) -> DataFrame:
+    """(id, story_group_id) for rows of (id, title, label, fresh): labels whose
+    rows have similar titles become one, the least of them.  Rows with an empty
+    token set keep their label.  ``some_stored``: not all rows are fresh."""
+    sets = (rows.select("id", "label", "fresh", T.title_tokens(title_col).alias("tokens"))
+            .withColumn("n", F.size("tokens").cast("bigint")).withColumn("_h", F.xxhash64("tokens")))
+    # one representative per distinct set: equal titles share its label.  The
+    # distinct sets feed the frequency order, the index and the copies, so they
+    # are written once instead of tokenised for each
+    reps = materialize(sets.where(F.col("n") > 0).groupBy("_h", "tokens").agg(
+        F.min("id").alias("rep"), F.first("n").alias("n"), F.min("label").alias("label"),
+        F.min("fresh").alias("fresh")), "title-sets")
+    tied = sets.join(reps.select("_h", "tokens", F.col("label").alias("_set")), ["_h", "tokens"], "left")
+    if some_stored:
+        # a stored label found on a copy of another label's title joins that label
+        held = tied.where(~F.col("fresh") & (F.col("label") != F.col("_set")))
+        joined = connected_components(held.select(F.col("label").alias("a"), F.col("_set").alias("b")))
+        reps = _relabel(reps, joined)
+    roots = link_labels(reps.select("rep", "tokens", "n", "label", "fresh"), num, den)
+    if some_stored:
+        first = joined.select(F.col("id").alias("label"), F.col("component").alias("_first"))
+        roots = (first.join(roots.withColumnRenamed("label", "_first"), "_first")
+                 .select("label", "root")).unionByName(roots).distinct()
+    own = F.when(F.col("fresh"), F.coalesce("_set", "label")).otherwise(F.col("label"))
+    return (tied.select("id", own.alias("label")).join(roots, "label", "left")
+            .select("id", F.coalesce("root", "label").alias("story_group_id")))
+
+
 def story_components(articles: DataFrame, num: int = C.JACCARD_NUM, den: int = C.JACCARD_DEN,
                      title_col: str = "title") -> DataFrame:
-    """J3 + G1 over article titles: (id, story_group_id) for every input row.
-
-    Copies are tied to their representative, representatives are linked by
-    the similarity join, and the component label is the minimum article id.
-    """
-    sets = token_sets(articles, "id", title_col)
-    reps, cmap = collapse_copies(sets)
-    # the distinct sets feed the frequency order, the index and the copy
-    # edges: materialise them once instead of re-tokenising per consumer
-    ensure_checkpoint_dir(articles.sparkSession)
-    reps = materialize(reps, "title-sets")
-    pairs = similar_pairs(reps, num, den)
-    edges = pairs.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).unionByName(
-        cmap.where(F.col("id") != F.col("rep")).select(F.col("id").alias("a"), F.col("rep").alias("b")))
-    comps = connected_components(edges, articles.select("id"))
-    return comps.withColumnRenamed("component", "story_group_id")
+    """J3 + G1 over article titles: (id, story_group_id) for every input row;
+    the component label is the minimum article id."""
+    rows = articles.select("id", title_col, F.col("id").alias("label"), F.lit(True).alias("fresh"))
+    return group_titles(rows, num, den, title_col)
 
 
 def choose_anchors(members: DataFrame, group_col: str = "story_group_id") -> DataFrame:
     """The member with the longest summary (NULL = 0) is the anchor; the
-    lowest id wins ties; all others get ``is_duplicate = 1``.
+    lowest id wins ties; all others get ``is_duplicate = 1``.  ``group_size``
+    (A2) comes from the same aggregation.
 
     Per-group max of a (length, -id) struct: combines map-side, so a huge
     component is never gathered into one task; the result joins back on the
@@ -190,8 +348,9 @@ def choose_anchors(members: DataFrame, group_col: str = "story_group_id") -> Dat
     slen = F.col("summary_len") if "summary_len" in members.columns else \
         F.length(F.coalesce(F.col("summary"), F.lit("")))
     best = (members.groupBy(group_col)
-            .agg(F.max(F.struct(slen.alias("l"), (-F.col("id")).alias("nid"))).alias("_b"))
-            .select(group_col, (-F.col("_b.nid")).alias("_anchor")))
+            .agg(F.max(F.struct(slen.alias("l"), (-F.col("id")).alias("nid"))).alias("_b"),
+                 F.count(F.lit(1)).alias("group_size"))
+            .select(group_col, "group_size", (-F.col("_b.nid")).alias("_anchor")))
     return (members.join(best, group_col)
             .withColumn("is_duplicate", (F.col("id") != F.col("_anchor")).cast("int"))
             .drop("_anchor"))
@@ -200,37 +359,75 @@ def choose_anchors(members: DataFrame, group_col: str = "story_group_id") -> Dat
 BULKY_COLUMNS = ("summary", "raw_content")
 
 
+def _cutoff(as_of: Column, lookback_hours: int) -> Column:
+    return F.timestamp_seconds(F.unix_seconds(as_of) - lookback_hours * 3600)
+
+
+def _narrow(df: DataFrame) -> DataFrame:
+    return (df.withColumn("summary_len", F.length(F.coalesce(F.col("summary"), F.lit(""))))
+            .drop(*[c for c in BULKY_COLUMNS if c in df.columns]))
+
+
 def window_narrow(articles: DataFrame, as_of: Column, lookback_hours: int = C.LOOKBACK_HOURS) -> DataFrame:
     """F4 + F5: ungrouped rows fetched inside the look-back window, bulky
     text replaced by ``summary_len``, materialised once in the checkpoint
     folder (reliable checkpoint: survives executor loss, cuts lineage)."""
     ensure_checkpoint_dir(articles.sparkSession)
-    cutoff = F.timestamp_seconds(F.unix_seconds(as_of) - lookback_hours * 3600)
-    win = articles.where(F.col("fetched_at") >= cutoff)
+    win = articles.where(F.col("fetched_at") >= _cutoff(as_of, lookback_hours))
     if "story_group_id" in win.columns:
         win = win.where(F.col("story_group_id").isNull()).drop("story_group_id", "is_duplicate")
-    narrow = (win.withColumn("summary_len", F.length(F.coalesce(F.col("summary"), F.lit(""))))
-              .drop(*[c for c in BULKY_COLUMNS if c in win.columns]))
-    return materialize(narrow, "window")
+    return materialize(_narrow(win), "window")
 
 
 def story_groups(articles: DataFrame, as_of: Column, lookback_hours: int = C.LOOKBACK_HOURS,
                  mode: str = "new_only") -> DataFrame:
     """G2 (with F4, F5, G3): group the ungrouped articles fetched inside the
-    look-back window; returns those rows with ``story_group_id`` and
-    ``is_duplicate``.  ``mode="new_only"`` compares only ungrouped rows (late
-    copies never join an old group), as the reference does.
+    look-back window; returns those rows with ``story_group_id``,
+    ``is_duplicate`` and ``group_size``.
+
+    ``mode="new_only"`` compares only ungrouped rows (late copies never join an
+    old group), as the reference does.  ``mode="attach"`` is ``attach_groups``.
 
     The window is materialised once as a narrow table (bulky text columns
     replaced by ``summary_len``) in the checkpoint folder: the similarity
     join, the component rounds and the anchor choice all read it, and the
-    upstream ingest is not recomputed for each of them.  Join the result back
-    on ``id`` when the text columns are needed."""
+    upstream ingest is not recomputed for each of them; the grouped rows are
+    narrow as well and written once, as several later steps read them.  Join
+    the result back on ``id`` when the text columns are needed."""
+    if mode == "attach":
+        return attach_groups(articles, as_of, lookback_hours)
     if mode != "new_only":
-        raise ValueError("only mode='new_only' is implemented")
+        raise ValueError(f"unknown mode {mode!r}")
     narrow = window_narrow(articles, as_of, lookback_hours)
     comps = story_components(narrow)
-    return choose_anchors(narrow.join(comps, "id"))
+    return materialize(choose_anchors(narrow.join(comps, "id")), "grouped")
+
+
+def attach_groups(articles: DataFrame, as_of: Column, lookback_hours: int = C.LOOKBACK_HOURS) -> DataFrame:
+    """G3 ``attach``: ungrouped rows of the look-back window are compared with
+    each other and with the window's grouped rows, whose groups they join or
+    merge (the least label stays); grouped rows are not compared again.
+
+    Returns the updates to the store: the new rows, and all rows of groups that
+    gained a row or were merged, also those fetched before the window, with
+    their ``story_group_id``, ``is_duplicate`` and ``group_size``; apply them by
+    ``io.keyed_update`` on ``id``.  As long as rows stay in the window, grouping
+    them in any split gives what grouping at once gives."""
+    ensure_checkpoint_dir(articles.sparkSession)
+    label = F.coalesce("story_group_id", "id")
+    win = materialize(articles.where(F.col("fetched_at") >= _cutoff(as_of, lookback_hours)).select(
+        "id", "title", label.alias("label"), F.col("story_group_id").isNull().alias("fresh")), "window")
+    placed = materialize(win.select("id", "label", "fresh").join(
+        group_titles(win, some_stored=True).withColumnRenamed("story_group_id", "group"), "id"), "placed")
+    moved = ~F.col("fresh") & (F.col("label") != F.col("group"))
+    touched = (placed.groupBy("group").agg(F.max(F.col("fresh") | moved).alias("changed"))
+               .where("changed").select("group"))
+    moves = placed.where(~F.col("fresh")).select(F.col("label").alias("story_group_id"), "group").distinct()
+    rows = _narrow(articles.drop(*[c for c in ("is_duplicate", "group_size") if c in articles.columns]))
+    new = rows.where(F.col("story_group_id").isNull()).join(placed.where("fresh").select("id", "group"), "id")
+    old = rows.join(moves.join(touched, "group", "left_semi"), "story_group_id")
+    members = new.unionByName(old.select(*new.columns)).drop("story_group_id").withColumnRenamed("group", "story_group_id")
+    return materialize(choose_anchors(members), "attached")
 
 
 def group_stats(grouped: DataFrame) -> DataFrame:
