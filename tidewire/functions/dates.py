@@ -16,18 +16,27 @@ def ts_lit(value: str) -> Column:
     return F.to_timestamp(F.lit(value))
 
 
+# Zone names of RFC 822 (fixed values).
+_ZONES = (("GMT|UTC|UT|Z", "+0000"), ("EDT", "-0400"), ("EST|CDT", "-0500"), ("CST|MDT", "-0600"),
+          ("MST|PDT", "-0700"), ("PST", "-0800"))
+
+
 def parse_published(raw) -> Column:
-    """RFC-822 with a numeric zone or ``GMT``/``UT``, or ISO-8601; NULL when
-    none parses.  Spark cannot parse a day-of-week, so it is removed first."""
+    """RFC-822 (numeric zone, zone name or none, two- or four-digit year) or
+    ISO-8601 (date and time with or without seconds, fraction and zone, or the
+    date alone); without a zone the time is UTC; NULL when none parses.  Spark
+    cannot parse a day-of-week, so it is removed first."""
     raw = F.trim(_c(raw))
-    no_dow = F.regexp_replace(raw, _DOW, "")
-    gmt = F.regexp_replace(no_dow, "\\s+(GMT|UTC|UT|Z)$", " +0000")
+    rfc = F.regexp_replace(raw, _DOW, "")
+    rfc = F.regexp_replace(rfc, "^(\\d{1,2}[ -][A-Za-z]{3})[a-z]*[ -](?=[0-6]\\d[ ,])", "$1 20")
+    rfc = F.regexp_replace(rfc, "^(\\d{1,2}[ -][A-Za-z]{3})[a-z]*[ -](?=[7-9]\\d[ ,])", "$1 19")
+    for names, offset in _ZONES:
+        rfc = F.regexp_replace(rfc, f"\\s+\\(?(?:{names})\\)?$", f" {offset}")
+    iso = F.regexp_replace(raw, "^(\\d{4}-\\d{2}-\\d{2})[Tt ](?=\\d)", "$1T")
     return F.coalesce(
-        F.try_to_timestamp(gmt, F.lit("d MMM yyyy HH:mm:ss Z")),
-        F.try_to_timestamp(gmt, F.lit("d MMM yyyy HH:mm Z")),
-        F.try_to_timestamp(raw, F.lit("yyyy-MM-dd'T'HH:mm:ssXXX")),
-        F.try_to_timestamp(raw, F.lit("yyyy-MM-dd'T'HH:mm:ss.SSSXXX")),
-        F.try_to_timestamp(raw, F.lit("yyyy-MM-dd HH:mm:ss")),
+        F.try_to_timestamp(rfc, F.lit("d MMM yyyy HH:mm[:ss][ Z]")),
+        F.try_to_timestamp(iso, F.lit("yyyy-MM-dd'T'HH:mm[:ss][.SSSSSS][.SSS][XXX][XX]")),
+        F.try_to_timestamp(iso, F.lit("yyyy-MM-dd")),
     )
 
 

@@ -6,26 +6,30 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewire import config as C
+from tidewire.functions import dates as D
 from tidewire.functions import scoring as S
 from tidewire.functions import text as T
+from tidewire.session import materialize
 
 
 def first_seen(items: DataFrame, key: str = "url_hash",
-               order: tuple[str, ...] = ("source_ord", "item_ord")) -> DataFrame:
+               order: tuple[str, ...] = ("source_ord", "item_ord"), order_col: str | None = None) -> DataFrame:
     """Keep the first occurrence of ``key`` in (source, item) order.
 
     Runs *before* the freshness/relevance filters: a stale first copy hides a
     later fresh one.  Written as an aggregation (min of the order struct, then
     a semi join) so that a key repeated by a third of all rows is combined
-    map-side instead of landing in one window partition.
+    map-side instead of landing in one window partition.  ``order_col``: keep
+    the row's place in that order under this name.
     """
     # rows of equal order are told apart by their content
     ordk = F.struct(*[F.col(c) for c in order], F.xxhash64(*items.columns).alias("_content"))
     firsts = (items.where(F.col(key).isNotNull())
               .groupBy(key).agg(F.min(ordk).alias("_first")))
     keyed = items.where(F.col(key).isNotNull()).withColumn("_ord", ordk)
-    return (keyed.join(firsts, (keyed[key] == firsts[key]) & (keyed["_ord"] == firsts["_first"]), "left_semi")
-            .drop("_ord").dropDuplicates([key]))
+    out = keyed.join(firsts, (keyed[key] == firsts[key]) & (keyed["_ord"] == firsts["_first"]), "left_semi")
+    out = out.withColumnRenamed("_ord", order_col) if order_col else out.drop("_ord")
+    return out.dropDuplicates([key])
 
 
 def has_link(items: DataFrame, col: str = "url") -> DataFrame:
@@ -73,35 +77,98 @@ def relevant_classified(items: DataFrame, title: str = "title", summary: str = "
     return items.select(*cols, kept).select(*cols, F.col("_cls.category").alias("category"))
 
 
-def ingest(items: DataFrame, as_of: Column, taxonomy=C.TAXONOMY) -> DataFrame:
+def judged(items: DataFrame, as_of: Column, taxonomy=C.TAXONOMY) -> DataFrame:
+    """F2, F3 and A1 as columns in place of filters: ``kept`` and ``category``."""
+    cutoff = F.timestamp_seconds(F.unix_seconds(as_of) - C.MAX_AGE_HOURS * 3600)
+    recent = F.col("published_at").isNull() | (F.col("published_at") >= cutoff)
+    cls = S.let(S.let(S.topic_text("title", "summary"), lambda t: S.category_hits(t, taxonomy)), lambda h: F.struct(
+        F.exists(h, lambda x: x["hits"] > 0).alias("relevant"), S.best_category(h).alias("category")))
+    return (items.withColumn("_cls", cls).withColumn("kept", recent & F.col("_cls.relevant"))
+            .withColumn("category", F.col("_cls.category")).drop("_cls"))
+
+
+def feed_articles(entries: DataFrame) -> DataFrame:
+    """S1 -> P1, P2, D1: scanned feed items as article rows (missing texts are
+    '', the published date falls back to the updated one)."""
+    title, summary = (T.strip_ws(F.coalesce(F.col(c), F.lit(""))) for c in ("title", "summary"))
+    rest = [c for c in entries.columns if c not in ("link", "title", "summary", "published", "updated")]
+    return (entries.select(*rest, F.col("link").alias("url"), T.url_hash("link").alias("url_hash"),
+                           title.alias("title"), summary.alias("summary"),
+                           D.coalesce_published("published", "updated").alias("published_at"))
+            .withColumn("raw_content", F.col("summary")))
+
+
+def ingest(items: DataFrame, as_of: Column, taxonomy=C.TAXONOMY,
+           order: tuple[str, ...] = ("source_ord", "item_ord")) -> DataFrame:
     """W1 -> F1 -> F2 -> F3 -> A1 over feed-level article rows.
 
     Output is the article snapshot (S2 shape) — one row per new URL."""
     if "url_hash" not in items.columns:
         items = items.withColumn("url_hash", T.url_hash("url"))
-    out = first_seen(has_link(items))
+    out = first_seen(has_link(items), order=order)
     return relevant_classified(fresh(out, as_of), taxonomy=taxonomy)
 
 
+def _taken(rows: DataFrame, accepted: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """``rows`` without those that hold a key of an accepted row."""
+    for key in keys:
+        rows = rows.join(accepted.select(key).where(F.col(key).isNotNull()).distinct(), key, "left_anti")
+    return rows
+
+
+def first_wins(rows: DataFrame, order: str = "_ord", keys: tuple[str, ...] = ("url", "url_hash")) -> DataFrame:
+    """The rows that survive when rows are taken in ``order`` and one is
+    refused if any of its keys is taken by a row before it that was not refused
+    itself.  A NULL key is never taken.  ``rows``: the keys and a unique order.
+
+    A row that is first for all of its keys is certainly accepted, and every
+    other holder of its keys is certainly refused; both leave, which can make
+    others first, and so on until nothing is left.  Where keys determine each
+    other one round does it; only rows whose keys conflict crosswise take more."""
+    left = materialize(rows, "first-wins")
+    accepted = None
+    while True:
+        marked = left
+        firsts = []
+        for i, key in enumerate(keys):
+            least = left.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(order).alias(f"_f{i}"))
+            marked = marked.join(least, key, "left")
+            firsts.append(F.col(key).isNull() | (F.col(order) == F.col(f"_f{i}")))
+        first_of_all = firsts[0]
+        for f in firsts[1:]:
+            first_of_all = first_of_all & f
+        won = marked.where(first_of_all).select(*rows.columns)
+        accepted = won if accepted is None else accepted.unionByName(won)
+        left = materialize(_taken(marked.where(~first_of_all).select(*rows.columns), won, keys), "first-wins")
+        if left.isEmpty():
+            return accepted
+
+
 def insert_if_absent(batch: DataFrame, stored: DataFrame,
                      order: tuple[str, ...] = ("source_ord", "item_ord")) -> DataFrame:
-    """Rows of ``batch`` whose url and url_hash are both unseen in the
-    store, first wins inside the batch (per url and per url_hash).
-
-    A NULL url/url_hash is never a repeat (SQL UNIQUE admits many NULLs); the
-    ``=`` of the anti joins and the NULL-skipping first-wins give exactly that.
-    Both store lookups are anti joins: AQE broadcasts the store side when it
-    is small and falls back to a shuffle join when it is not.
-    """
-    out = batch.join(stored.select("url").where(F.col("url").isNotNull()), "url", "left_anti")
-    out = out.join(stored.select("url_hash").where(F.col("url_hash").isNotNull()), "url_hash", "left_anti")
-    for key in ("url", "url_hash"):
-        ordk = F.struct(*[F.col(c) for c in order])
-        mins = out.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(ordk).alias("_first"))
-        keyed = out.withColumn("_ord", ordk)
-        out = keyed.join(mins, (keyed[key] == mins[key]) & (keyed["_ord"] != mins["_first"]), "left_anti") \
-            .drop("_ord")
-    return out
+    """Rows of ``batch`` inserted one by one in ``order`` into a store
+    with unique ``url`` and ``url_hash``: a row is skipped if either is stored or
+    was inserted before it.
+
+    Skipped rows take no key, so with (u1, h1), (u2, h1), (u2, h3) the first and
+    the third row are inserted (``first_wins``).  A NULL url/url_hash is never a
+    repeat (SQL UNIQUE admits many NULLs).  Rows of equal order are told apart
+    by their content; of identical rows one is inserted, or all if both keys
+    are NULL.  Both store lookups are anti joins: AQE broadcasts the store side
+    when it is small and falls back to a shuffle join when it is not; of each
+    (url, url_hash) of the batch only the first row's keys and order reach them."""
+    keys = ("url", "url_hash")
+    ordk = F.struct(*[F.col(c) for c in order], F.xxhash64(*batch.columns).alias("_h1"),
+                    F.xxhash64(*batch.columns, F.lit(1)).alias("_h2"))
+    keyed = batch.withColumn("_ord", ordk)
+    free = F.col("url").isNull() & F.col("url_hash").isNull()
+    pairs = keyed.where(~free).groupBy(*keys).agg(F.min("_ord").alias("_ord"))
+    won = first_wins(_taken(pairs, stored, keys).select(*keys, "_ord"))
+    a, w = keyed.where(~free).alias("a"), won.alias("w")
+    inserted = (a.join(w, (F.col("a._ord") == F.col("w._ord")) & F.col("a.url").eqNullSafe(F.col("w.url"))
+                       & F.col("a.url_hash").eqNullSafe(F.col("w.url_hash")), "left_semi")
+                .dropDuplicates(list(keys)))
+    return inserted.unionByName(keyed.where(free)).drop("_ord")
 
 
 def insert_counts(batch: DataFrame, inserted: DataFrame) -> DataFrame:
