@@ -6,11 +6,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewire import config as C
 from tidewire.functions import text as T
-from tidewire.sources.fixtures import VIDEO_EMBED, VIDEO_WATCH
 
 
-def flat_videos(items: DataFrame, embed: str = VIDEO_EMBED, watch: str = VIDEO_WATCH) -> DataFrame:
+def flat_videos(items: DataFrame, embed: str = C.VIDEO_EMBED, watch: str = C.VIDEO_WATCH) -> DataFrame:
     """Nested items -> flat rows; items without an id are dropped;
     missing fields become ''."""
     vid = F.col("id.videoId")

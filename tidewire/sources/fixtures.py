@@ -107,11 +107,53 @@ def feed_items(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.col("summary"), published.alias("published"))
 
 
+def source_order(source: str) -> Column:
+    return F.substring(F.col(source), 4, 10).cast("int")
+
+
+FEED_LENGTH = 200
+
+
+def _xml(x: Column) -> Column:
+    for mark, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ("\r", "&#13;")):
+        x = F.replace(x, F.lit(mark), F.lit(entity))
+    return F.coalesce(x, F.lit(""))
+
+
+def land_feeds(spark: SparkSession, sf_dir: str, root: str) -> None:
+    """``feed_items`` landed as feed files, RSS for the even sources and Atom for
+    the odd ones, each with the items of ``FEED_LENGTH`` ids, and one more file a
+    source that was cut off in transfer."""
+    items = feed_items(spark, sf_dir).withColumn("feed", F.floor(F.col("id") / FEED_LENGTH))
+    link = F.when(F.col("link").isNotNull(), F.concat(F.lit("<link>"), _xml(F.col("link")), F.lit("</link>")))
+    href = F.when(F.col("link").isNotNull(), F.concat(F.lit('<link rel="alternate" href="'), _xml(F.col("link")), F.lit('"/>')))
+    title, summary, published = (_xml(F.col(c)) for c in ("title", "summary", "published"))
+    rss = F.concat(F.lit("<item><title>"), title, F.lit("</title>"), F.coalesce(link, F.lit("")),
+                   F.lit("<description>"), summary, F.lit("</description><pubDate>"), published, F.lit("</pubDate></item>"))
+    atom = F.concat(F.lit('<entry><link rel="self" href="https://feeds.example.com/"/>'
+                          '<title type="html">'), title, F.lit("</title>"), F.coalesce(href, F.lit("")),
+                    F.lit('<summary type="html">'), summary, F.lit("</summary><published>"), published,
+                    F.lit("</published></entry>"))
+    is_atom = F.col("source_ord") % 2 == 1
+    files = (items.select("source", "source_ord", "feed", F.struct("item_ord", F.when(is_atom, atom).otherwise(rss).alias("x")).alias("i"))
+             .groupBy("source", "source_ord", "feed").agg(F.array_sort(F.collect_list("i")).alias("i")))
+    body = F.array_join(F.transform("i", lambda i: i["x"]), "\n")
+    head = '<?xml version="1.0" encoding="UTF-8"?>\n'
+    text = F.when(is_atom, F.concat(F.lit(head + '<feed xmlns="http://www.w3.org/2005/Atom"><title>News</title>'), body,
+                                    F.lit("</feed>"))).otherwise(
+        F.concat(F.lit(head + '<rss version="2.0"><channel><title>News</title>'), body, F.lit("</channel></rss>")))
+    whole = files.select("source", "feed", text.alias("value"))
+    first = whole.groupBy("source").agg(F.min_by("value", "feed").alias("value"))
+    broken = first.select("source", F.lit(-1).cast("bigint").alias("feed"),
+                          F.substr(F.col("value"), F.lit(1), (F.length("value") * 2 / 3).cast("int")).alias("value"))
+    whole.unionByName(broken).write.option("maxRecordsPerFile", 1).partitionBy("source", "feed").text(root)
+
+
 def store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows already stored: every third article and the watch URL of every fourth video."""
     a = articles(spark, sf_dir).where(F.col("id") % 3 == 0).select("url", "url_hash")
     v = videos(spark, sf_dir).where(F.col("page_id") % 4 == 0).select(
-        F.concat(F.lit(VIDEO_WATCH), F.col("id.videoId")).alias("url"),
+        F.concat(F.lit(C.VIDEO_WATCH), F.col("id.videoId")).alias("url"),
         F.col("id.videoId").alias("url_hash"))
     return a.unionByName(v)
 
@@ -294,10 +336,6 @@ def photos(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-VIDEO_WATCH = "https://video.example.com/watch?v="
-VIDEO_EMBED = "https://video.example.com/embed/"
-
-
 def videos(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nested video listing items (``id.videoId``, ``snippet.*``)."""
     p = table(spark, sf_dir, "pages")
@@ -318,3 +356,35 @@ def videos(spark: SparkSession, sf_dir: str) -> DataFrame:
                  published.alias("publishedAt"),
                  thumb.alias("thumbnails")).alias("snippet"),
     )
+
+
+LISTING_LENGTH = 50
+
+
+def _land_texts(files: DataFrame, root: str) -> None:
+    """One file for each (file, value), and one more with the first value cut off."""
+    first = files.agg(F.min_by("value", "file").alias("value"))
+    broken = first.select(F.lit(-1).cast("bigint").alias("file"),
+                          F.substr(F.col("value"), F.lit(1), (F.length("value") * 2 / 3).cast("int")).alias("value"))
+    files.unionByName(broken).write.option("maxRecordsPerFile", 1).partitionBy("file").text(root)
+
+
+def land_videos(spark: SparkSession, sf_dir: str, root: str) -> None:
+    """``videos`` landed as listing answers of ``LISTING_LENGTH`` pages each, with
+    the keys around them; NULL fields are left out, as an API does."""
+    item = F.struct(F.lit("video").alias("kind"), F.col("id"), F.struct(
+        F.col("channel").cast("string").alias("channelId"), *[F.col(f"snippet.{c}") for c in
+                                                              ("title", "description", "publishedAt", "thumbnails")]).alias("snippet"))
+    listing = F.to_json(F.struct(F.lit("listing").alias("kind"), F.array_sort(F.collect_list("item")).alias("items")),
+                        {"pretty": "true"})
+    _land_texts(videos(spark, sf_dir).select(F.floor(F.col("page_id") / LISTING_LENGTH).alias("file"), item.alias("item"))
+                .groupBy("file").agg(listing.alias("value")), root)
+
+
+def land_posts(spark: SparkSession, sf_dir: str, root: str) -> None:
+    """``cms_posts`` landed as listing answers."""
+    posts = cms_posts(spark, sf_dir)
+    item = F.struct("id", "title", "excerpt", "link", "categories", "status", F.date_format("date", "yyyy-MM-dd'T'HH:mm:ss").alias("date"),
+                    F.lit("open").alias("comment_status"))
+    _land_texts(posts.select(F.floor(F.col("id") / LISTING_LENGTH).alias("file"), item.alias("item"))
+                .groupBy("file").agg(F.to_json(F.array_sort(F.collect_list("item")), {"pretty": "true"}).alias("value")), root)
