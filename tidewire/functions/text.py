@@ -123,11 +123,3 @@ def headline_words(x, k: int = 3, min_len: int = 4) -> Column:
     """Whitespace words longer than ``min_len`` chars, first ``k``."""
     words = F.split(F.coalesce(_c(x), F.lit("")), f"{_WS}+")
     return F.slice(F.filter(words, lambda w: F.length(w) > min_len), 1, k)
-
-
-def domain_suffixes(domain) -> Column:
-    """All dot-suffixes of a domain, longest first: a.b.c -> [a.b.c, b.c, c]."""
-    parts = F.split(_c(domain), "[.]")
-    n = F.size(parts)
-    return F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))),
-                       lambda i: F.array_join(F.slice(parts, i, n - i + 1), "."))

@@ -47,24 +47,46 @@ def pending_requests(sheet: DataFrame, terminal: str = "exact") -> DataFrame:
             .where((F.col("url") != "") & ~done))
 
 
+#: Domain names have at most 127 labels.
+_MOST_LABELS = 127
+
+
+def domain_types(domains: DataFrame, rules: DataFrame) -> DataFrame:
+    """(domain, kind, label) for the distinct ``domain``s that a rule
+    matches: exact rules the full domain, suffix rules it or any dot-suffix.
+    The best is by kind priority, then rule order (``rule_ord`` where the rules
+    have it, else the rule's domain).
+
+    A domain is cut only at the numbers of labels that suffix rules have, so
+    unless there is a rule ``com`` no domain is looked up under ``com``.  Those
+    numbers are one row of at most 127 small integers, whatever the rules."""
+    priority = F.create_map(*[x for k, p in KIND_PRIORITY.items() for x in (F.lit(k), F.lit(p))])
+    order = F.col("rule_ord") if "rule_ord" in rules.columns else F.col("domain")
+    r = rules.select("domain", F.struct(F.element_at(priority, F.col("kind")).alias("pri"), order.alias("ord"),
+                                        F.col("kind").alias("kind"), F.col("label").alias("label")).alias("rule"),
+                     (F.col("match") == "suffix").alias("suffix"))
+    # one rule for each looked-up name and form
+    best = r.groupBy(F.col("domain").alias("name"), "suffix").agg(F.min("rule").alias("rule"))
+    labels = F.size(F.split("domain", "[.]"))
+    depths = (r.where("suffix").agg(F.collect_set(F.least(labels, F.lit(_MOST_LABELS))).alias("depths")))
+    parts = F.split("domain", "[.]")
+    cut = (domains.select("domain").distinct().withColumn("depths", depths.scalar())
+           .select("domain", F.explode(F.transform(
+               F.filter("depths", lambda k: k <= F.size(parts)),
+               lambda k: F.array_join(F.slice(parts, F.size(parts) - k + 1, k), "."))).alias("name"))
+           .withColumn("suffix", F.lit(True)))
+    whole = domains.select("domain").distinct().select("domain", F.col("domain").alias("name"), F.lit(False).alias("suffix"))
+    return (cut.unionByName(whole).join(best, ["name", "suffix"])
+            .groupBy("domain").agg(F.min("rule").alias("rule")).select("domain", "rule.kind", "rule.label"))
+
+
 def url_types(requests: DataFrame, rules: DataFrame, key: str = "row_ord") -> DataFrame:
-    """M7 + J13: (key, domain, url_type, label).
-
-    Every dot-suffix of the domain is looked up in the rule table (exact
-    rules match only the full domain, suffix rules any suffix); the best
-    match by kind priority then rule order wins; no match -> ``article``."""
-    r = rules.withColumn("_pri", F.element_at(
-        F.create_map(*[x for k, p in KIND_PRIORITY.items() for x in (F.lit(k), F.lit(p))]), F.col("kind")))
-    r = r.select("domain", "kind", "label", "match", "_pri")
+    """M7 + J13: (key, domain, url_type, label); no match -> ``article``.
+    Rules are looked up once a distinct domain."""
     d = requests.select(key, T.url_domain("url").alias("domain"))
-    sx = d.select(key, "domain", F.posexplode(T.domain_suffixes("domain")).alias("pos", "sfx"))
-    hit = (sx.join(r, sx.sfx == r.domain)
-           .where((F.col("match") == "suffix") | (F.col("pos") == 0))
-           .groupBy(key).agg(F.min(F.struct("_pri", r.domain.alias("rd"), "kind", "label")).alias("_b")))
-    return (d.join(hit, key, "left")
-            .select(key, "domain",
-                    F.coalesce(F.col("_b.kind"), F.lit("article")).alias("url_type"),
-                    F.coalesce(F.col("_b.label"), F.lit("")).alias("label")))
+    return (d.join(domain_types(d, rules), "domain", "left")
+            .select(key, "domain", F.coalesce("kind", F.lit("article")).alias("url_type"),
+                    F.coalesce("label", F.lit("")).alias("label")))
 
 
 # ---------------------------------------------------------------------------
@@ -211,11 +233,35 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
 # X10 embed text
 # ---------------------------------------------------------------------------
 
+# Named entities of XML and the most used ones of HTML (fixed values).
+_ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&nbsp;", "\u00a0"), ("&mdash;", "—"),
+             ("&ndash;", "–"), ("&hellip;", "…"), ("&lsquo;", "‘"), ("&rsquo;", "’"), ("&ldquo;", "“"), ("&rdquo;", "”"))
+
+
+def unescape_entities(text: Column) -> Column:
+    """Character references by number and the entities above; ``&amp;`` last, so
+    that an escaped reference stays a reference."""
+    def one(m: Column) -> Column:
+        number = F.when(m.startswith("x") | m.startswith("X"), F.conv(F.substring(m, 2, 8), 16, 10)).otherwise(m)
+        code = number.try_cast("int")
+        # a code point as UTF-32, big-endian
+        return F.when((code > 0) & (code < 0x110000) & ~code.between(0xD800, 0xDFFF),
+                      F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise(F.concat(F.lit("&#"), m, F.lit(";")))
+
+    parts = F.split(text, "&#(?=[0-9]{1,7};|[xX][0-9a-fA-F]{1,6};)")
+    by_number = F.array_join(F.transform(parts, lambda part, i: F.when(i == 0, part).otherwise(F.concat(
+        one(F.substring_index(part, ";", 1)), F.substr(part, F.instr(part, ";") + 1)))), "")
+    for entity, char in _ENTITIES:
+        by_number = F.replace(by_number, F.lit(entity), F.lit(char))
+    return F.replace(by_number, F.lit("&amp;"), F.lit("&"))
+
+
 def embed_text(embeds: DataFrame) -> DataFrame:
     """Text of the first ``<p>`` and ``Name (@handle)`` (handle = last
     path part of the author URL); empty text is a failure."""
     p = F.regexp_extract(F.col("html"), "(?s)<p[^>]*>(.*?)</p>", 1)
-    text = T.strip_ws(F.regexp_replace(F.regexp_replace(p, "<[^>]+>", " "), "(?U)\\s+", " "))
+    plain = unescape_entities(F.regexp_replace(p, "<[^>]+>", " "))
+    text = T.strip_ws(F.regexp_replace(plain, "(?U)\\s+", " "))
     handle = F.substring_index(F.regexp_replace(F.coalesce(F.col("author_url"), F.lit("")), "/+$", ""), "/", -1)
     author = F.when(F.coalesce(F.col("author_name"), F.lit("")) != "",
                     F.concat(F.col("author_name"), F.lit(" (@"), handle, F.lit(")"))).otherwise(F.lit(""))
@@ -232,6 +278,23 @@ def _fill(template: str, label: Column) -> Column:
     return F.concat(F.lit(head), label, F.lit(tail))
 
 
+def last_fetch(fetches: DataFrame) -> DataFrame:
+    """One outcome a URL.  A fetch is tried again after a failure, so a success
+    counts if there is one; among equals the last try (``try_ord`` where the
+    table has it), then the highest status."""
+    good = F.col("error").isNull() & (F.coalesce("http_status", F.lit(0)) < 400)
+    tried = F.col("try_ord") if "try_ord" in fetches.columns else F.lit(0)
+    best = F.max(F.struct(good.alias("good"), tried.alias("ord"), F.col("http_status"), F.col("error")))
+    return fetches.groupBy("url").agg(best.alias("b")).select("url", "b.http_status", "b.error")
+
+
+def _one_a_url(rows: DataFrame, error: str) -> DataFrame:
+    """One row a URL, one without error if there is such."""
+    rest = [c for c in rows.columns if c != "url"]
+    best = F.min(F.struct(F.col(error).isNotNull().alias("_bad"), *rest))
+    return rows.groupBy("url").agg(best.alias("b")).select("url", *[f"b.{c}" for c in rest])
+
+
 def request_outcomes(pending: DataFrame, rules: DataFrame, fetches: DataFrame,
                      extracted: DataFrame, embedded: DataFrame) -> DataFrame:
     """M9: one outcome per pending request, checked in order: bad override,
@@ -239,18 +302,20 @@ def request_outcomes(pending: DataFrame, rules: DataFrame, fetches: DataFrame,
     extraction failure, else processed.  Skips also carry a notice reason."""
     ov = pending.withColumn("_ov", S.validate_override("category_override"))
     typed = ov.join(url_types(pending, rules), "row_ord")
-    f = fetches.select("url", "http_status", F.col("error").alias("fetch_error"))
-    x = extracted.select("url", F.col("error").alias("extract_error"), F.col("title").alias("page_title"),
-                         F.lit(True).alias("_has_page"))
-    e = embedded.select("url", F.col("error").alias("embed_error"), "author_line", F.lit(True).alias("_has_embed"))
+    f = last_fetch(fetches).select("url", "http_status", F.col("error").alias("fetch_error"))
+    x = _one_a_url(extracted.select("url", F.col("error").alias("extract_error"), F.col("title").alias("page_title"),
+                                    F.lit(True).alias("_has_page")), "extract_error")
+    e = _one_a_url(embedded.select("url", F.col("error").alias("embed_error"), "author_line",
+                                   F.lit(True).alias("_has_embed")), "embed_error")
     j = typed.join(f, "url", "left").join(x, "url", "left").join(e, "url", "left")
     t = F.col("url_type")
     status = (F.when(F.col("_ov.err").isNotNull(), F.col("_ov.err"))
               .when(t == "blocked_social", F.lit(SKIP_SOCIAL))
               .when(t == "paywall", _fill(SKIP_PAYWALL, F.col("label")))
               .when((t != "twitter") & F.col("http_status").isin(401, 403), F.lit(SKIP_BLOCKED))
-              .when((t != "twitter") & F.col("fetch_error").isNotNull(),
-                    F.concat(F.lit("Error — "), T.substr_cap("fetch_error", 120)))
+              .when((t != "twitter") & (F.col("fetch_error").isNotNull() | (F.col("http_status") >= 400)),
+                    F.concat(F.lit("Error — "), T.substr_cap(F.coalesce(
+                        "fetch_error", F.concat(F.lit("HTTP "), F.col("http_status").cast("string"))), 120)))
               .when((t == "twitter") & (F.col("_has_embed").isNull() | F.col("embed_error").isNotNull()),
                     F.concat(F.lit("Error — "), F.coalesce(F.col("embed_error"), F.lit(NO_POST_TEXT))))
               .when((t != "twitter") & (F.col("_has_page").isNull() | F.col("extract_error").isNotNull()),
