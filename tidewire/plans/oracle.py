@@ -204,6 +204,20 @@ ORACLE["s5_insert_if_absent"] = with_("ing").rstrip("\n") + _INSERTED + "SELECT
 ORACLE["a9_insert_counts"] = with_("ing").rstrip("\n") + _INSERTED + """SELECT
   (SELECT count(*) FROM ins) AS inserted, (SELECT count(*) FROM ing) - (SELECT count(*) FROM ins) AS skipped"""
 
+ORACLE["s1_to_s2"] = with_("feed").rstrip("\n") + f""",
+read AS (
+  SELECT f.link AS url, sha256(f.link) AS url_hash, f.source, f.source_ord, f.item_ord,
+    {{title}} AS title, {{summary}} AS summary,
+    CASE WHEN f.id % 4 <> 3 THEN a.published_at END AS published_at
+  FROM feed f JOIN art a ON a.id = f.id),
+firsts AS (SELECT * FROM read WHERE url IS NOT NULL AND url <> ''
+           QUALIFY row_number() OVER (PARTITION BY url_hash ORDER BY source_ord, item_ord) = 1)
+SELECT url, url_hash, source, title, {_ts('published_at')} AS published_at, {_category(_topic_text())} AS category
+FROM firsts
+WHERE (published_at IS NULL OR published_at >= {AS_OF} - INTERVAL {C.MAX_AGE_HOURS} HOUR) AND {_relevant(_topic_text())}"""
+
+ORACLE["s1_quarantine"] = """SELECT DISTINCT source, CAST(-1 AS BIGINT) AS feed, 'malformed XML' AS error FROM documents"""
+
 # ---------------------------------------------------------------------------
 # grouping
 # ---------------------------------------------------------------------------
@@ -219,6 +233,8 @@ ORACLE["g1_connected_components"] = with_("comp") + "SELECT id, story_group_id F
 
 ORACLE["g2_story_groups"] = with_("grp") + "SELECT id, story_group_id, is_duplicate FROM grp"
 
+ORACLE["g3_attach"] = ORACLE["g2_story_groups"]
+
 ORACLE["w2_group_anchor"] = with_("grp") + "SELECT story_group_id, id AS anchor_id FROM grp WHERE is_duplicate = 0"
 
 ORACLE["a3_group_stats"] = with_("grp") + """SELECT story_group_id, count(*) AS members,
@@ -251,6 +267,9 @@ def _strip(x: str) -> str:
     return f"regexp_replace({x}, '^{WS}+|{WS}+$', '', 'g')"
 
 
+ORACLE["s1_to_s2"] = ORACLE["s1_to_s2"].replace("{title}", _strip("f.title")).replace("{summary}", _strip("f.summary"))
+
+
 def _clean(x: str) -> str:
     return _strip(f"regexp_replace(regexp_replace(coalesce({x}, ''), '<[^>]+>', ' ', 'g'), '{WS}+', ' ', 'g')")
 

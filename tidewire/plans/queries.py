@@ -123,7 +123,14 @@ def _window(spark, sf):
 
 @query("f4_lookback")
 def f4_lookback(spark, sf):
-    return _window(spark, sf).select("id", _ts("fetched_at").alias("fetched_at"))
+    """Stored snapshots of several days, of which only those of the look-back
+    range are listed and read."""
+    from tidewire.session import AS_OF
+    from tidewire.sources import io as IO
+    root = IO.scratch_dir(spark, "days")
+    snap = I.ingest(X.articles(spark, sf), X.as_of()).select(*[c.split()[0] for c in IO.SNAPSHOT_SCHEMA.split(", ")])
+    IO.write_snapshot_days(snap, root)
+    return IO.read_window(spark, root, AS_OF, C.LOOKBACK_HOURS).select("id", _ts("fetched_at").alias("fetched_at"))
 
 
 @query("p3_title_tokens")
@@ -578,7 +585,11 @@ def _videos(spark, sf):
 
 @query("s14_video_feed_read")
 def s14_video_feed_read(spark, sf):
-    return _videos(spark, sf)
+    """Landed listing answers (one is cut off), scanned by schema."""
+    from tidewire.sources import io as IO
+    root = IO.scratch_dir(spark, "video-listings")
+    X.land_videos(spark, sf, root)
+    return VD.flat_videos(IO.read_video_feed(spark, root).withColumn("channel", F.col("channel").cast("bigint")))
 
 
 @query("f12_video_window")
@@ -633,7 +644,11 @@ def s6_keyed_update(spark, sf):
 
 @query("s15_post_feed_read")
 def s15_post_feed_read(spark, sf):
-    p = X.cms_posts(spark, sf)
+    """Landed listing answers (one is cut off), scanned by schema."""
+    from tidewire.sources import io as IO
+    root = IO.scratch_dir(spark, "post-listings")
+    X.land_posts(spark, sf, root)
+    p = IO.read_post_feed(spark, root)
     return p.select("id", F.col("title.rendered").alias("title"), F.col("excerpt.rendered").alias("excerpt"),
                     "link")
 
@@ -652,8 +667,8 @@ def a10_stage_counts(spark, sf):
 def t1_stream_ingest(spark, sf):
     from tidewire.streaming import ingest_stream as ST
     out, chk = ST.stream_dirs(spark, "t1")
-    ST.stream_ingest(X.articles_of(X.documents_stream(spark, sf)), X.as_of(), out, chk)
-    return spark.read.parquet(out).select("id", "url", "source", "category")
+    store = ST.stream_ingest(X.articles_of(X.documents_stream(spark, sf)), X.as_of(), out, chk)
+    return ST.stored_articles(store).select("id", "url", "source", "category")
 
 
 @query("t2_stream_dedup")
@@ -669,7 +684,7 @@ def t5_stream_counts(spark, sf):
     from tidewire.streaming import ingest_stream as ST
     out, chk = ST.stream_dirs(spark, "t5")
     ST.stream_counts(X.articles_of(X.documents_stream(spark, sf)), "fetched_at", out, chk)
-    return spark.read.parquet(out).select(_ts("w.start").alias("window_start"), "source", "n_items")
+    return ST.current_counts(spark, out).select(_ts("window_start").alias("window_start"), "source", "n_items")
 
 
 @query("s1_feed_scan")
@@ -686,6 +701,30 @@ def s1_feed_scan(spark, sf):
     return got.select(F.col("item_ord").alias("id"), "source", "link", "title", "published")
 
 
+def _scanned_feeds(spark, sf):
+    from tidewire.session import materialize
+    from tidewire.sources import io as IO
+    root = IO.scratch_dir(spark, "landed-feeds")
+    X.land_feeds(spark, sf, root)
+    return materialize(IO.scan_feeds(spark, root), "feeds")
+
+
+@query("s1_to_s2")
+def s1_to_s2(spark, sf):
+    """Landed RSS and Atom files to the article snapshot: S1 P2 D1 W1 F1 F2 F3 A1."""
+    from tidewire.sources import io as IO
+    entries = IO.feed_entries(_scanned_feeds(spark, sf)).withColumn("source_ord", X.source_order("source"))
+    snap = I.ingest(I.feed_articles(entries), X.as_of(), order=("source_ord", "feed", "item_ord"))
+    return snap.select("url", "url_hash", "source", "title", _ts("published_at").alias("published_at"), "category")
+
+
+@query("s1_quarantine")
+def s1_quarantine(spark, sf):
+    """Feed files that could not be read, while the others were."""
+    from tidewire.sources import io as IO
+    return IO.feed_quarantine(_scanned_feeds(spark, sf)).select("source", F.col("feed").cast("bigint").alias("feed"), "error")
+
+
 @query("s3_article_snapshot_read")
 def s3_article_snapshot_read(spark, sf):
     """S2 as JSON lines under ingest_date=..., read back with the schema."""
@@ -728,6 +767,21 @@ def g3_incremental_groups(spark, sf):
     return G.story_groups(store, X.as_of()).select("id", "story_group_id", "is_duplicate")
 
 
+@query("g3_attach")
+def g3_attach(spark, sf):
+    """Every fifth id is grouped by an earlier run; the others arrive, join or
+    merge those groups, and the store is updated by key."""
+    from tidewire.session import materialize
+    from tidewire.sources.io import keyed_update
+    snap = ingested(spark, sf)
+    cols = ["story_group_id", "is_duplicate"]
+    prior = G.story_groups(snap.where(F.col("id") % 5 == 0), X.as_of()).select("id", *cols)
+    store = materialize(snap.join(prior, "id", "left"), "store")
+    updates = G.story_groups(store, X.as_of(), mode="attach").select("id", *cols)
+    after = keyed_update(store, updates, "id", cols)
+    return after.where(F.col("story_group_id").isNotNull()).select("id", *cols)
+
+
 # ---------------------------------------------------------------------------
 # one key per remaining inventory ID (projections of the operators above)
 # ---------------------------------------------------------------------------
@@ -832,8 +886,8 @@ def t3_stream_upsert_replay(spark, sf):
     from tidewire.streaming import ingest_stream as ST
     out, chk = ST.stream_dirs(spark, "t3")
     ST.stream_ingest(X.articles_of(X.documents_stream(spark, sf)), X.as_of(), out, chk)
-    ST.stream_ingest(X.articles_of(X.documents_stream(spark, sf)), X.as_of(), out, chk + "-replay")
-    return spark.read.parquet(out).select("id", "url", "category")
+    store = ST.stream_ingest(X.articles_of(X.documents_stream(spark, sf)), X.as_of(), out, chk + "-replay")
+    return ST.stored_articles(store).select("id", "url", "category")
 
 
 @query("t4_late_drop")
