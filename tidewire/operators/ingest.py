@@ -12,24 +12,32 @@ from tidewire.functions import text as T
 from tidewire.session import materialize
 
 
+def _place(items: DataFrame, order: tuple[str, ...]) -> Column:
+    """A row's place among the copies of its key; rows of equal order are told
+    apart by their content."""
+    return F.struct(*[F.col(c) for c in order], F.xxhash64(*items.columns).alias("_content"))
+
+
+def _at_first(rows: DataFrame, keyed: DataFrame, key: str) -> DataFrame:
+    """The ``rows`` that hold the least ``_ord`` of their key in ``keyed``."""
+    firsts = keyed.where(F.col(key).isNotNull()).groupBy(key).agg(F.min("_ord").alias("_first"))
+    return (rows.join(firsts, (rows[key] == firsts[key]) & (rows["_ord"] == firsts["_first"]), "left_semi")
+            .dropDuplicates([key]))
+
+
 def first_seen(items: DataFrame, key: str = "url_hash",
                order: tuple[str, ...] = ("source_ord", "item_ord"), order_col: str | None = None) -> DataFrame:
     """Keep the first occurrence of ``key`` in (source, item) order.
 
-    Runs *before* the freshness/relevance filters: a stale first copy hides a
-    later fresh one.  Written as an aggregation (min of the order struct, then
-    a semi join) so that a key repeated by a third of all rows is combined
-    map-side instead of landing in one window partition.  ``order_col``: keep
-    the row's place in that order under this name.
+    It is decided over all rows, before the freshness/relevance filters: a
+    stale first copy hides a later fresh one.  Written as an aggregation (min
+    of the order struct, then a semi join) so that a key repeated by a third of
+    all rows is combined map-side instead of landing in one window partition.
+    ``order_col``: keep the row's place in that order under this name.
     """
-    # rows of equal order are told apart by their content
-    ordk = F.struct(*[F.col(c) for c in order], F.xxhash64(*items.columns).alias("_content"))
-    firsts = (items.where(F.col(key).isNotNull())
-              .groupBy(key).agg(F.min(ordk).alias("_first")))
-    keyed = items.where(F.col(key).isNotNull()).withColumn("_ord", ordk)
-    out = keyed.join(firsts, (keyed[key] == firsts[key]) & (keyed["_ord"] == firsts["_first"]), "left_semi")
-    out = out.withColumnRenamed("_ord", order_col) if order_col else out.drop("_ord")
-    return out.dropDuplicates([key])
+    keyed = items.withColumn("_ord", _place(items, order))
+    out = _at_first(keyed, keyed, key)
+    return out.withColumnRenamed("_ord", order_col) if order_col else out.drop("_ord")
 
 
 def has_link(items: DataFrame, col: str = "url") -> DataFrame:
@@ -99,14 +107,23 @@ def feed_articles(entries: DataFrame) -> DataFrame:
 
 
 def ingest(items: DataFrame, as_of: Column, taxonomy=C.TAXONOMY,
-           order: tuple[str, ...] = ("source_ord", "item_ord")) -> DataFrame:
+           order: tuple[str, ...] = ("source_ord", "item_ord"), narrow: bool = False) -> DataFrame:
     """W1 -> F1 -> F2 -> F3 -> A1 over feed-level article rows.
 
-    Output is the article snapshot (S2 shape) — one row per new URL."""
+    Output is the article snapshot (S2 shape) — one row per new URL; ``narrow``:
+    with ``summary_len`` in place of the texts, for steps that need no more.
+
+    F2, F3 and A1 look at single rows, so they run where the rows are read;
+    which copy of a URL is the first is found over the keys of all rows, and
+    only rows that pass the filters are shuffled to meet it."""
     if "url_hash" not in items.columns:
         items = items.withColumn("url_hash", T.url_hash("url"))
-    out = first_seen(has_link(items), order=order)
-    return relevant_classified(fresh(out, as_of), taxonomy=taxonomy)
+    items = has_link(items)
+    keyed = items.withColumn("_ord", _place(items, order))
+    good = relevant_classified(fresh(keyed, as_of), taxonomy=taxonomy)
+    if narrow:
+        good = good.withColumn("summary_len", F.length(F.coalesce("summary", F.lit("")))).drop(*C.BULKY_COLUMNS)
+    return _at_first(good, keyed, "url_hash").drop("_ord")
 
 
 def _taken(rows: DataFrame, accepted: DataFrame, keys: tuple[str, ...]) -> DataFrame:

@@ -356,16 +356,14 @@ def choose_anchors(members: DataFrame, group_col: str = "story_group_id") -> Dat
             .drop("_anchor"))
 
 
-BULKY_COLUMNS = ("summary", "raw_content")
-
-
 def _cutoff(as_of: Column, lookback_hours: int) -> Column:
     return F.timestamp_seconds(F.unix_seconds(as_of) - lookback_hours * 3600)
 
 
 def _narrow(df: DataFrame) -> DataFrame:
-    return (df.withColumn("summary_len", F.length(F.coalesce(F.col("summary"), F.lit(""))))
-            .drop(*[c for c in BULKY_COLUMNS if c in df.columns]))
+    if "summary_len" not in df.columns:
+        df = df.withColumn("summary_len", F.length(F.coalesce(F.col("summary"), F.lit(""))))
+    return df.drop(*[c for c in C.BULKY_COLUMNS if c in df.columns])
 
 
 def window_narrow(articles: DataFrame, as_of: Column, lookback_hours: int = C.LOOKBACK_HOURS) -> DataFrame:

@@ -339,7 +339,7 @@ CTE["drafts_f"] = f"""drafts_f AS (
     split_part(d.text, chr(10), 1) AS headline,
     '<p>' || replace(d.text, chr(10), '</p><p>') || '</p>' AS body,
     {_pick(FIXTURE_CATEGORIES, 'd.doc_id % 8')} AS category,
-    substr(d.text, 1, 150) AS seo_description,
+    d.text AS seo_description,
     CASE d.doc_id % 6 WHEN 0 THEN NULL WHEN 1 THEN '[]' WHEN 2 THEN 'not json'
       WHEN 3 THEN '["' || split_part(p.p_name, ' ', 2) || '","' || split_part(p.p_name, ' ', 1) || '"]'
       WHEN 4 THEN '["zzz' || CAST(d.doc_id AS VARCHAR) || '","' || split_part(p.p_name, ' ', 1) || '"]'
@@ -353,7 +353,7 @@ CTE["drafts_f"] = f"""drafts_f AS (
 CTE["sheet"] = """sheet AS (
   SELECT event_id AS row_ord,
     CASE WHEN event_id % 97 = 0 THEN 'x' || CAST(event_id AS VARCHAR) WHEN event_id % 101 = 0 THEN ''
-         ELSE CAST(event_id % 500 AS VARCHAR) END AS draft_id,
+         ELSE CAST(3 * (event_id % (SELECT max(doc_id) // 3 + 1 FROM documents)) AS VARCHAR) END AS draft_id,
     CASE event_type WHEN 'purchase' THEN 'approve' WHEN 'error' THEN 'REJECT ' WHEN 'click' THEN ' Edit'
          WHEN 'view' THEN '' ELSE 'maybe' END AS approval,
     props AS notes
@@ -459,7 +459,7 @@ CTE["resp"] = f"""resp0 AS (
     '{{"headline": ' || {_json_str("split_part(text, chr(10), 1)")}
     || ', "body": ' || {_json_str("'<p>' || text || '</p>'")}
     || ', "category": ' || {_json_str(_pick(FIXTURE_CATEGORIES, 'conv_id % 8'))}
-    || ', "seo_description": ' || {_json_str("substr(text, 1, 120)")}
+    || ', "seo_description": ' || {_json_str("text")}
     || ', "image_keywords": [' || {_json_str("'kw' || CAST(conv_id AS VARCHAR)")} || ', ' || {_json_str("'news'")} || ']'
     || ', "source_attribution": ' || {_json_str("'src' || CAST(conv_id % 20 AS VARCHAR)")} || '}}' AS payload
   FROM conversations WHERE role = 'assistant'),
@@ -494,7 +494,7 @@ ans AS (
 
 CTE["posts"] = f"""posts AS (
   SELECT doc_id AS id, split_part(text, chr(10), 1) AS title_r,
-    '<p>' || substr(text, 1, 400) || '&#8230;</p>' AS excerpt_r,
+    '<p>' || text || '&#8230;</p>' AS excerpt_r,
     'https://news.example.com/p/' || CAST(doc_id AS VARCHAR) AS link,
     [doc_id % 3, doc_id % 7] AS categories,
     CASE WHEN doc_id % 4 = 0 THEN 'draft' ELSE 'publish' END AS status,

@@ -50,8 +50,14 @@ def ingested(spark: SparkSession, sf: str) -> DataFrame:
     return materialize(I.ingest(X.articles(spark, sf), X.as_of()), "snapshot")
 
 
+def ingested_narrow(spark: SparkSession, sf: str) -> DataFrame:
+    """The same rows without their texts: grouping and ranking need no more."""
+    from tidewire.session import materialize
+    return materialize(I.ingest(X.articles(spark, sf), X.as_of(), narrow=True), "snapshot")
+
+
 def grouped(spark: SparkSession, sf: str) -> DataFrame:
-    return G.story_groups(ingested(spark, sf), X.as_of())
+    return G.story_groups(ingested_narrow(spark, sf), X.as_of())
 
 
 def scored(spark: SparkSession, sf: str) -> DataFrame:
@@ -98,17 +104,17 @@ def s2_article_snapshot(spark, sf):
 
 @query("a9_ingest_counts")
 def a9_ingest_counts(spark, sf):
-    return I.per_source_counts(ingested(spark, sf))
+    return I.per_source_counts(ingested_narrow(spark, sf))
 
 
 @query("s5_insert_if_absent")
 def s5_insert_if_absent(spark, sf):
-    return I.insert_if_absent(ingested(spark, sf), X.store(spark, sf)).select("id", "url")
+    return I.insert_if_absent(ingested_narrow(spark, sf), X.store(spark, sf)).select("id", "url")
 
 
 @query("a9_insert_counts")
 def a9_insert_counts(spark, sf):
-    batch = ingested(spark, sf)
+    batch = ingested_narrow(spark, sf)
     return I.insert_counts(batch, I.insert_if_absent(batch, X.store(spark, sf)))
 
 
@@ -118,7 +124,7 @@ def a9_insert_counts(spark, sf):
 
 def _window(spark, sf):
     cutoff = F.timestamp_seconds(F.unix_seconds(X.as_of()) - C.LOOKBACK_HOURS * 3600)
-    return ingested(spark, sf).where(F.col("fetched_at") >= cutoff)
+    return ingested_narrow(spark, sf).where(F.col("fetched_at") >= cutoff)
 
 
 @query("f4_lookback")
@@ -141,7 +147,7 @@ def p3_title_tokens(spark, sf):
 
 @query("j3_similar_pairs")
 def j3_similar_pairs(spark, sf):
-    narrow = G.window_narrow(ingested(spark, sf), X.as_of())
+    narrow = G.window_narrow(ingested_narrow(spark, sf), X.as_of())
     reps, _ = G.collapse_copies(G.token_sets(narrow))
     from tidewire.session import materialize
     return G.similar_pairs(materialize(reps, "title-sets"))
@@ -149,7 +155,7 @@ def j3_similar_pairs(spark, sf):
 
 @query("g1_connected_components")
 def g1_connected_components(spark, sf):
-    return G.story_components(G.window_narrow(ingested(spark, sf), X.as_of()))
+    return G.story_components(G.window_narrow(ingested_narrow(spark, sf), X.as_of()))
 
 
 @query("g2_story_groups")
@@ -760,7 +766,7 @@ def x5_prompt_blocks(spark, sf):
 def g3_incremental_groups(spark, sf):
     """Rows grouped by an earlier run (every fifth id) are left alone; only
     the ungrouped rows of the window are compared and grouped."""
-    snap = ingested(spark, sf)
+    snap = ingested_narrow(spark, sf)
     prior = F.col("id") % 5 == 0
     store = (snap.withColumn("story_group_id", F.when(prior, F.col("id")))
              .withColumn("is_duplicate", F.when(prior, F.lit(0))))
@@ -773,7 +779,7 @@ def g3_attach(spark, sf):
     merge those groups, and the store is updated by key."""
     from tidewire.session import materialize
     from tidewire.sources.io import keyed_update
-    snap = ingested(spark, sf)
+    snap = ingested_narrow(spark, sf)
     cols = ["story_group_id", "is_duplicate"]
     prior = G.story_groups(snap.where(F.col("id") % 5 == 0), X.as_of()).select("id", *cols)
     store = materialize(snap.join(prior, "id", "left"), "store")

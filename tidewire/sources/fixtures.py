@@ -182,7 +182,7 @@ def drafts(spark: SparkSession, sf_dir: str) -> DataFrame:
         title.alias("headline"),
         F.concat(F.lit("<p>"), F.replace(F.col("text"), F.lit("\n"), F.lit("</p><p>")), F.lit("</p>")).alias("body"),
         _pick(FIXTURE_CATEGORIES, doc % 8).alias("category"),
-        F.substring(F.col("text"), 1, 150).alias("seo_description"),
+        F.col("text").alias("seo_description"),
         kw.alias("image_keywords"),
         F.when(doc % 7 == 0, F.lit(0).cast("bigint")).when(doc % 2 == 0, doc + 10000)
          .otherwise(F.lit(None).cast("bigint")).alias("wp_post_id"),
@@ -194,12 +194,14 @@ def drafts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def review_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Editor decisions, one row per sheet line (row_ord = sheet order)."""
+    """Editor decisions, one row per sheet line (row_ord = sheet order), on every
+    third draft of the whole range; the others are not in the sheet yet."""
     e = table(spark, sf_dir, "events")
+    ids = table(spark, sf_dir, "documents").agg(F.floor(F.max("doc_id") / 3) + 1)
     eid = F.col("event_id")
     draft_id = (F.when(eid % 97 == 0, F.concat(F.lit("x"), eid.cast("string")))
                 .when(eid % 101 == 0, F.lit(""))
-                .otherwise((eid % 500).cast("string")))
+                .otherwise((3 * (eid % ids.scalar())).cast("string")))
     approval = (F.when(F.col("event_type") == "purchase", F.lit("approve"))
                 .when(F.col("event_type") == "error", F.lit("REJECT "))
                 .when(F.col("event_type") == "click", F.lit(" Edit"))
@@ -278,7 +280,7 @@ def model_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit('{"headline": '), _json_str(F.substring_index(text, "\n", 1)),
         F.lit(', "body": '), _json_str(F.concat(F.lit("<p>"), text, F.lit("</p>"))),
         F.lit(', "category": '), _json_str(_pick(FIXTURE_CATEGORIES, cid % 8)),
-        F.lit(', "seo_description": '), _json_str(F.substring(text, 1, 120)),
+        F.lit(', "seo_description": '), _json_str(text),
         F.lit(', "image_keywords": ['), _json_str(F.concat(F.lit("kw"), cid.cast("string"))),
         F.lit(", "), _json_str(F.lit("news")), F.lit("]"),
         F.lit(', "source_attribution": '), _json_str(F.concat(F.lit("src"), (cid % 20).cast("string"))),
@@ -300,7 +302,7 @@ def cms_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(
         doc.alias("id"),
         F.struct(F.substring_index(F.col("text"), "\n", 1).alias("rendered")).alias("title"),
-        F.struct(F.concat(F.lit("<p>"), F.substring(F.col("text"), 1, 400), F.lit("&#8230;</p>"))
+        F.struct(F.concat(F.lit("<p>"), F.col("text"), F.lit("&#8230;</p>"))
                  .alias("rendered")).alias("excerpt"),
         F.concat(F.lit("https://news.example.com/p/"), doc.cast("string")).alias("link"),
         F.array(doc % 3, doc % 7).alias("categories"),
