@@ -16,6 +16,7 @@ from tokenizers import Tokenizer
 from tidewire.llm import alignment, fim, secret_scan
 from tidewire.llm.common import Scratch
 from tidewire.llm.queries import QUERIES
+from tidewire.llm.tokens import WordEncoder
 
 SCHEMA = ("doc_id long, text string, blob string, carrier int, due string, id int, h1 string, chunk int, pos int, "
           "n int, spans string, key0 string, output string")
@@ -262,3 +263,13 @@ def test_alignment_query_on_whole_documents(spark):
     want = {r.doc_id: w for r, w in zip(table, brute_alignment([r.text for r in table]))}
     got = {r.doc_id: tuple(r)[1:] for r in QUERIES["op13_token_alignment"](spark, "/root/testdata/sf0.001").collect()}
     assert got == want
+
+
+def test_words_are_split_where_the_tokenizer_splits():
+    rng = random.Random(9)
+    parts = list("abAB'’,.12—é“\"<|>-_\n　́") + ["'s", "'ll", "'re", " '", "<|endoftext|>", " "]
+    texts = ["".join(rng.choices(parts, k=rng.randint(0, 30))) for _ in range(3000)] + ["", None, "'", "a'", "'a"]
+    path = public_tokenizers.path("word_bpe_49k.json")
+    ids, begin = WordEncoder(path)(pa.array(texts, pa.string()), 1)
+    want = [e.ids + [1] for e in Tokenizer.from_file(path).encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    assert [ids[begin[i]:begin[i + 1]].tolist() for i in range(len(texts))] == want

@@ -83,6 +83,30 @@ class Words:
     def counts(self) -> np.ndarray:
         return np.diff(self.first)
 
+    def split(self, whole: list[bytes] = ()) -> None:
+        """Cut the words further wherever ASCII letters, an ASCII digit, and ASCII
+        marks other than the apostrophe meet each other, and between digits.
+        Words that hold one of ``whole`` (in either case) stay as they are."""
+        data = self.data
+        low = np.where((data >= 65) & (data <= 90), data + np.uint8(32), data)
+        kind = np.where((low >= 97) & (low <= 122), 1, np.where((data >= 48) & (data <= 57), 2, np.where(
+            (data > 32) & (data < 127) & (data != 39), 3, 0))).astype(np.int8)
+        cut = np.zeros(len(data) + 1, bool)
+        cut[1:-1] = (kind[1:] != 0) & (kind[:-1] != 0) & ((kind[1:] != kind[:-1]) | (kind[1:] == 2))
+        text = low.tobytes() if whole else b""
+        for mark in whole:
+            at = text.find(mark.lower())
+            while at >= 0:
+                word = np.searchsorted(self.start, at, "right") - 1
+                cut[self.start[word]:max(self.end[word], at + len(mark))] = False
+                at = text.find(mark.lower(), at + 1)
+        begins, ends = cut.copy(), cut
+        begins[self.start] = True
+        ends[self.end] = True
+        heads = np.append(self.start, len(data))[self.first]
+        self.start, self.end = np.flatnonzero(begins[:-1]), np.flatnonzero(ends)
+        self.first = np.searchsorted(self.start, heads)
+
     def hashes(self, seed: int = 0) -> np.ndarray:
         base = BASES[seed][0]
         values = self.data.astype(U) + U(1)
