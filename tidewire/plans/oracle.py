@@ -534,7 +534,7 @@ CTE["cats"] = f"""cats AS (
   SELECT CAST(n_nationkey + 1 AS BIGINT) AS id, name, lower(replace(name, ' ', '-')) AS slug FROM (
     SELECT n_nationkey, CASE WHEN n_nationkey < 10 THEN {_pick(
         ["Breaking News", "Politics", "Business", "Sports", "Tech and Science",
-         "Culture", "Regional News", "World", "Opinion", "The Pulse"], 'n_nationkey')}
+         "Culture", "Regional News", "World", "Opinion", "Letters"], 'n_nationkey')}
       ELSE {_initcap1('n_name')} END AS name FROM nation)),
 lk AS (
   SELECT key, id FROM (

@@ -23,7 +23,7 @@ FIXTURE_CATEGORIES = ["Politics", "Business", "Sports", "Technology",
 
 # Section names given to the first ten nations (CMS category fixture).
 SECTION_NAMES = ["Breaking News", "Politics", "Business", "Sports", "Tech and Science",
-                 "Culture", "Regional News", "World", "Opinion", "The Pulse"]
+                 "Culture", "Regional News", "World", "Opinion", "Letters"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,8 +65,8 @@ def documents_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents file as a streaming file source (explicit schema)."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     schema = spark.read.parquet(f"{sf_dir}/documents.parquet").schema
-    return (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1)
-            .option("pathGlobFilter", "documents.parquet").parquet(sf_dir))
+    # a file or a folder of files: a stream's plain path has to be a folder, a pattern may be either
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{sf_dir}/documents.parque[t]")
 
 
 def articles_of(d: DataFrame) -> DataFrame:

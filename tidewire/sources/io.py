@@ -153,11 +153,13 @@ def scan_feeds(spark: SparkSession, path: str) -> DataFrame:
     head = F.substring(F.col("content"), 1, 200).cast("string")
     latin = F.regexp_like(F.lower(head), F.lit("encoding=[\"'](iso-8859-1|latin1|latin-1|windows-1252)[\"']"))
     text = F.when(latin, F.decode("content", "ISO-8859-1")).otherwise(F.make_valid_utf8(F.col("content").cast("string")))
-    text = F.regexp_replace(text, "^\\uFEFF?\\s*<\\?xml[^>]*\\?>", "")
+    text = F.ltrim(F.ltrim(text, F.lit("\ufeff")))
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken", "ignoreSurroundingSpaces": "false"}
-    # the parser takes a text that breaks off as if it ended there
+    # the parser takes a text that breaks off as if it ended there: it has to end
+    # with its root's end, and at most white space and comments in its last 4096 characters
     root = F.regexp_extract(text, "<([A-Za-z_][\\w.:-]*)", 1)
-    whole = F.endswith(F.regexp_replace(text, "(\\s|<!--(?s:.*?)-->)+$", ""), F.concat(F.lit("</"), root, F.lit(">")))
+    tail = F.regexp_replace(F.right(text, F.lit(4096)), "(\\s|<!--(?s:.*?)-->)+$", "")
+    whole = F.endswith(tail, F.concat(F.lit("</"), root, F.lit(">")))
     parsed = files.select(*kept, F.when(whole, F.from_xml(text, _FEED, options)).alias("_feed"))
     items = F.coalesce(F.transform("_feed.channel.item", _of_item), F.transform("_feed.item", _of_item),
                        F.transform("_feed.entry", _of_entry))
