@@ -13,9 +13,11 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from tidewire.llm import alignment, fim, secret_scan
+from tidewire.llm import alignment, fim, secret_scan, warc
 from tidewire.llm.common import Scratch
+from tidewire.llm.minhash_dedup import near_duplicates
 from tidewire.llm.queries import QUERIES
+from tidewire.llm.substring_dedup import substring_dedup
 from tidewire.llm.tokens import WordEncoder
 
 SCHEMA = ("doc_id long, text string, blob string, carrier int, due string, id int, h1 string, chunk int, pos int, "
@@ -265,6 +267,25 @@ def test_alignment_query_on_whole_documents(spark):
     assert got == want
 
 
+def thue_morse(bits):
+    """A word of 2**bits letters and its complement: polynomial hashes modulo
+    2**64 cannot tell them apart, whatever the base."""
+    word = "a"
+    for _ in range(bits):
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("bits", [6, 9, 11, 13])
+def test_crafted_words_stay_apart(spark, bits):
+    one, other = thue_morse(bits)
+    tail = " ".join(f"w{i}" for i in range(34))
+    docs = spark.createDataFrame([(1, f"{one} {tail}"), (2, f"{other} {tail}")], "doc_id long, text string")
+    assert [r.n_removed for r in substring_dedup(docs, size=35).collect()] == [0, 0]
+    short = spark.createDataFrame([(1, f"{one} x y z"), (2, f"{other} x y z")], "doc_id long, text string")
+    assert sorted(r.component_id for r in near_duplicates(short, words_each=4).collect()) == [1, 2]
+
+
 def test_words_are_split_where_the_tokenizer_splits():
     rng = random.Random(9)
     parts = list("abAB'’,.12—é“\"<|>-_\n　́") + ["'s", "'ll", "'re", " '", "<|endoftext|>", " "]
@@ -273,3 +294,14 @@ def test_words_are_split_where_the_tokenizer_splits():
     ids, begin = WordEncoder(path)(pa.array(texts, pa.string()), 1)
     want = [e.ids + [1] for e in Tokenizer.from_file(path).encode_batch([t or "" for t in texts], add_special_tokens=False)]
     assert [ids[begin[i]:begin[i + 1]].tolist() for i in range(len(texts))] == want
+
+
+def test_archives_are_read_by_many_tasks(spark):
+    rng = random.Random(2)
+    pages = spark.createDataFrame([(i, f"https://x/{i}", "".join(rng.choices("abcdefgh \n", k=3000))) for i in range(120)],
+                                  "page_id long, url string, html string")
+    folder = Scratch(spark, "warc").root
+    files = warc.write_warc(pages, folder, roll_bytes=1500, shard_bytes=20_000).count()
+    read = warc.read_warc(spark, folder)
+    assert files > 100 and read.rdd.getNumPartitions() > 100
+    assert sorted(r.page_id for r in read.collect()) == list(range(120))

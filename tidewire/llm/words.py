@@ -2,8 +2,10 @@
 
 A word is a maximal run of bytes other than space and \\x09-\\x0D, i.e. the
 pattern ``[^\\x20\\x09-\\x0D]+`` on the UTF-8 bytes.  A word's hash is a
-polynomial of its bytes modulo 2**64, finished by an avalanche step; a window's
-hash is a polynomial of its word hashes, finished likewise.  Two seeds give
+polynomial of its bytes modulo 2**64, finished by an avalanche step, or xxh3
+for a word of more than ``LONG`` bytes (such polynomials collide on crafted long
+words, whatever the base); a window's hash is a polynomial of its word hashes,
+finished likewise.  Two seeds give
 128 bits where equality must be decided by hash."""
 
 from __future__ import annotations
@@ -11,8 +13,10 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 U = np.uint64
+LONG = 64
 #: Odd multipliers, per seed: for bytes within words, for words within windows.
 BASES = ((0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93), (0xC2B2AE3D27D4EB4F, 0xA0761D6478BD642F))
 _powers: dict[int, np.ndarray] = {}
@@ -110,7 +114,10 @@ class Words:
     def hashes(self, seed: int = 0) -> np.ndarray:
         base = BASES[seed][0]
         values = self.data.astype(U) + U(1)
-        return mix(_runs(values, self.start, self.end, base) + U(base) * (self.end - self.start).astype(U))
+        out = mix(_runs(values, self.start, self.end, base) + U(base) * (self.end - self.start).astype(U))
+        for i in np.flatnonzero(self.end - self.start > LONG):
+            out[i] = xxhash.xxh3_64_intdigest(self.data[self.start[i]:self.end[i]].tobytes(), seed=base)
+        return out
 
     def windows(self, size: int, seed: int = 0, hashes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(number of the first word, hash) of each window of ``size`` words
