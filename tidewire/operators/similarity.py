@@ -9,15 +9,19 @@ Scale design
 * Postings are a prefix-filtered inverted index (Bayardo et al. 2007): tokens
   ordered by global frequency (rare first), only the first
   ``n - ceil(t*n) + 1`` tokens of each set are indexed.  A posting's class is
-  (token, set size, tokens from it on); which classes of a token can hold
-  similar sets follows from the length and position bounds alone, so those
-  class pairs are joined first, and sets meet by an equi-join on them.  A very
-  common token does not bring all of its sets together.
+  its token with the orders of magnitude of the set's size and of the number of
+  its tokens from this one on; which classes of a token can hold similar sets
+  follows from the length and position bounds alone, so those class pairs are
+  joined first, and sets meet by an equi-join on them.  A very common token does
+  not bring all of its sets together.
+* Pairs that meet are counted over their shared postings; similar sets share at
+  least a number of them that follows from their sizes, and only pairs with
+  enough fetch their token sets for the exact test.
 * J3 emits every similar pair.  G2 and G3 need components only
-  (``link_labels``): each class is compared with one head per admissible class,
-  similar ones are contracted to one label, and only postings that still span
-  several labels go on; what is left is joined exactly across labels.  n near
-  copies cost n comparisons, not n(n-1)/2.
+  (``link_labels``): sets are compared with the head of each of their postings
+  and sizes, similar ones are contracted to one label, and only postings that
+  still span several labels go on; what is left is joined exactly across
+  labels.  n near copies cost n comparisons a turn, not n(n-1)/2.
 * G1 is alternating large-star / small-star (Kiveris et al. 2014) over the
   edge DataFrame, written each round into ``spark.checkpoint.dir``; it
   stops on an exact test (every component is a star around its minimum).
@@ -28,6 +32,8 @@ Scale design
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -84,20 +90,54 @@ def postings(reps: DataFrame, num: int = C.JACCARD_NUM, den: int = C.JACCARD_DEN
                     (F.col("_shared") - F.col("_pos")).cast("bigint").alias("rem")))
 
 
+def _up(x: Column, num: int, den: int) -> Column:
+    """ceil(x * num / den) for whole numbers."""
+    return F.floor((x * num + (den - 1)) / den).cast("bigint")
+
+
+def _overlap(total: Column, num: int, den: int) -> Column:
+    """Tokens that similar sets of ``total`` tokens share at least:
+    ``t / (1 + t) * (n_a + n_b)``."""
+    return _up(total, num, den + num)
+
+
+def _needed(overlap: Column, most: Column, num: int, den: int) -> Column:
+    """Postings that similar sets are asked to share.  They share no fewer than
+    their overlap less the tokens in common behind the prefix of the set whose
+    prefix ends first, at most ``ceil(t * n) - 1``; a quarter of that is asked, so
+    that the postings counted may be bounded by their position as well."""
+    return F.greatest(F.floor((overlap - _up(most, num, den) + 1) / 4).cast("bigint"), F.lit(1))
+
+
 def _admissible(n_a: Column, rem_a: Column, n_b: Column, rem_b: Column, num: int, den: int) -> Column:
-    """Whether sets of these sizes that first meet on a token with so many
-    tokens from it on can be similar (exact bounds, in integers):
+    """Whether a meeting on a token, with so many tokens of the sets from it on,
+    counts (exact bounds, in integers):
 
     * length: ``min(n) >= t * max(n)``;
-    * position (PPJoin): all tokens that two sets have in common lie at or
-      after the first one they share, so at that meeting ``overlap <=
-      min(rem)``, and Jaccard >= t needs ``overlap >= t / (1 + t) * (n_a + n_b)``.
-      A similar pair always keeps its first meeting."""
+    * position (PPJoin): of the first ``needed`` tokens that similar sets share,
+      each has at least ``overlap - needed + 1`` tokens of either set from it on.
+      A similar pair keeps all of these meetings."""
+    overlap = _overlap(n_a + n_b, num, den)
     return ((F.least(n_a, n_b) * den >= F.greatest(n_a, n_b) * num)
-            & (F.least(rem_a, rem_b) * (den + num) >= (n_a + n_b) * num))
+            & (F.least(rem_a, rem_b) > overlap - _needed(overlap, F.greatest(n_a, n_b), num, den)))
+
+
+#: Sizes of one class differ by less than this factor.
+_STEP = 1.2
+
 
+def _magnitude(x: Column, shift: float = 0.0) -> Column:
+    return F.floor(F.log(x) / F.lit(math.log(_STEP)) + shift).cast("int")
 
-_CLASS = ("n", "rem")
+
+def classed(index: DataFrame) -> DataFrame:
+    """Postings with their class: ``cn`` and ``cr``."""
+    return index.withColumn("cn", _magnitude(F.col("n"))).withColumn("cr", _magnitude(F.col("rem")))
+
+
+def _classes(index: DataFrame, by: tuple[str, ...], *more: Column) -> DataFrame:
+    """The classes of each token with the bounds of their sets."""
+    return index.groupBy("tok", *by).agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("rem").alias("rem"), *more)
 
 
 def _class_pairs(classes: DataFrame, num: int, den: int) -> DataFrame:
@@ -105,24 +145,46 @@ def _class_pairs(classes: DataFrame, num: int, den: int) -> DataFrame:
     columns of ``classes`` for the first (a_...) and the second (b_...)."""
     a = classes.select(F.col("tok"), *[F.col(c).alias(f"a_{c}") for c in classes.columns if c != "tok"])
     b = classes.select(F.col("tok"), *[F.col(c).alias(f"b_{c}") for c in classes.columns if c != "tok"])
-    return a.join(b, "tok").where(_admissible(F.col("a_n"), F.col("a_rem"), F.col("b_n"), F.col("b_rem"), num, den))
-
-
-def _before(cls: tuple[str, ...]) -> Column:
-    """The first class does not come after the second one."""
-    return F.struct(*[f"a_{c}" for c in cls]) <= F.struct(*[f"b_{c}" for c in cls])
+    return a.join(b, "tok").where(
+        (F.col("a_hi") * den >= F.col("b_lo") * num) & (F.col("b_hi") * den >= F.col("a_lo") * num)
+        & (F.least("a_rem", "b_rem") > _overlap(F.col("a_lo") + F.col("b_lo"), num, den) - _needed(
+            _overlap(F.col("a_hi") + F.col("b_hi"), num, den), F.greatest("a_lo", "b_lo"), num, den)))
 
 
-def _meet(index: DataFrame, pairs: DataFrame, cls: tuple[str, ...], carry: tuple[str, ...]) -> DataFrame:
+def _meet(index: DataFrame, pairs: DataFrame, by: tuple[str, ...], carry: tuple[str, ...], num: int, den: int) -> DataFrame:
     """Sets of the first class of each pair with those of the second, once for
-    each unordered pair of sets and posting."""
-    x = index.select("tok", *[F.col(c).alias(f"a_{c}") for c in cls], *[F.col(c).alias(f"x_{c}") for c in carry])
-    y = index.select("tok", *[F.col(c).alias(f"b_{c}") for c in cls], *[F.col(c).alias(f"y_{c}") for c in carry])
-    keys_a, keys_b = [f"a_{c}" for c in cls], [f"b_{c}" for c in cls]
-    once = pairs.where(_before(cls)).select("tok", *keys_a, *keys_b).withColumn(
-        "_same", F.struct(*keys_a) == F.struct(*keys_b))
+    each unordered pair of sets and posting, within the exact bounds."""
+    carry = ("id", "n", "rem", *carry)
+    x = index.select("tok", *[F.col(c).alias(f"a_{c}") for c in by], *[F.col(c).alias(f"x_{c}") for c in carry])
+    y = index.select("tok", *[F.col(c).alias(f"b_{c}") for c in by], *[F.col(c).alias(f"y_{c}") for c in carry])
+    keys_a, keys_b = [f"a_{c}" for c in by], [f"b_{c}" for c in by]
+    first, second = F.struct(*keys_a), F.struct(*keys_b)
+    once = pairs.where(first <= second).select("tok", *keys_a, *keys_b).withColumn("_same", first == second)
     return (x.join(once, ["tok", *keys_a]).join(y, ["tok", *keys_b])
-            .where(~F.col("_same") | (F.col("x_id") < F.col("y_id"))))
+            .where((~F.col("_same") | (F.col("x_id") < F.col("y_id")))
+                   & _admissible(F.col("x_n"), F.col("x_rem"), F.col("y_n"), F.col("y_rem"), num, den)))
+
+
+def _counted(met: DataFrame, num: int, den: int, part: int = 1, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(id_a < id_b, n_a, n_b, and ``carry``): pairs that meet on as many
+    postings as similar sets of their sizes do; ``part``: an n-th of that is
+    enough."""
+    swap = F.col("x_id") > F.col("y_id")
+    pairs = met.select(*[c for name in ("id", "n", *carry) for c in (
+        F.when(swap, F.col(f"y_{name}")).otherwise(F.col(f"x_{name}")).alias(f"{name}_a"),
+        F.when(swap, F.col(f"x_{name}")).otherwise(F.col(f"y_{name}")).alias(f"{name}_b"))])
+    return (pairs.groupBy(*pairs.columns).agg(F.count(F.lit(1)).alias("_c"))
+            .where(F.col("_c") * part >= _needed(_overlap(F.col("n_a") + F.col("n_b"), num, den),
+                                                 F.greatest("n_a", "n_b"), num, den)).drop("_c"))
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs whose token sets (id, tokens) are similar, with ``n_inter``."""
+    ta = sets.select(F.col("id").alias("id_a"), F.col("tokens").alias("t_a"))
+    tb = sets.select(F.col("id").alias("id_b"), F.col("tokens").alias("t_b"))
+    both = pairs.join(ta, "id_a").join(tb, "id_b").withColumn(
+        "n_inter", F.size(F.array_intersect("t_a", "t_b")).cast("bigint")).drop("t_a", "t_b")
+    return both.where(T.jaccard_passes("n_inter", "n_a", "n_b", num, den))
 
 
 def similar_pairs(reps: DataFrame, num: int = C.JACCARD_NUM, den: int = C.JACCARD_DEN) -> DataFrame:
@@ -130,18 +192,12 @@ def similar_pairs(reps: DataFrame, num: int = C.JACCARD_NUM, den: int = C.JACCAR
     pair with Jaccard >= num/den, exact.
 
     ``reps`` has (rep, tokens, n).  Output ids are the representatives.  Sets
-    meet in admissible classes of an indexed token (``postings``) and every
-    candidate is verified on the full sets."""
-    base = reps.select("rep", "tokens", "n")
-    index = postings(base, num, den).select("id", "n", "rem", "tok")
-    pairs = _class_pairs(index.select("tok", *_CLASS).distinct(), num, den)
-    cand = (_meet(index, pairs, _CLASS, ("id",))
-            .select(F.least("x_id", "y_id").alias("id_a"), F.greatest("x_id", "y_id").alias("id_b")).distinct())
-    ta = base.select(F.col("rep").alias("id_a"), F.col("tokens").alias("t_a"), F.col("n").alias("n_a"))
-    tb = base.select(F.col("rep").alias("id_b"), F.col("tokens").alias("t_b"), F.col("n").alias("n_b"))
-    verified = (cand.join(ta, "id_a").join(tb, "id_b")
-                .withColumn("n_inter", F.size(F.array_intersect("t_a", "t_b")).cast("bigint")))
-    return (verified.where(T.jaccard_passes("n_inter", "n_a", "n_b", num, den))
+    meet in admissible classes of an indexed token (``postings``), pairs with
+    enough shared postings are verified on the full sets."""
+    index = classed(postings(reps.select("rep", "tokens", "n"), num, den))
+    by = ("cn", "cr")
+    met = _meet(index, _class_pairs(_classes(index, by), num, den), by, (), num, den)
+    return (_verified(_counted(met, num, den), reps.select(F.col("rep").alias("id"), "tokens"), num, den)
             .select("id_a", "id_b", "n_a", "n_b", "n_inter"))
 
 
@@ -206,59 +262,51 @@ def connected_components(edges: DataFrame, vertices: DataFrame | None = None) ->
 
 #: Cross-label pairs per posting from which on heads are compared first.
 PAIRS_PER_POSTING = 4
-_LABELLED = ("n", "rem", "fresh")
-
-
-def _similar(tokens_a: str, n_a: str, tokens_b: str, n_b: str, num: int, den: int) -> Column:
-    return T.jaccard_passes(F.size(F.array_intersect(tokens_a, tokens_b)).cast("bigint"), n_a, n_b, num, den)
-
-
-def _open_pairs(index: DataFrame, num: int, den: int) -> DataFrame:
-    """postings, pairs: the number of postings, and of pairs of sets that meet
-    in admissible classes under different labels (counted, not formed)."""
-    by_label = index.groupBy("tok", *_LABELLED, "label").agg(F.count(F.lit(1)).alias("m"))
-    classes = by_label.groupBy("tok", *_LABELLED).agg(F.sum("m").alias("m"))
-    either = F.col("a_fresh") | F.col("b_fresh")
-    product = (F.col("a_m").cast("decimal(19,0)") * F.col("b_m").cast("decimal(18,0)")).cast("decimal(38,0)")
-    every = _class_pairs(classes, num, den).where(either).select(product.alias("pairs"))
-    a = by_label.select("tok", "label", *[F.col(c).alias(f"a_{c}") for c in (*_LABELLED, "m")])
-    b = by_label.select("tok", "label", *[F.col(c).alias(f"b_{c}") for c in (*_LABELLED, "m")])
-    alike = (a.join(b, ["tok", "label"])
-             .where(_admissible(F.col("a_n"), F.col("a_rem"), F.col("b_n"), F.col("b_rem"), num, den) & either)
-             .select((-product).alias("pairs")))
-    none = F.lit(0).cast("bigint").alias("postings")
-    return (every.select("pairs", none).unionByName(alike.select("pairs", none))
-            .unionByName(classes.select(F.lit(0).cast("decimal(38,0)").alias("pairs"), F.col("m").alias("postings")))
-            .agg((F.coalesce(F.sum("pairs"), F.lit(0)) / 2).cast("decimal(38,0)").alias("pairs"),
-                 F.coalesce(F.sum("postings"), F.lit(0)).alias("postings")))
-
-
-def _head_links(index: DataFrame, turn: int, num: int, den: int) -> DataFrame:
-    """(a, b) labels linked by comparing every set with one head of each class
-    that is admissible for its own; another head each turn."""
-    head = F.min_by(F.struct("id", "label", "tokens"), F.xxhash64("id", F.lit(turn)))
-    classes = index.groupBy("tok", *_LABELLED).agg(head.alias("head"), F.min("label").alias("lo"),
-                                                   F.max("label").alias("hi"))
-    pairs = (_class_pairs(classes, num, den)
-             .where((F.col("a_fresh") | F.col("b_fresh")) & (F.least("a_lo", "b_lo") < F.greatest("a_hi", "b_hi")))
-             .select("tok", *[F.col(f"a_{c}").alias(c) for c in _LABELLED], F.col("b_n").alias("head_n"),
-                     F.col("b_head.label").alias("head_label"), F.col("b_head.tokens").alias("head_tokens")))
-    return (index.join(pairs, ["tok", *_LABELLED])
-            .where((F.col("label") != F.col("head_label"))
-                   & _similar("tokens", "n", "head_tokens", "head_n", num, den))
-            .select(F.greatest("label", "head_label").alias("a"), F.least("label", "head_label").alias("b"))
-            .distinct())
-
-
-def _all_links(index: DataFrame, num: int, den: int) -> DataFrame:
-    """(a, b) labels linked by any pair of similar sets, exact."""
-    classes = index.groupBy("tok", *_LABELLED).agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
+_LABELLED = ("cn", "cr", "fresh")
+#: A set meets the same head in one of so many of their common postings or more.
+_HEAD_PART = 4
+
+
+def _open(index: DataFrame) -> DataFrame:
+    """Tokens whose postings span several labels: tok, postings, pairs (of
+    postings under different labels)."""
+    m = F.col("m").cast("decimal(19,0)")
+    return (index.groupBy("tok", "label").agg(F.count(F.lit(1)).alias("m")).groupBy("tok")
+            .agg(F.count(F.lit(1)).alias("labels"), F.sum("m").alias("postings"),
+                 F.sum((m * F.col("m").cast("decimal(18,0)")).cast("decimal(37,0)")).alias("alike"))
+            .where("labels > 1")
+            .select("tok", "postings", ((F.col("postings").cast("decimal(19,0)") * F.col("postings").cast("decimal(18,0)")
+                                         - F.col("alike")) / 2).cast("decimal(38,0)").alias("pairs")))
+
+
+def _labels_of(pairs: DataFrame) -> DataFrame:
+    """(a > b) labels of linked sets."""
+    return pairs.select(F.greatest("label_a", "label_b").alias("a"), F.least("label_a", "label_b").alias("b")).distinct()
+
+
+def _head_pairs(index: DataFrame, turn: int, num: int, den: int) -> DataFrame:
+    """Each set with the head of its postings among sets of about its size; each
+    turn has other heads and shifts the bounds between sizes by half a step."""
+    sized = index.withColumn("_size", _magnitude(F.col("n"), 0.5 * turn))
+    heads = (sized.groupBy("tok", "_size").agg(
+        F.min_by(F.struct("id", "n", "rem", "label", "fresh"), F.xxhash64("id", F.lit(turn))).alias("h"),
+        F.min("label").alias("_lo"), F.max("label").alias("_hi")).where(F.col("_lo") < F.col("_hi"))
+        .select("tok", "_size", F.col("h.id").alias("y_id"), F.col("h.n").alias("y_n"), F.col("h.rem").alias("y_rem"),
+                F.col("h.label").alias("y_label"), F.col("h.fresh").alias("y_fresh")))
+    met = (sized.select("tok", "_size", *[F.col(c).alias(f"x_{c}") for c in ("id", "n", "rem", "label", "fresh")])
+           .join(heads, ["tok", "_size"])
+           .where((F.col("x_label") != F.col("y_label")) & (F.col("x_fresh") | F.col("y_fresh"))
+                  & _admissible(F.col("x_n"), F.col("x_rem"), F.col("y_n"), F.col("y_rem"), num, den)))
+    return _counted(met, num, den, _HEAD_PART, ("label",))
+
+
+def _all_pairs(index: DataFrame, num: int, den: int) -> DataFrame:
+    """All pairs under different labels that can be similar."""
+    classes = _classes(index, _LABELLED, F.min("label").alias("l_lo"), F.max("label").alias("l_hi"))
     pairs = _class_pairs(classes, num, den).where(
-        (F.col("a_fresh") | F.col("b_fresh")) & (F.least("a_lo", "b_lo") < F.greatest("a_hi", "b_hi")))
-    return (_meet(index, pairs, _LABELLED, ("id", "label", "tokens"))
-            .where((F.col("x_label") != F.col("y_label"))
-                   & _similar("x_tokens", "a_n", "y_tokens", "b_n", num, den))
-            .select(F.greatest("x_label", "y_label").alias("a"), F.least("x_label", "y_label").alias("b")).distinct())
+        (F.col("a_fresh") | F.col("b_fresh")) & (F.least("a_l_lo", "b_l_lo") < F.greatest("a_l_hi", "b_l_hi")))
+    met = _meet(index, pairs, _LABELLED, ("label",), num, den).where(F.col("x_label") != F.col("y_label"))
+    return _counted(met, num, den, 1, ("label",))
 
 
 def _relabel(df: DataFrame, roots: DataFrame) -> DataFrame:
@@ -277,26 +325,30 @@ def link_labels(reps: DataFrame, num: int = C.JACCARD_NUM, den: int = C.JACCARD_
     under different labels is joined in full.  That last join grows with the
     pairs that pass every bound and yet are not similar."""
     roots = reps.select("label", F.col("label").alias("root")).distinct()
-    index = materialize(postings(reps, num, den), "postings")
+    sets = reps.select(F.col("rep").alias("id"), "tokens")
+    index = materialize(classed(postings(reps, num, den).drop("tokens")), "postings")
     turn, before = 0, None
     while True:
-        left = _open_pairs(index, num, den).first()
-        if left.pairs == 0:
+        several = materialize(_open(index), "open")
+        left = several.agg(F.sum("pairs").alias("pairs"), F.sum("postings").alias("postings")).first()
+        if left.pairs is None:
             return roots
         few = left.pairs <= PAIRS_PER_POSTING * left.postings
         slow = before is not None and left.pairs * 10 > before * 7
-        links = _all_links(index, num, den) if few or slow else _head_links(index, turn, num, den)
-        found = connected_components(links)
+        here = index.join(several.select("tok"), "tok", "left_semi")
+        if few or slow:
+            pairs = _all_pairs(here, num, den)
+        else:
+            here = materialize(here, "postings") if turn else index
+            pairs = _head_pairs(here, turn, num, den)
+        found = connected_components(_labels_of(_verified(pairs, sets, num, den)))
         # the labels of every set follow; the table has one row a label
         roots = (roots.join(found.select(F.col("id").alias("root"), "component"), "root", "left")
                  .select("label", F.coalesce("component", "root").alias("root")))
         if few or slow:
             return roots
         roots = materialize(roots, "roots")
-        index = _relabel(index, found)
-        several = (index.groupBy("tok").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
-                   .where(F.col("lo") < F.col("hi")).select("tok"))
-        index = materialize(index.join(several, "tok", "left_semi"), "postings")
+        index = materialize(_relabel(here, found), "postings")
         turn, before = turn + 1, left.pairs
 
 
