@@ -264,6 +264,10 @@ def _reader(folder: str, with_payload: bool):
     return read
 
 
+#: Tasks that read archives.
+READERS = 100_000
+
+
 def members(stream):
     """The contents of the gzip members of a stream, one after the other."""
     unpack, out, rest = zlib.decompressobj(31), [], b""
@@ -281,7 +285,9 @@ def members(stream):
 
 
 def read_warc(spark: SparkSession, folder: str, with_payload: bool = False) -> DataFrame:
-    """One row per record of the files in the manifest."""
+    """One row per record of the files in the manifest.  A file is a task's work
+    (``READERS`` tasks at most): a number of partitions that is given is not
+    merged for the few bytes that the manifest itself has."""
     manifest = read_manifest(spark, folder)
-    spread = manifest.repartition(F.col("file"))
+    spread = manifest.repartition(max(1, min(manifest.count(), READERS)), F.col("file"))
     return map_arrow(spread, _reader(folder, with_payload), _RECORD)
