@@ -296,6 +296,41 @@ def test_words_are_split_where_the_tokenizer_splits():
     assert [ids[begin[i]:begin[i + 1]].tolist() for i in range(len(texts))] == want
 
 
+def near_copies(n, seed):
+    """Texts whose pairs lie around the threshold: many candidates, few links."""
+    rng = random.Random(seed)
+    base = [f"w{i}" for i in range(100)]
+    out = []
+    for k in range(n):
+        words = list(base)
+        for i in rng.sample(range(100), rng.randint(1, 4)):
+            words[i] = f"x{k}_{i}"
+        out.append(" ".join(words))
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_near_copies_around_the_threshold(spark, seed):
+    texts = near_copies(150, seed)
+    sets = [{tuple(t.split()[i:i + 4]) for i in range(97)} for t in texts]
+    parent = list(range(len(texts)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both):
+                a, b = sorted((root(i), root(j)))
+                parent[b] = a
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in near_duplicates(docs, words_each=4).collect()}
+    assert got == {i: root(i) for i in range(len(texts))}
+
+
 def test_archives_are_read_by_many_tasks(spark):
     rng = random.Random(2)
     pages = spark.createDataFrame([(i, f"https://x/{i}", "".join(rng.choices("abcdefgh \n", k=3000))) for i in range(120)],

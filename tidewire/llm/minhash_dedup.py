@@ -245,8 +245,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                                            F.col("s").alias("s_a"), F.col("comp").alias("comp_a")), f"heads-{turn}")
         if heads.isEmpty():
             break
-        pairs = (open_.select("key", "id", "comp", F.col("n").alias("n_b"), F.col("s").alias("s_b")).join(heads, "key")
-                 .where((F.col("comp") != F.col("comp_a")) & alike)
+        members, once = open_.select("key", "id", "comp", F.col("n").alias("n_b"), F.col("s").alias("s_b")), F.lit(True)
+        leading = heads
+        if turn:
+            # a pair may share several buckets: it meets in the least one that the
+            # head leads, and only under the smaller identifier if both lead one.  A
+            # member that is not there any more led it before, and has met the head then
+            leads = heads.groupBy("head").agg(F.collect_set("key").alias("leads"))
+            about = scratch.table(sketches.select("id", "bands").join(open_.select("id").distinct(), "id", "left_semi")
+                                  .join(leads.toDF("id", "leads"), "id", "left"), f"leads-{turn}")  # a row a member
+            members = members.join(about.withColumnRenamed("leads", "own_leads"), "id")
+            leading = heads.join(about.where(F.col("leads").isNotNull()).toDF("head", "head_bands", "leads"), "head")
+            both = F.coalesce(F.arrays_overlap("own_leads", "head_bands"), F.lit(False))
+            once = ((F.col("key") == F.array_min(F.array_intersect("leads", "bands")))
+                    & ~((F.col("head") > F.col("id")) & both))
+        pairs = (members.join(leading, "key")
+                 .where((F.col("comp") != F.col("comp_a")) & alike & once)
                  .select(F.least("id", "head").alias("a"), F.greatest("id", "head").alias("b"))
                  .distinct())
         side = sketches.select("id", "n", "sketch")
