@@ -141,3 +141,33 @@ def test_attach_merges_groups_also_outside_the_window(spark):
         .withColumn("fetched_at", F.to_timestamp("f")).withColumn("source", F.lit("s")).drop("f")
     got = {r.id: (r.story_group_id, r.is_duplicate, r.group_size) for r in G.attach_groups(store, as_of()).collect()}
     assert got == {1: (1, 0, 4), 2: (1, 1, 4), 3: (1, 1, 4), 5: (1, 1, 4)}  # 4 is untouched
+
+
+def unlike(seed, n, vocab=120, each=12):
+    """Random sets over one small vocabulary: they share words, few are similar."""
+    rng = random.Random(seed)
+    words = [f"w{i:03d}" for i in range(vocab)]
+    return [" ".join(rng.sample(words, each)) for _ in range(n)]
+
+
+def test_unlike_sets_end_where_they_meet(spark, monkeypatch):
+    """Postings of a common vocabulary bring most sets together; the pairs that
+    are shuffled and whose token sets are fetched are few."""
+    titles = unlike(4, 400)
+    sets = {i: token_set(t) for i, t in enumerate(titles)}
+    met, verified, groups = comparisons(spark, monkeypatch, titles)
+    assert groups == len(set(union_find(sorted(sets), brute_pairs(sets)).values()))
+    assert met <= 10 * len(titles) and verified <= 5 * len(titles)
+
+
+@pytest.mark.parametrize("direct", [0, 20, 4096])
+def test_meeting_by_class_or_directly_is_the_same(spark, monkeypatch, direct):
+    monkeypatch.setattr(G, "DIRECT", direct)
+    titles = random_titles(6, 120) + unlike(6, 60, 25)
+    df = spark.createDataFrame(list(enumerate(titles)), "id long, title string")
+    sets = {i: token_set(t) for i, t in enumerate(titles)}
+    reps, cmap = G.collapse_copies(G.token_sets(df))
+    rep = {r.id: r.rep for r in cmap.collect()}
+    want = {(a, b) for a, b in brute_pairs(sets) if rep[a] == a and rep[b] == b}
+    assert want and {(r.id_a, r.id_b) for r in G.similar_pairs(reps).collect()} == want
+    assert {r.id: r.story_group_id for r in G.story_components(df).collect()} == union_find(sorted(sets), brute_pairs(sets))

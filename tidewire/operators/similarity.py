@@ -14,7 +14,11 @@ Scale design
   follows from the length and position bounds alone, so those class pairs are
   joined first, and sets meet by an equi-join on them.  A very common token does
   not bring all of its sets together.
-* Pairs that meet are counted over their shared postings; similar sets share at
+* Postings carry a bitmap of their set, which bounds what two sets can have in
+  common (Sandes et al. 2017): pairs below their overlap end where they meet and
+  are not shuffled.  Postings of a token of up to ``DIRECT`` of them meet by an
+  equi-join on the token alone; more frequent tokens by their class pairs.
+* Pairs that pass are counted over their shared postings; similar sets share at
   least a number of them that follows from their sizes, and only pairs with
   enough fetch their token sets for the exact test.
 * J3 emits every similar pair.  G2 and G3 need components only
@@ -33,6 +37,8 @@ Scale design
 from __future__ import annotations
 
 import math
+from functools import reduce
+from operator import add
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -69,10 +75,34 @@ def _prefix_len(n: Column, num: int, den: int) -> Column:
     return n - F.floor((n * num + (den - 1)) / den).cast("bigint") + 1
 
 
+#: 64-bit words of a set's bitmap; ``shared`` is the number of tokens in it.
+_BITMAP = tuple(f"bits{i}" for i in range(8))
+_SHAPE = ("shared", *_BITMAP)
+
+
+def _bitmap() -> list[Column]:
+    """Aggregates over ``tok``: a set's bitmap, in which each token flips the bit
+    that its hash names."""
+    h = F.xxhash64("tok")
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"),
+                          F.shiftright(h, 3).bitwiseAND(F.lit(63).cast("bigint")).cast("int"))
+    at = h.bitwiseAND(F.lit(len(_BITMAP) - 1).cast("bigint"))
+    return [F.bit_xor(F.when(at == i, bit).otherwise(F.lit(0).cast("bigint"))).alias(c) for i, c in enumerate(_BITMAP)]
+
+
+def _overlaps(num: int, den: int) -> Column:
+    """Whether the bitmaps of sets x and y leave room for the overlap of similar
+    sets (exact bound): a bit that differs stands for at least one token that
+    only one of them has."""
+    apart = reduce(add, [F.bit_count(F.col(f"x_{c}").bitwiseXOR(F.col(f"y_{c}"))) for c in _BITMAP])
+    return F.col("x_shared") + F.col("y_shared") - apart >= 2 * _overlap(F.col("x_n") + F.col("y_n"), num, den)
+
+
 def postings(reps: DataFrame, num: int = C.JACCARD_NUM, den: int = C.JACCARD_DEN) -> DataFrame:
     """The inverted index of distinct token sets: one row per indexed token of
     a set, with ``rem``, the number of its tokens from this one on in global
-    frequency order.  Tokens of one set only are left out: they meet nothing.
+    frequency order, and the bitmap of its tokens.  Tokens of one set only are
+    left out: they meet nothing.
 
     ``reps`` has (rep, tokens, n) and may have further columns, which stay."""
     base = reps.where(F.col("n") > 0).withColumnRenamed("rep", "id")
@@ -80,14 +110,14 @@ def postings(reps: DataFrame, num: int = C.JACCARD_NUM, den: int = C.JACCARD_DEN
     freq = exploded.groupBy("tok").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") > 1)
     # order of the shared tokens; those of one set only come first in it anyway
     ranked = (exploded.join(freq, "tok").groupBy("id")
-              .agg(F.array_sort(F.collect_list(F.struct("df", "tok"))).alias("ordered")))
+              .agg(F.array_sort(F.collect_list(F.struct("df", "tok"))).alias("ordered"), *_bitmap()))
     own = F.col("n") - F.size("ordered")  # tokens of this set only: the rarest
     indexed = F.greatest(_prefix_len(F.col("n"), num, den) - own, F.lit(0)).cast("int")
     return (base.join(ranked, "id")
-            .select(*base.columns, F.size("ordered").alias("_shared"),
+            .select(*base.columns, F.size("ordered").alias("shared"), *_BITMAP,
                     F.posexplode(F.slice("ordered", 1, indexed)).alias("_pos", "_e"))
             .select(*base.columns, F.col("_e.tok").alias("tok"),
-                    (F.col("_shared") - F.col("_pos")).cast("bigint").alias("rem")))
+                    (F.col("shared") - F.col("_pos")).cast("bigint").alias("rem"), *_SHAPE))
 
 
 def _up(x: Column, num: int, den: int) -> Column:
@@ -151,18 +181,41 @@ def _class_pairs(classes: DataFrame, num: int, den: int) -> DataFrame:
             _overlap(F.col("a_hi") + F.col("b_hi"), num, den), F.greatest("a_lo", "b_lo"), num, den)))
 
 
-def _meet(index: DataFrame, pairs: DataFrame, by: tuple[str, ...], carry: tuple[str, ...], num: int, den: int) -> DataFrame:
-    """Sets of the first class of each pair with those of the second, once for
-    each unordered pair of sets and posting, within the exact bounds."""
-    carry = ("id", "n", "rem", *carry)
-    x = index.select("tok", *[F.col(c).alias(f"a_{c}") for c in by], *[F.col(c).alias(f"x_{c}") for c in carry])
-    y = index.select("tok", *[F.col(c).alias(f"b_{c}") for c in by], *[F.col(c).alias(f"y_{c}") for c in carry])
+#: Postings of a token up to which they meet without regard to their classes.
+DIRECT = 4096
+
+
+def _side(index: DataFrame, side: str, carry: tuple[str, ...], mark: str = "", by: tuple[str, ...] = ()) -> DataFrame:
+    """The postings as the sets x or y, with their classes as a or b."""
+    return index.select("tok", *[F.col(c).alias(f"{side}_{c}") for c in carry], *[F.col(c).alias(f"{mark}_{c}") for c in by])
+
+
+def _pass(num: int, den: int) -> Column:
+    return _admissible(F.col("x_n"), F.col("x_rem"), F.col("y_n"), F.col("y_rem"), num, den) & _overlaps(num, den)
+
+
+def _meet(index: DataFrame, by: tuple[str, ...], carry: tuple[str, ...], num: int, den: int,
+          bounds: tuple[Column, ...] = (), can: Column | None = None, may: Column | None = None) -> DataFrame:
+    """Sets that meet on a posting, once for each unordered pair of sets and
+    posting, within the exact bounds.  ``may``: a condition on the two sets;
+    ``can``: what follows from it for two classes with their ``bounds``."""
+    carry = ("id", "n", "rem", *_SHAPE, *carry)
+    passes = _pass(num, den) if may is None else may & _pass(num, den)
+    often = index.groupBy("tok").agg(F.count(F.lit(1)).alias("_m")).where(F.col("_m") > DIRECT).select("tok")
+    rare = index.join(often, "tok", "left_anti")
+    direct = (_side(rare, "x", carry).join(_side(rare, "y", carry), "tok")
+              .where((F.col("x_id") < F.col("y_id")) & passes))
+
+    hot = index.join(often, "tok", "left_semi")
+    pairs = _class_pairs(_classes(hot, by, *bounds), num, den)
+    pairs = pairs if can is None else pairs.where(can)
     keys_a, keys_b = [f"a_{c}" for c in by], [f"b_{c}" for c in by]
     first, second = F.struct(*keys_a), F.struct(*keys_b)
     once = pairs.where(first <= second).select("tok", *keys_a, *keys_b).withColumn("_same", first == second)
-    return (x.join(once, ["tok", *keys_a]).join(y, ["tok", *keys_b])
-            .where((~F.col("_same") | (F.col("x_id") < F.col("y_id")))
-                   & _admissible(F.col("x_n"), F.col("x_rem"), F.col("y_n"), F.col("y_rem"), num, den)))
+    in_class = (_side(hot, "x", carry, "a", by).join(once, ["tok", *keys_a])
+                .join(_side(hot, "y", carry, "b", by), ["tok", *keys_b])
+                .where((~F.col("_same") | (F.col("x_id") < F.col("y_id"))) & passes))
+    return direct.unionByName(in_class.select(*direct.columns))
 
 
 def _counted(met: DataFrame, num: int, den: int, part: int = 1, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -195,8 +248,7 @@ def similar_pairs(reps: DataFrame, num: int = C.JACCARD_NUM, den: int = C.JACCAR
     meet in admissible classes of an indexed token (``postings``), pairs with
     enough shared postings are verified on the full sets."""
     index = classed(postings(reps.select("rep", "tokens", "n"), num, den))
-    by = ("cn", "cr")
-    met = _meet(index, _class_pairs(_classes(index, by), num, den), by, (), num, den)
+    met = _meet(index, ("cn", "cr"), (), num, den)
     return (_verified(_counted(met, num, den), reps.select(F.col("rep").alias("id"), "tokens"), num, den)
             .select("id_a", "id_b", "n_a", "n_b", "n_inter"))
 
@@ -284,28 +336,30 @@ def _labels_of(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.greatest("label_a", "label_b").alias("a"), F.least("label_a", "label_b").alias("b")).distinct()
 
 
+def _apart() -> Column:
+    """Sets to compare: under different labels, one of them new."""
+    return (F.col("x_label") != F.col("y_label")) & (F.col("x_fresh") | F.col("y_fresh"))
+
+
 def _head_pairs(index: DataFrame, turn: int, num: int, den: int) -> DataFrame:
     """Each set with the head of its postings among sets of about its size; each
     turn has other heads and shifts the bounds between sizes by half a step."""
+    carry = ("id", "n", "rem", "label", "fresh", *_SHAPE)
     sized = index.withColumn("_size", _magnitude(F.col("n"), 0.5 * turn))
     heads = (sized.groupBy("tok", "_size").agg(
-        F.min_by(F.struct("id", "n", "rem", "label", "fresh"), F.xxhash64("id", F.lit(turn))).alias("h"),
+        F.min_by(F.struct(*carry), F.xxhash64("id", F.lit(turn))).alias("h"),
         F.min("label").alias("_lo"), F.max("label").alias("_hi")).where(F.col("_lo") < F.col("_hi"))
-        .select("tok", "_size", F.col("h.id").alias("y_id"), F.col("h.n").alias("y_n"), F.col("h.rem").alias("y_rem"),
-                F.col("h.label").alias("y_label"), F.col("h.fresh").alias("y_fresh")))
-    met = (sized.select("tok", "_size", *[F.col(c).alias(f"x_{c}") for c in ("id", "n", "rem", "label", "fresh")])
-           .join(heads, ["tok", "_size"])
-           .where((F.col("x_label") != F.col("y_label")) & (F.col("x_fresh") | F.col("y_fresh"))
-                  & _admissible(F.col("x_n"), F.col("x_rem"), F.col("y_n"), F.col("y_rem"), num, den)))
+        .select("tok", "_size", *[F.col(f"h.{c}").alias(f"y_{c}") for c in carry]))
+    met = (sized.select("tok", "_size", *[F.col(c).alias(f"x_{c}") for c in carry])
+           .join(heads, ["tok", "_size"]).where(_apart() & _pass(num, den)))
     return _counted(met, num, den, _HEAD_PART, ("label",))
 
 
 def _all_pairs(index: DataFrame, num: int, den: int) -> DataFrame:
     """All pairs under different labels that can be similar."""
-    classes = _classes(index, _LABELLED, F.min("label").alias("l_lo"), F.max("label").alias("l_hi"))
-    pairs = _class_pairs(classes, num, den).where(
-        (F.col("a_fresh") | F.col("b_fresh")) & (F.least("a_l_lo", "b_l_lo") < F.greatest("a_l_hi", "b_l_hi")))
-    met = _meet(index, pairs, _LABELLED, ("label",), num, den).where(F.col("x_label") != F.col("y_label"))
+    met = _meet(index, _LABELLED, ("label", "fresh"), num, den,
+                (F.min("label").alias("l_lo"), F.max("label").alias("l_hi")),
+                (F.col("a_fresh") | F.col("b_fresh")) & (F.least("a_l_lo", "b_l_lo") < F.greatest("a_l_hi", "b_l_hi")), _apart())
     return _counted(met, num, den, 1, ("label",))
 
 
@@ -341,7 +395,7 @@ def link_labels(reps: DataFrame, num: int = C.JACCARD_NUM, den: int = C.JACCARD_
         else:
             here = materialize(here, "postings") if turn else index
             pairs = _head_pairs(here, turn, num, den)
-        found = connected_components(_labels_of(_verified(pairs, sets, num, den)))
+        found = connected_components(materialize(_labels_of(_verified(pairs, sets, num, den)), "links"))
         # the labels of every set follow; the table has one row a label
         roots = (roots.join(found.select(F.col("id").alias("root"), "component"), "root", "left")
                  .select("label", F.coalesce("component", "root").alias("root")))
