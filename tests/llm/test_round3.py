@@ -340,3 +340,39 @@ def test_archives_are_read_by_many_tasks(spark):
     read = warc.read_warc(spark, folder)
     assert files > 100 and read.rdd.getNumPartitions() > 100
     assert sorted(r.page_id for r in read.collect()) == list(range(120))
+
+
+def test_near_copies_below_the_threshold_end_where_they_meet(spark, monkeypatch):
+    """A group of copies that share buckets and are not similar: few of its pairs
+    reach the estimate and the full sets, and the links stay."""
+    from tidewire.llm import minhash_dedup as M
+
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(200)]
+    texts = []
+    for i in range(240):
+        words = list(base)
+        for at in rng.sample(range(4, 196), 4):
+            words[at] = f"x{i}y{at}"
+        texts.append(" ".join(words))
+    texts += [" ".join(t.split()[:-1]) for t in texts[:20]]
+    sets = [{tuple(w[i:i + 4]) for i in range(len(w) - 3)} for w in (t.split() for t in texts)]
+    least = list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if 100 * len(a & sets[j]) >= 80 * len(a | sets[j]):
+                x, y = sorted((least[i], least[j]))
+                least = [x if c == y else c for c in least]
+    met, plain = [], M.map_arrow
+
+    def counted(df, fn, schema):
+        if schema == "a long, b long" and "sketch_a" in df.columns:
+            met.append(df.count())
+        return plain(df, fn, schema)
+
+    monkeypatch.setattr(M, "map_arrow", counted)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in near_duplicates(docs, words_each=4).collect()}
+    assert got == dict(enumerate(least))
+    print("met", met)
+    assert len(met) > 1 and sum(met[1:]) <= 5 * len(texts)

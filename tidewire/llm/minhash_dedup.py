@@ -14,7 +14,9 @@ similarity.  Steps:
    once.  In larger ones a leader meets every other component's members and
    then leaves the bucket, so a bucket is finished when one component is left
    in it or every pair across components has met: no link is given up, and a
-   large group of near copies costs about one comparison per member;
+   large group of near copies costs about one comparison per member.  From the
+   second round on a pair also ends where it meets if the parity bitmaps of its
+   sets differ in more bits than similar sets have elements of their own (exact);
 4. a candidate must pass the exact length bound and the joint likelihood
    estimate of the similarity (five standard deviations below the threshold),
    then the full sets decide: ``100 * |A & B| >= percent * |A | B|``.
@@ -32,11 +34,13 @@ Memory: work arrays of one slice of texts, one set per side of a pair."""
 from __future__ import annotations
 
 import math
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewire.llm.common import Scratch, map_arrow, slices
@@ -44,6 +48,8 @@ from tidewire.llm.words import U, Words, mix
 from tidewire.operators.similarity import connected_components
 
 BASE, RATE, LEVELS = 1.001, 20.0, (1 << 16) - 2
+#: 64-bit words of a set's parity bitmap.
+BITMAP = 16
 
 
 def shingle_sets(texts: pa.Array, words_each: int) -> list[np.ndarray]:
@@ -77,6 +83,20 @@ def registers(shingles: np.ndarray, count: int) -> np.ndarray:
     return np.clip(np.floor(1 - np.log(x) / math.log(BASE)), 0, LEVELS + 1).astype(np.uint16)
 
 
+def parity(shingles: np.ndarray) -> np.ndarray:
+    """A bitmap in which each element flips the bit that its hash names."""
+    flips = np.bincount((shingles & U(64 * BITMAP - 1)).astype(np.int64), minlength=64 * BITMAP) & 1
+    return np.packbits(flips.astype(np.uint8)).view(np.int64)
+
+
+def may_reach(percent: int, a: str, b: str, n_a: str, n_b: str) -> Column:
+    """Whether sets of these bitmaps and sizes may be similar: each bit that
+    differs stands for at least one element that only one of them has."""
+    apart = reduce(add, [F.bit_count(F.get(F.col(a), F.lit(i)).bitwiseXOR(F.get(F.col(b), F.lit(i)))) for i in range(BITMAP)])
+    total = F.col(n_a) + F.col(n_b)
+    return (total - apart) * (100 + percent) >= total * (2 * percent)
+
+
 def likely(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
     """Maximum-likelihood similarity of register rows ``a`` and ``b`` with set sizes na, nb."""
     more, less = (a > b).sum(1)[:, None], (a < b).sum(1)[:, None]
@@ -109,8 +129,9 @@ def _sketcher(words_each: int, bands: int, band_rows: int):
                     part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
                     pa.array([None if r is None else r.tobytes() for r in rows], pa.binary()),
-                    pa.array(keys, pa.list_(pa.int64()))],
-                    names=["doc_id", "n_shingles", "digest", "sketch", "bands"])
+                    pa.array(keys, pa.list_(pa.int64())),
+                    pa.array([parity(s) if len(s) else None for s in sets], pa.list_(pa.int64()))],
+                    names=["doc_id", "n_shingles", "digest", "sketch", "bands", "bits"])
 
     return sketch
 
@@ -181,16 +202,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     count = bands * band_rows
     every = scratch.table(map_arrow(rows, _sketcher(words_each, bands, band_rows),
                                     "doc_id long, n_shingles long, digest binary, sketch binary, "
-                                    "bands array<long>"), "sketches")
+                                    "bands array<long>, bits array<long>"), "sketches")
     # one row for each distinct set
     lone = F.col("digest").isNull() | F.col("doc_id").isNull()
     reps = every.where(~lone).groupBy("digest", "n_shingles").agg(F.min("doc_id").alias("rep"))
     member = every.where(~lone).join(reps, ["digest", "n_shingles"]).select("doc_id", "n_shingles", "rep", "digest")
-    sketches = (every.where(~lone).select("doc_id", "n_shingles", "digest", "sketch", "bands")
+    sketches = (every.where(~lone).select("doc_id", "n_shingles", "digest", "sketch", "bands", "bits")
                 .join(reps.select("digest", F.col("rep").alias("doc_id")), ["digest", "doc_id"])
                 .dropDuplicates(["digest", "doc_id"]))
     sketches = scratch.table(sketches.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"),
-                                             "sketch", "bands"), "distinct")
+                                             "sketch", "bands", "bits"), "distinct")
     # buckets of two members or more
     keys = sketches.select("id", "n", F.explode("bands").alias("key"))
     shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
@@ -252,13 +273,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             # head leads, and only under the smaller identifier if both lead one.  A
             # member that is not there any more led it before, and has met the head then
             leads = heads.groupBy("head").agg(F.collect_set("key").alias("leads"))
-            about = scratch.table(sketches.select("id", "bands").join(open_.select("id").distinct(), "id", "left_semi")
+            about = scratch.table(sketches.select("id", "bands", "bits").join(open_.select("id").distinct(), "id", "left_semi")
                                   .join(leads.toDF("id", "leads"), "id", "left"), f"leads-{turn}")  # a row a member
             members = members.join(about.withColumnRenamed("leads", "own_leads"), "id")
-            leading = heads.join(about.where(F.col("leads").isNotNull()).toDF("head", "head_bands", "leads"), "head")
+            leading = heads.join(about.where(F.col("leads").isNotNull()).toDF("head", "head_bands", "head_bits", "leads"), "head")
             both = F.coalesce(F.arrays_overlap("own_leads", "head_bands"), F.lit(False))
             once = ((F.col("key") == F.array_min(F.array_intersect("leads", "bands")))
-                    & ~((F.col("head") > F.col("id")) & both))
+                    & ~((F.col("head") > F.col("id")) & both) & may_reach(percent, "bits", "head_bits", "n_b", "n_a"))
         pairs = (members.join(leading, "key")
                  .where((F.col("comp") != F.col("comp_a")) & alike & once)
                  .select(F.least("id", "head").alias("a"), F.greatest("id", "head").alias("b"))
