@@ -376,3 +376,38 @@ def test_near_copies_below_the_threshold_end_where_they_meet(spark, monkeypatch)
     assert got == dict(enumerate(least))
     print("met", met)
     assert len(met) > 1 and sum(met[1:]) <= 5 * len(texts)
+
+
+def test_further_links_tie_known_components(spark):
+    from tidewire.llm.minhash_dedup import tied
+
+    comp = spark.createDataFrame([(1, 1), (4, 1), (2, 2), (7, 2), (3, 3), (9, 3)], "id long, component long")
+    links = spark.createDataFrame([(4, 7), (7, 20), (1, 4), (30, 31)], "a long, b long")
+    assert {r.id: r.component for r in tied(comp, links).collect()} == {
+        1: 1, 4: 1, 2: 1, 7: 1, 20: 1, 3: 3, 9: 3, 30: 30, 31: 30}
+
+
+def test_near_copies_below_the_threshold_take_three_rounds(spark, monkeypatch):
+    """A bucket of which each member has to lead is finished in the third round,
+    and links are searched for components where they are new only."""
+    from tidewire.llm import minhash_dedup as M
+
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(120)]
+    texts = []
+    for i in range(900):
+        words = list(base)
+        for at in rng.sample(range(4, 116), 5):
+            words[at] = f"x{i}y{at}"
+        texts.append(" ".join(words))
+    rounds, plain = [], M.map_arrow
+
+    def counted(df, fn, schema):
+        if schema == "a long, b long" and "sketch_a" in df.columns:
+            rounds.append(1)
+        return plain(df, fn, schema)
+
+    monkeypatch.setattr(M, "map_arrow", counted)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert near_duplicates(docs, words_each=4).count() == len(texts)
+    assert len(rounds) == 3

@@ -188,6 +188,18 @@ def _decider(percent: int):
     return decide
 
 
+def tied(comp: DataFrame, links: DataFrame) -> DataFrame:
+    """(id, component) after further links (a, b): only the labels that they tie
+    are searched for components, not all links anew."""
+    ends = links
+    for c in ("a", "b"):
+        ends = ends.join(comp.toDF(c, f"of_{c}"), c, "left").withColumn(c, F.coalesce(f"of_{c}", c)).drop(f"of_{c}")
+    found = connected_components(ends, stars=True)
+    every = comp.unionByName(found.select("id", F.col("id").alias("component"))).distinct()
+    return (every.join(found.toDF("component", "root"), "component", "left")
+            .select("id", F.coalesce("root", "component").alias("component")))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_each: int = 5,
                     percent: int = 80, bands: int = 32, band_rows: int = 5, small: int = 12,
                     scratch: Scratch | None = None) -> DataFrame:
@@ -195,7 +207,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     ``small``: a bucket of up to so many members compares all of them at once;
     in larger buckets so many leaders are taken a round, after a first round
-    of one (sixteen times as many in each further round)."""
+    of one (256 times as many in each further round: the bitmaps end most of
+    their pairs where they meet, a round more costs some 40 stages)."""
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "near-dedup")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -226,14 +239,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     buckets = buckets.select("key", "id", "n", F.col("n").alias("s"))
     if sets is not None:
         weight = scratch.table(weight, "weights")
-    links, turn = None, 0
+    comp, turn, done = None, 0, False
     alike = ((F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
              & (F.least("s_a", "s_b") * 100 >= (F.col("n_a") + F.col("n_b") - F.least("s_a", "s_b")) * percent))
     while sets is not None:
-        now = buckets.withColumn("comp", F.col("id"))
-        if turn:
+        if not turn:
+            now = buckets.withColumn("comp", F.col("id"))
+        else:
             if grown:
-                comp = scratch.table(connected_components(links), f"components-{turn}")
+                comp = scratch.table(connected_components(new) if turn == 1 else tied(comp, new), f"components-{turn}")
+            if done:
+                break
             # read more than once below: written, so that the join runs once
             now = scratch.table(buckets.join(comp, "id", "left").select(
                 "key", "id", "n", "s", F.coalesce("component", "id").alias("comp")), f"labelled-{turn}")
@@ -256,7 +272,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         open_ = scratch.table(now.join(top, "key").select(
             "key", "id", "n", "s", "comp", "size", ((F.col("comp") == F.col("top.comp")) & F.lit(turn > 0)).alias("main")),
             f"open-{turn}")
-        leaders = small * 16 ** (turn - 1) if turn else 1
+        largest = open_.agg(F.max("size")).first()[0]
+        if largest is None:
+            break
+        leaders = small * 256 ** (turn - 1) if turn else 1
+        # all members of all buckets lead: every pair across components meets now
+        done = largest <= max(small, leaders)
         # the first members of each bucket lead: found without sorting a bucket whole
         limit = F.when(F.col("size") <= small, F.col("size")).otherwise(F.lit(leaders))
         at = Window.partitionBy("key").orderBy("main", F.desc("weight"), "id")
@@ -264,8 +285,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                  .where(F.col("place") <= max(small, leaders)).where((F.col("place") <= limit) & ~F.col("main")))
         heads = scratch.table(heads.select("key", F.col("id").alias("head"), F.col("n").alias("n_a"),
                                            F.col("s").alias("s_a"), F.col("comp").alias("comp_a")), f"heads-{turn}")
-        if heads.isEmpty():
-            break
         members, once = open_.select("key", "id", "comp", F.col("n").alias("n_b"), F.col("s").alias("s_b")), F.lit(True)
         leading = heads
         if turn:
@@ -295,14 +314,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 .join(sets.select(F.col("doc_id").alias("b"), F.col("elements").alias("set_b")), "b"))
         new = scratch.table(map_arrow(full, _decider(percent), "a long, b long"), f"links-{turn}")
         grown = turn == 0 or not new.isEmpty()
-        links = new if links is None else links.unionByName(new) if grown else links
         # a leader has met all others of its bucket: it leaves
-        rest = (open_.select("key", "id", "n", "s")
-                .join(heads.select("key", F.col("head").alias("id")), ["key", "id"], "left_anti"))
-        buckets = scratch.table(rest, f"buckets-{turn + 1}")
+        if not done:
+            rest = (open_.select("key", "id", "n", "s")
+                    .join(heads.select("key", F.col("head").alias("id")), ["key", "id"], "left_anti"))
+            buckets = scratch.table(rest, f"buckets-{turn + 1}")
         turn += 1
 
-    if links is None:  # else the last round began with the components of all links
+    if comp is None:  # no two sets share a bucket
         comp = every.where("false").select(F.col("doc_id").alias("id"), F.col("doc_id").alias("component"))
     whole = (member.join(comp, F.col("rep") == F.col("id"), "left")
              .select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id")))

@@ -284,22 +284,23 @@ def _is_star_forest(e: DataFrame) -> bool:
     return bad.isEmpty()
 
 
-def connected_components(edges: DataFrame, vertices: DataFrame | None = None) -> DataFrame:
+def connected_components(edges: DataFrame, vertices: DataFrame | None = None, stars: bool = False) -> DataFrame:
     """G1: (id, component) with component = min id of the connected component.
 
     ``edges``: (a, b) undirected.  ``vertices``: optional (id) so that
     isolated vertices get their own id.  Lineage is cut every round by writing
     the edge table into the shared checkpoint folder (never a local one).
+    ``stars``: the edges may well be stars already, which is tested first.
     """
     ensure_checkpoint_dir(edges.sparkSession)
     e = (edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
          .where(F.col("a") != F.col("b")).distinct())
     # a round leaves a star forest unchanged, so the first round runs before
     # the first test (raw similarity edges are almost never already stars)
-    while True:
-        e = materialize(_small_star(_large_star(e)), "cc-edges")
-        if _is_star_forest(e):
-            break
+    if stars:
+        e = materialize(e, "cc-edges")
+    while not (stars and _is_star_forest(e)):
+        e, stars = materialize(_small_star(_large_star(e)), "cc-edges"), True
     labels = e.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(
         e.select(F.col("b").alias("id"), F.col("b").alias("component"))).distinct()
     if vertices is None:
