@@ -366,6 +366,33 @@ def test_sentencepiece_equals_the_library(docs, texts):
     assert merge_word("▁hello", pieces, []) == sp.encode("hello")
 
 
+def test_sentencepiece_words_end_where_no_piece_crosses(spark, monkeypatch):
+    import sentencepiece
+
+    path, asked, encode_words = public_tokenizers.path("piece_bpe_32k.model"), [], lattices.encode_words
+    texts_ = [f"the{a}{x}{b}.\n{c}日{a} {'=' * 70}{b}{'ab' * 40}" for x in "7%~" for a in ("tion", "ing", "é") for b in ("er", "ly", "")
+              for c in ("On", "Of")] + ["", None, " ", "  a", "a\n"]
+
+    def keep(words, *more):
+        asked.append(words)
+        return encode_words(words, *more)
+
+    monkeypatch.setattr(lattices, "encode_words", keep)
+    monkeypatch.setattr(lattices, "CHUNK", 500)
+    rows = [(i, t) for i, t in enumerate(texts_)] + [(None, "the ing"), (0, texts_[0])]
+    got = encode(spark.createDataFrame(rows, "doc_id long, text string").repartition(2), path)
+    sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    assert sorted((str(r.doc_id), r.ids) for r in got.collect()) == sorted((str(i), sp.encode(t or "")) for i, t in rows)
+    assert asked[0].count() < 40 < len({w for t in texts_ for w in re.findall("▁*[^▁]+|▁+", "▁" + (t or "").replace(" ", "▁"))})
+    # a chunk's block is exchanged once, for its words and for its texts
+    assert "ReusedExchange" in got._jdf.queryExecution().toString()
+
+
+def test_sentencepiece_packs_come_back():
+    for arrays in ([[], []], [[1, 2**32 - 1, 70000], [], [5]], [[0]]):
+        assert [x.tolist() for x in lattices.unpack(lattices.pack(*arrays))] == arrays
+
+
 UNIGRAM = [(p, i, s) for i, (p, s) in enumerate(
     [("a", -1.0), ("b", -2.0), ("c", -6.0), ("ab", -2.5), ("bc", -3.0), ("abc", -7.0), ("ca", -3.5), ("bca", -4.0),
      ("aa", -2.0), ("日", -3.0), ("日本", -4.0), ("本語", -4.25), ("▁", -1.5), ("▁a", -2.0)])]
